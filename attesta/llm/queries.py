@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta.llm.decontamination import contamination
 from attesta.llm.exact_dedup import mark_exact_duplicates
 from attesta.llm.mixing import mix_sources
+from attesta.llm.simhash import near_duplicates
 from attesta.llm.substring_dedup import removal_digest, substring_dedup
 from attesta.llm.token_counts import length_histogram, suffix_sums
 from attesta.llm.token_files import token_round_trip
@@ -25,6 +26,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(substring_dedup(table(spark, sf_dir, "documents")))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
@@ -48,7 +54,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_substring_dedup, op3_decontamination, op4_token_files, op7_token_counts, op8_exact_dedup, op9_source_mixing)
+    own = (op1_substring_dedup, op2_simhash_dedup, op3_decontamination, op4_token_files, op7_token_counts, op8_exact_dedup, op9_source_mixing)
     return {f.__name__: f for f in own}
 
 
