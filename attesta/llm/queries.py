@@ -14,6 +14,7 @@ from attesta.llm.simhash import near_duplicates
 from attesta.llm.substring_dedup import removal_digest, substring_dedup
 from attesta.llm.token_counts import length_histogram, suffix_sums
 from attesta.llm.token_files import token_round_trip
+from attesta.llm.toxicity import score, train
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
 
@@ -54,7 +60,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_substring_dedup, op2_simhash_dedup, op3_decontamination, op4_token_files, op7_token_counts, op8_exact_dedup, op9_source_mixing)
+    own = (op1_substring_dedup, op2_simhash_dedup, op3_decontamination, op4_token_files, op6_toxicity, op7_token_counts, op8_exact_dedup, op9_source_mixing)
     return {f.__name__: f for f in own}
 
 

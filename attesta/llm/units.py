@@ -2,19 +2,35 @@
 
 A byte-level BPE first cuts text with a pattern in which no piece crosses from a non-space character to a
 following space. A text may therefore be cut before any space that follows a non-space character, and each
-stretch encoded alone gives the same ids as the whole text. Stretches repeat, so their ids are remembered;
-both memories are emptied when full, which bounds a worker's memory and changes no result.
+stretch encoded alone gives the same ids as the whole text. Stretches and pieces repeat, so their ids are
+remembered in two generations: when the younger is full it replaces the older, which bounds a worker's memory
+and changes no result. Tokenizers of another kind encode whole texts directly.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import string
 from array import array
 
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Longest stretch that is remembered.
+LONGEST = 48
 _SPACES_MEET = re.compile(r"\s ")
+_PUNCTUATION = string.punctuation
+
+
+def byte_alphabet() -> dict[int, str]:
+    """Latin-1 code point -> the character that stands for this byte in a byte-level vocabulary.
+
+    Printable Latin-1 characters stand for themselves; the others take code points from 256 on, in order.
+    """
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in own else next(others)) for b in range(256)}
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -27,53 +43,67 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
-class _Pieces(dict):
-    """Piece of the tokenizer's own first cut -> packed ids."""
+class _Memory(dict):
+    """Remembers ``make(key)`` for short keys, in two generations of at most ``most`` entries."""
 
-    def __init__(self, model, code: str, most: int):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.model, self.code, self.most = model, code, most
+        self.make, self.most, self.older = make, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        got = array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = got
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
         return got
 
 
-class UnitEncoder(dict):
-    """Stretch without its leading space -> its ids as packed 16- or 32-bit integers."""
+class UnitEncoder:
+    """Packed ids (16 or 32 bits each) of texts."""
 
-    def __init__(self, spec: str, most: int = 700_000):
-        super().__init__()
+    def __init__(self, spec: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         narrow = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype = np.dtype(np.uint16 if narrow else np.uint32)
-        self.cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.pieces = _Pieces(self.tokenizer.model, "H" if narrow else "I", most)
-        self.most = most
-
-    def __missing__(self, unit: str) -> bytes:
-        got = self.alone(" " + unit)
-        if len(unit) <= 48:
-            if len(self) >= self.most:
-                self.clear()
-            self[unit] = got
-        return got
-
-    def alone(self, text: str) -> bytes:
-        pieces = self.pieces
-        return b"".join([pieces[x[0]] if len(x[0]) <= 48 else pieces.__class__.__missing__(pieces, x[0]) for x in self.cut(text)]) if text else b""
+        self.code = "H" if narrow else "I"
+        kind = json.loads(spec)
+        first = kind.get("pre_tokenizer") or {}
+        self.divisible = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not kind.get("normalizer")
+        self.alphabet = byte_alphabet()
+        self.spaced = _Memory(self._spaced, most)  # stretch without its leading space
+        self.pieces = _Memory(self._piece, most)  # piece of the first cut, in the byte alphabet
+        self.words = _Memory(self._word, most)  # word without its leading space
+
+    def _piece(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self._piece("Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)))
+
+    def _spaced(self, unit: str) -> bytes:
+        # letters (of two bytes at most, so surely letters to any Unicode version), then only ASCII punctuation: two pieces
+        word = unit.rstrip(_PUNCTUATION)
+        if word.isalpha() and (word.isascii() or len(word.encode()) <= 2 * len(word) and max(word) < "\u0250"):
+            return self.words[word] if len(word) == len(unit) else self.words[word] + self.pieces[unit[len(word) :]]
+        return self._cut(" " + unit)
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join([self.pieces[x[0]] for x in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]) if text else b""
 
     def encode(self, text: str) -> bytes:
+        if not self.divisible:
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         parts = text.split(" ")
         if _SPACES_MEET.search(text):
             parts = _joined(parts)
-        return self.alone(parts[0]) + b"".join(map(self.__getitem__, parts[1:]))
+        return self._cut(parts[0]) + b"".join(map(self.spaced.__getitem__, parts[1:]))
 
 
 def _joined(parts: list[str]) -> list[str]:
