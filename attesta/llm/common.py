@@ -115,6 +115,22 @@ def in_block(pieces: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, list
     return every[order], [texts[i] for i in order]
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Hash range of each value; grows with the value."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def sorted_delta(values: np.ndarray) -> bytes:
+    """A sorted array as compressed planes of its differences' bytes."""
+    delta = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(delta.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def from_delta(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 PIECE = "block long, ids binary, ends binary, body binary"
 
 

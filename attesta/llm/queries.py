@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.llm.class_lm import class_lm_scores
 from attesta.llm.decontamination import contamination
 from attesta.llm.exact_dedup import mark_exact_duplicates
 from attesta.llm.mixing import mix_sources
@@ -42,6 +43,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -60,7 +65,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_substring_dedup, op2_simhash_dedup, op3_decontamination, op4_token_files, op6_toxicity, op7_token_counts, op8_exact_dedup, op9_source_mixing)
+    own = (op1_substring_dedup, op2_simhash_dedup, op3_decontamination, op4_token_files, op5_class_lm, op6_toxicity, op7_token_counts, op8_exact_dedup, op9_source_mixing)
     return {f.__name__: f for f in own}
 
 

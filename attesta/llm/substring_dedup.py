@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BLOCK_BYTES, Hashes, in_block, packed_ranges
+from attesta.llm.common import BLOCK_BYTES, Hashes, bucket_of, from_delta, in_block, packed_ranges, sorted_delta
 
 WINDOW = 13
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -46,11 +46,6 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(28))
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Hash range of each value; grows with the value."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-
-
 class Block:
     """Words and windows of a block's documents, in (doc_id, text) order."""
 
@@ -68,17 +63,6 @@ class Block:
         self.hashes = every[self.starts]
 
 
-def _sorted_delta(values: np.ndarray) -> bytes:
-    """A sorted array as compressed planes of its differences' bytes."""
-    delta = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.ZstdCompressor(level=1).compress(delta.view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def _from_delta(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
 def _emit(width: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         own = np.unique(Block(table, width).hashes)
@@ -89,7 +73,7 @@ def _emit(width: int, buckets: int):
             {
                 "bucket": pa.array([x[0] for x in rows], pa.int64()),
                 "block": pa.array([block] * len(rows), pa.int64()),
-                "hashes": pa.array([_sorted_delta(own[a:b]) for _, a, b in rows], pa.binary()),
+                "hashes": pa.array([sorted_delta(own[a:b]) for _, a, b in rows], pa.binary()),
             }
         )
 
@@ -99,7 +83,7 @@ def _emit(width: int, buckets: int):
 def _count(table: pa.Table) -> pa.Table:
     """For each block's entries of a hash range: bits that say whether an earlier block has the hash."""
     rows = sorted(zip(table.column("block").to_pylist(), table.column("hashes").to_pylist(), strict=True))
-    arrays = [_from_delta(x) for _, x in rows]
+    arrays = [from_delta(x) for _, x in rows]
     every = np.concatenate(arrays)
     order = np.argsort(every, kind="stable")  # blocks are in order, so the first of equal hashes is the earliest
     again = np.zeros(len(every), bool)
