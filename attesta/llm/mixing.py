@@ -156,3 +156,20 @@ def mix_sources(
     return at.withColumn("copies", copies.cast("int")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies"
     )
+
+
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Copies are found by doc_id; rows that repeat a doc_id share their number of copies evenly, rounded down, the
+    rest going to the first of them by text.
+    """
+    copies = mix_sources(docs, doc_id, text, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    copies = persist(copies)
+    taken = docs.join(copies.where("__copies > 0"), docs[doc_id].eqNullSafe(F.col("__id")), "inner")
+    once = taken.where("__rows = 1").withColumn("__times", F.col("__copies"))
+    place = F.row_number().over(Window.partitionBy("__id").orderBy(text))
+    more = taken.where("__rows > 1").withColumn("__times", F.floor(F.col("__copies") / F.col("__rows")) + F.when(place <= F.col("__copies") % F.col("__rows"), 1).otherwise(0))
+    every = once.unionByName(more) if copies.where("__rows > 1").limit(1).count() else once
+    spread = every.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    return spread.select(*[spread[c] for c in docs.columns])

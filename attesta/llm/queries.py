@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta.llm.class_lm import class_lm_scores
 from attesta.llm.decontamination import contamination
 from attesta.llm.exact_dedup import mark_exact_duplicates
+from attesta.llm.html_text import extract_text
 from attesta.llm.mixing import mix_sources
 from attesta.llm.simhash import near_duplicates
 from attesta.llm.substring_dedup import removal_digest, substring_dedup
@@ -64,8 +65,13 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract_text(table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("text_sha256", F.sha2("text", 256))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_substring_dedup, op2_simhash_dedup, op3_decontamination, op4_token_files, op5_class_lm, op6_toxicity, op7_token_counts, op8_exact_dedup, op9_source_mixing)
+    own = (op1_substring_dedup, op2_simhash_dedup, op3_decontamination, op4_token_files, op5_class_lm, op6_toxicity, op7_token_counts, op8_exact_dedup, op9_source_mixing, op10_html_text)
     return {f.__name__: f for f in own}
 
 
