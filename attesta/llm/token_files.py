@@ -41,8 +41,9 @@ def pack_ids(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(ranks)] = extra
     fields = padded.reshape(-1, 4)
     control = fields[:, 0] | fields[:, 1] << 2 | fields[:, 2] << 4 | fields[:, 3] << 6
-    lanes = ranks.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), lanes[np.arange(4) <= extra[:, None]].tobytes()
+    most = 1 + int(extra.max(initial=0))
+    lanes = ranks.view(np.uint8).reshape(-1, 4)[:, :most]
+    return control.tobytes(), lanes[np.arange(most) <= extra[:, None]].tobytes()
 
 
 def unpack_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -80,7 +81,7 @@ def _tokenise(spec: str, end_id: int):
         own = encoder(spec)
         doc_ids, texts = in_block(list(zip(*(table.column(c).to_pylist() for c in ("ids", "ends", "body")), strict=True)))
         end = np.array([end_id], own.dtype).tobytes()
-        parts = [own.encode(x.decode("utf-8", "replace")) + end for x in texts]
+        parts = [x + end for x in own.encode_many([x.decode("utf-8", "replace") for x in texts])]
         ids = np.frombuffer(b"".join(parts), own.dtype)
         found = np.bincount(ids)
         used = np.flatnonzero(found)

@@ -15,6 +15,8 @@ import string
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Longest stretch that is remembered.
@@ -88,10 +90,6 @@ class UnitEncoder:
         return self._piece("Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)))
 
     def _spaced(self, unit: str) -> bytes:
-        # letters (of two bytes at most, so surely letters to any Unicode version), then only ASCII punctuation: two pieces
-        word = unit.rstrip(_PUNCTUATION)
-        if word.isalpha() and (word.isascii() or len(word.encode()) <= 2 * len(word) and max(word) < "\u0250"):
-            return self.words[word] if len(word) == len(unit) else self.words[word] + self.pieces[unit[len(word) :]]
         return self._cut(" " + unit)
 
     def _cut(self, text: str) -> bytes:
@@ -105,6 +103,52 @@ class UnitEncoder:
             parts = _joined(parts)
         return self._cut(parts[0]) + b"".join(map(self.spaced.__getitem__, parts[1:]))
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """encode of each text; stretches are told apart and put together by Arrow, so Python sees distinct words only."""
+        if not self.divisible:
+            return [self.encode(x) for x in texts]
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, x in enumerate(texts) if not _SPACES_MEET.search(x)]
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = self.encode(texts[i])
+        if not plain:
+            return out
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        ends = np.array(lists.offsets)[1:] - lists.offsets[0].as_py()
+        starts = ends - np.diff(ends, prepend=0)
+        flat = lists.flatten()
+        later = np.ones(len(flat), bool)
+        later[starts] = False  # a text's first stretch has no space before it
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        ids = self._distinct(coded.dictionary).take(coded.indices)
+        data = memoryview(ids.buffers()[2]) if ids.buffers()[2] else memoryview(b"")
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset) if len(ids) else np.zeros(1, np.int64)
+        cuts = at[np.concatenate([[0], ends - np.arange(1, len(ends) + 1)])].tolist()
+        firsts = flat.take(pa.array(starts)).to_pylist()
+        for k, i in enumerate(plain):
+            out[i] = self._cut(firsts[k]) + bytes(data[cuts[k] : cuts[k + 1]])
+        return out
+
+    def _distinct(self, units: pa.Array) -> pa.Array:
+        """Ids of distinct stretches after a space, as large binaries.
+
+        Letters (of two bytes at most, so surely letters to any Unicode version), then only ASCII punctuation, are two pieces.
+        """
+        trimmed = pc.utf8_rtrim(units, _PUNCTUATION)
+        coded = trimmed.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        simple = [w.isalpha() and (w.isascii() or len(w.encode()) <= 2 * len(w) and max(w) < "\u0250") for w in words]
+        known = self.words
+        heads = pa.array([known[w] if s else b"" for w, s in zip(words, simple, strict=True)], pa.large_binary()).take(coded.indices)
+        tails: list[bytes] = [b""] * len(units)
+        whole = ~np.array(simple, bool)[coded.indices.to_numpy()] if len(units) else np.zeros(0, bool)
+        longer = np.asarray(pc.binary_length(units)) > np.asarray(pc.binary_length(trimmed))
+        odd = np.flatnonzero(whole | longer)
+        picked = pa.array(odd)
+        for i, unit, word, all_ in zip(odd.tolist(), units.take(picked).to_pylist(), trimmed.take(picked).to_pylist(), whole[odd].tolist(), strict=True):
+            tails[i] = self.spaced[unit] if all_ else self.pieces[unit[len(word) :]]
+        return pc.binary_join_element_wise(heads, pa.array(tails, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+
 
 def _joined(parts: list[str]) -> list[str]:
     """Stretches of a text in which white space meets: no cut after white space."""
