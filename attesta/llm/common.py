@@ -182,7 +182,34 @@ def packer(bounds: list[int] | None, start: int = 0):
     return pack
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most so many rows and bytes from now on, so that long texts don't fill a worker."""
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        own = spark.conf.get(key, None)
+        if own is None or not 0 < _number(own) <= most:
+            spark.conf.set(key, most)
+
+
+def _number(setting: str) -> int:
+    return int(setting) if setting.lstrip("-").isdigit() else 1 << 62
+
+
+def slices(texts: list[bytes], most: int = 8 << 20) -> Iterator[slice]:
+    """Slices of a list of texts, each of about ``most`` bytes (one longer text apart)."""
+    start = size = 0
+    for i, x in enumerate(texts):
+        if size and size + len(x) > most:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(x)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def small_batches(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id long, text string) in Arrow batches of bounded size."""
+    bounded(df.sparkSession)
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 

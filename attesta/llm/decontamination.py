@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import LOWER, Hashes, encode, small_batches, texts_of
+from attesta.llm.common import LOWER, Hashes, bounded, encode, slices, small_batches, texts_of
 
 #: Words of a gram and grams of a window: every shared span of K + WINDOW - 1 = 13 words is found.
 K, WINDOW = 5, 9
@@ -162,18 +162,6 @@ def judge(texts: list[bytes], index: TestIndex, hashes: Hashes) -> list[tuple[in
     return [(n, _merged(s), sorted(i)) for n, s, i in zip(counts, spans, items, strict=True)]
 
 
-def _groups(texts: list[bytes], most: int = 8 << 20) -> Iterator[slice]:
-    """Slices of a batch of at most about ``most`` bytes."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(x)
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
 
@@ -202,7 +190,7 @@ def benchmark_spans(
             index, hashes = sent.value, Hashes()
             for batch in batches:
                 ids, texts = batch.column(0), texts_of(batch.column(1))
-                for own in _groups(texts):
+                for own in slices(texts):
                     found = judge(texts[own], index, hashes)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -250,6 +238,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
     With more than one block of items, ``docs`` is first joined with each document's merged spans.
     """
+    bounded(docs.sparkSession)
     blocks = list(islice(test_blocks(benchmark, item_id, item_text, test_bytes), 2))
     if len(blocks) > 1:
         judged = contamination(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")).distinct(), benchmark, item_id=item_id, item_text=item_text, test_bytes=test_bytes, keep_hash=True)
@@ -261,7 +250,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         hashes = Hashes()
         for batch in batches:
             texts, keep = texts_of(batch.column(at)), []
-            for own in _groups(texts):
+            for own in slices(texts):
                 keep += [not (hit and SHARE * hit >= n) for n, hit in ((n, sum(b - a for a, b in s)) for n, s, _ in judge(texts[own], sent.value, hashes))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.common import bounded
+
 DEEPEST = 120
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
@@ -388,6 +390,7 @@ def visible_text(page: str | None) -> str:
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """One row per input row: page_id, text."""
+    bounded(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

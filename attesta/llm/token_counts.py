@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.llm.common import bounded
 from attesta.llm.units import encoder, tokenizer_json
 
 SPAN = 1024
@@ -25,6 +26,7 @@ SPAN = 1024
 def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """(n_tokens, n_docs): how many documents have each encoded length."""
     spec = tokenizer_json(tokenizer)
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, found = encoder(spec), Counter()

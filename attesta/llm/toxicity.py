@@ -18,17 +18,19 @@ toxic labels (0 without labels); a null doc_id counts as the empty text in the h
 from __future__ import annotations
 
 import re
-from collections import Counter
+import string
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.boosting import BoostedTrees, Isotonic
-from attesta.llm.common import crc_mod, encode, persist, small_batches, texts_of
+from attesta.llm.common import bounded, crc_mod, encode, persist, slices, small_batches, texts_of
 
 #: Labelled texts that learning reads; lexicon terms; folds; rows of the held-out rule; alarm threshold.
 TRAIN_DOCS, TERMS, FOLDS, HELD_OUT, ALARM = 20_000, 20_000, 4, (4, 2), 0.3
@@ -36,128 +38,161 @@ TRAIN_DOCS, TERMS, FOLDS, HELD_OUT, ALARM = 20_000, 20_000, 4, (4, 2), 0.3
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur tu toi te ton ta tes vous votre vos du dich dir dein deine deinen deiner ihr euch euer eure ti tuyo usted ustedes vosotros vuestro".split()
 )
-_SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "+": "t", "|": "l"})
-_EDGES = re.compile(r"^[^\w@$]+|[^\w@$*]+$")
+#: Signs that stand for letters, edge punctuation, letters run together.
+SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "+": "t", "|": "l"}
+_EDGES = string.punctuation.replace("@", "").replace("$", "") + "…«»“”‘’¿¡–—·"
+_LONG_RUN = "|".join(c * 3 for c in string.ascii_lowercase)
 _REPEAT = re.compile(r"(.)\1\1+")
-NEAR, WIDTH = 4, 16
-(_CHARS, _LETTERS, _UPPER, _CAPS, _PUNCT, _BANG, _ASK, _MIXED, _WORD, _WORD_HIT, _STEM, _STEM_HIT, _YOU, _SINGLE, _HIDDEN, _LONGRUN) = range(WIDTH)
-
-
-def plain(token: str) -> tuple[str, bool]:
-    """(lower-case word without edge punctuation and disguise, whether signs stood among its letters)."""
-    word = _EDGES.sub("", token).lower()
-    if word.isalpha():
-        return _REPEAT.sub(r"\1\1", word), False
-    undone = word.translate(_SIGNS)
-    if undone != word and undone.isalpha() and any(c.isalpha() for c in word):
-        return _REPEAT.sub(r"\1\1", undone), True
-    return "".join(c for c in word if c.isalpha()), False
-
-
-def terms(word: str) -> Iterator[str]:
-    """Lexicon keys of a word: itself, and its first 4, 5 and 6 letters marked with a star."""
-    yield word
-    for n in (4, 5, 6):
-        if len(word) > n:
-            yield word[:n] + "*"
-
-
-class Lexicon(dict):
-    """token -> row of ``self.rows`` with the token's part of the features."""
-
-    def __init__(self, weights: dict[str, float], most: int = 200_000):
-        super().__init__()
-        self.weights, self.most = weights, most
-        self.rows = np.zeros((1 << 12, WIDTH), np.float32)
-        self.used = 0
-
-    def __reduce__(self):
-        return (Lexicon, (self.weights, self.most))
-
-    def __missing__(self, token: str) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        at, row = self.used, self.rows[self.used]
-        self.used += 1
-        self[token] = at
-        letters = sum(map(str.isalpha, token))
-        word, mixed = plain(token)
-        row[[_CHARS, _LETTERS, _PUNCT, _BANG, _ASK, _MIXED]] = len(token), letters, sum(not c.isalnum() for c in token), token.count("!"), token.count("?"), mixed
-        if token[:1].isupper() or not token.islower():
-            upper = sum(map(str.isupper, token))
-            row[[_UPPER, _CAPS]] = upper, letters >= 2 and upper == letters
-        found = self.weights.get(word, 0.0)
-        stem = max((self.weights.get(word[:n] + "*", 0.0) for n in (4, 5, 6) if len(word) > n), default=0.0)
-        row[[_WORD, _WORD_HIT, _STEM, _STEM_HIT, _YOU, _SINGLE]] = found, found > 2, stem, stem > 1.2, word in SECOND_PERSON, letters == 1 and len(token) == 1
-        row[_HIDDEN] = mixed and (found > 2 or stem > 1.2)
-        row[_LONGRUN] = bool(_REPEAT.search(token))
-        return at
-
-    def of(self, tokens: list[str]) -> np.ndarray:
-        if self.used > self.most:
-            self.clear()
-            self.rows, self.used = np.zeros((1 << 12, WIDTH), np.float32), 0
-        where = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        return self.rows[where]
+NEAR, STEMS = 4, (4, 5, 6)
+#: Weights beyond which a lexicon word, or a word beginning, is a hit.
+WORD_HIT, STEM_HIT = 2.0, 1.2
+
+
+def plain_words(tokens: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(lower-case words without edge punctuation and disguise, whether signs stood among the letters) of tokens."""
+    base = pc.replace_substring_regex(pc.utf8_lower(pc.utf8_trim(tokens, _EDGES)), r"[@$]{2,}$", "")
+    odd = np.flatnonzero(~np.asarray(pc.utf8_is_alpha(base)) & (np.asarray(pc.utf8_length(base)) > 0))
+    mixed = np.zeros(len(tokens), bool)
+    if len(odd):
+        some = base.take(pa.array(odd))
+        undone = some
+        for sign, letter in SIGNS.items():
+            undone = pc.replace_substring(undone, sign, letter)
+        disguised = np.asarray(pc.utf8_is_alpha(undone)) & np.asarray(pc.match_substring_regex(some, r"\pL"))
+        mixed[odd] = disguised
+        letters = pc.replace_substring_regex(some, r"\PL+", "")
+        base = pc.replace_with_mask(base, _mask(len(base), odd), pc.if_else(pa.array(disguised), undone, letters))
+    runs = np.flatnonzero(np.asarray(pc.match_substring_regex(base, _LONG_RUN)))
+    if len(runs):
+        short = [_REPEAT.sub(r"\1\1", x) for x in base.take(pa.array(runs)).to_pylist()]
+        base = pc.replace_with_mask(base, _mask(len(base), runs), pa.array(short, base.type))
+    return base, mixed
+
+
+def _mask(n: int, at: np.ndarray) -> pa.Array:
+    out = np.zeros(n, bool)
+    out[at] = True
+    return pa.array(out)
+
+
+class _Weights:
+    """Weights of a set of keys, looked up for whole arrays; 0 for other keys."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.keys = pa.array(list(weights), pa.large_string())
+        self.values = np.array([*weights.values(), 0.0])
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        return self.values[np.asarray(pc.fill_null(pc.index_in(words, value_set=self.keys), len(self.keys)))]
+
+
+class Lexicon:
+    """Weights of words and of word beginnings (keys of ``weights`` that end with a star)."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        self.words = _Weights({k: w for k, w in weights.items() if k[-1:] != "*"})
+        self.stems = {n: _Weights({k[:-1]: w for k, w in weights.items() if k[-1:] == "*" and len(k) == n + 1}) for n in STEMS}
+        self.you = _Weights(dict.fromkeys(SECOND_PERSON, 1.0))
 
 
 def features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     """A row of dense features for each text."""
-    out = []
-    for text in texts:
-        tokens = text.decode("utf-8", "replace").split()
-        n = len(tokens)
-        sums, peak, near = np.zeros(WIDTH), np.zeros(2), 0
-        you_before: np.ndarray | None = None
-        for a in range(0, n, 50_000):
-            part = lexicon.of(tokens[a : a + 50_000])
-            sums += part.sum(0, dtype=np.float64)
-            peak = np.maximum(peak, part[:, [_WORD, _STEM]].max(0))
-            you = np.flatnonzero(part[:, _YOU]) + a
-            hits = np.flatnonzero((part[:, _WORD_HIT] > 0) | (part[:, _STEM_HIT] > 0)) + a
-            if you_before is not None:
-                you = np.concatenate([you_before, you])
-            if len(you) and len(hits):
-                right = np.searchsorted(you, hits)
-                gap = np.minimum(np.abs(you[np.minimum(right, len(you) - 1)] - hits), np.abs(hits - you[np.maximum(right - 1, 0)]))
-                near += int((gap <= NEAR).sum())
-            you_before = you[-1:]
-        spelled = _spelled(tokens, lexicon) if sums[_SINGLE] >= 3 else 0
-        m, chars, letters = max(n, 1), max(sums[_CHARS], 1), max(sums[_LETTERS], 1)
-        hits = sums[_WORD_HIT] + spelled
-        out.append(
-            [
-                log(1 + n), hits / m, min(hits, 30), sums[_WORD] / m, sums[_STEM_HIT] / m, min(sums[_STEM_HIT], 30), sums[_STEM] / m,
-                peak[0], peak[1], near / m, near / max(hits + sums[_STEM_HIT], 1), sums[_UPPER] / letters, sums[_CAPS] / m, sums[_PUNCT] / chars,
-                sums[_BANG] / m, sums[_ASK] / m, sums[_MIXED] / m, (sums[_HIDDEN] + spelled) / m, sums[_LONGRUN] / m, sums[_YOU] / m,
-            ]
-        )
-    return np.array(out, np.float64).reshape(len(texts), 20)
-
-
-def _spelled(tokens: list[str], lexicon: Lexicon) -> int:
-    """Lexicon words spelled out as single letters."""
-    found, run = 0, ""
-    for token in [*tokens, ""]:
-        if len(token) == 1 and token.isalpha():
-            run += token.lower()
-            continue
-        if len(run) >= 3 and lexicon.weights.get(run, 0.0) > 2:
-            found += 1
-        run = ""
-    return found
+    parts = [_features(texts[own], lexicon) for own in slices(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, WIDTH))
+
+
+def _features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
+    valid = [x.decode("utf-8", "replace") for x in texts]
+    lists = pc.utf8_split_whitespace(pa.array(valid, pa.large_string()))
+    coded = lists.flatten().dictionary_encode()
+    token, place = coded.dictionary, coded.indices.to_numpy()
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+    word, mixed = plain_words(token)
+    length, size = np.asarray(pc.utf8_length(token)), np.asarray(pc.utf8_length(word))
+    letters = np.asarray(pc.utf8_length(pc.replace_substring_regex(token, r"\PL+", "")))
+    upper = np.asarray(pc.count_substring_regex(token, r"\p{Lu}"))
+    found = lexicon.words.of(word)
+    stem = np.max([np.where(size > n, w.of(pc.utf8_slice_codeunits(word, 0, n)), 0.0) for n, w in lexicon.stems.items()], axis=0)
+    hit, stem_hit, you, single = found > WORD_HIT, stem > STEM_HIT, lexicon.you.of(word) > 0, (length == 1) & (letters == 1)
+
+    def total(column: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, column[place], len(texts))
+
+    n = total(length > 0)
+    chars, n_letters, hits, stem_hits = np.maximum(total(length), 1), np.maximum(total(letters), 1), total(hit), total(stem_hit)
+    peaks = np.zeros((2, len(texts)))
+    for k, values in enumerate((found, stem)):
+        some = np.flatnonzero(values[place] > 0)
+        np.maximum.at(peaks[k], doc[some], values[place[some]])
+    spelled = _spelled(np.flatnonzero(single[place]), doc, place, token, lexicon, len(texts))
+    near = _near(np.flatnonzero((hit | stem_hit)[place]), np.flatnonzero(you[place]), doc, len(texts))
+    hits = hits + spelled
+    m = np.maximum(n, 1)
+    return np.stack(
+        [
+            np.log1p(n), hits / m, np.minimum(hits, 30), total(found) / m, stem_hits / m, np.minimum(stem_hits, 30), total(stem) / m, peaks[0], peaks[1],
+            near / m, near / np.maximum(hits + stem_hits, 1), total(upper) / n_letters, total((letters >= 2) & (upper == letters)) / m,
+            total(np.asarray(pc.count_substring_regex(token, r"\pP|\pS"))) / chars, total(np.asarray(pc.count_substring(token, "!"))) / m,
+            total(np.asarray(pc.count_substring(token, "?"))) / m, total(mixed) / m, (total(mixed & (hit | stem_hit)) + spelled) / m,
+            total(np.asarray(pc.match_substring_regex(pc.utf8_lower(token), _LONG_RUN))) / m, total(you) / m,
+        ],
+        axis=1,
+    )
+
+
+WIDTH = 20
+
+
+def _near(hits: np.ndarray, you: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Hits with a second-person pronoun at most NEAR words away, per document."""
+    if not len(hits) or not len(you):
+        return np.zeros(n)
+    right = np.searchsorted(you, hits)
+    close = np.zeros(len(hits), bool)
+    for other in (you[np.minimum(right, len(you) - 1)], you[np.maximum(right - 1, 0)]):
+        close |= (np.abs(other - hits) <= NEAR) & (doc[other] == doc[hits])
+    return np.bincount(doc[hits[close]], minlength=n)
+
+
+def _spelled(singles: np.ndarray, doc: np.ndarray, place: np.ndarray, token: pa.Array, lexicon: Lexicon, n: int) -> np.ndarray:
+    """Lexicon words spelled out as single letters, per document."""
+    out = np.zeros(n)
+    if len(singles) < 3:
+        return out
+    breaks = np.flatnonzero((np.diff(singles) > 1) | (np.diff(doc[singles]) != 0)) + 1
+    for run in np.split(singles, breaks):
+        if len(run) >= 3:
+            word = "".join(token.take(pa.array(place[run])).to_pylist()).lower()
+            out[doc[run[0]]] += lexicon.weights.get(word, 0.0) > WORD_HIT
+    return out
+
+
+def terms_of(token_counts: Counter) -> Counter:
+    """Lexicon keys of tokens with their counts: each plain word, and its first letters marked with a star."""
+    out: Counter = Counter()
+    words, _ = plain_words(pa.array(list(token_counts), pa.large_string()))
+    for word, times in zip(words.to_pylist(), token_counts.values(), strict=True):
+        out[word] += times
+        for n in STEMS:
+            if len(word) > n:
+                out[word[:n] + "*"] += times
+    out.pop("", None)
+    return out
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, fold, toxic, times) over a task's labelled texts."""
     found: Counter = Counter()
+    tokens: dict[tuple[int, int], Counter] = defaultdict(Counter)
     for batch in batches:
         for doc_id, text, toxic in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             fold = _fold(doc_id)
-            for token, times in Counter(text.decode("utf-8", "replace").split()).items():
-                for term in terms(plain(token)[0]):
-                    found[term, fold, toxic] += times
+            tokens[fold, toxic].update(text.decode("utf-8", "replace").split())
             found["", fold, toxic] += text.count(b" ") + 1
+    for cell, counts in tokens.items():
+        for term, times in terms_of(counts).items():
+            found[term, *cell] += times
     rows = [(t, f, x, n) for (t, f, x), n in found.items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["term", "fold", "toxic", "times"])
 
@@ -223,8 +258,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             folds = [_fold(x) for x in batch.column(0).to_pylist()]
-            rows = [features([x], lexicons[f])[0].tolist() for x, f in zip(texts_of(batch.column(1)), folds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folds, pa.int32()), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "fold", "toxic", "row"])
+            texts, rows = texts_of(batch.column(1)), np.zeros((len(folds), WIDTH))
+            for f in set(folds):
+                own = [i for i, x in enumerate(folds) if x == f]
+                rows[own] = features([texts[i] for i in own], lexicons[f])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folds, pa.int32()), batch.column(2), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["doc_id", "fold", "toxic", "row"])
 
     found = sorted(tuple(r) for r in sample.mapInArrow(measure, "doc_id long, fold int, toxic int, row array<double>").collect())
     y = np.array([r[2] for r in found], np.float64)
@@ -253,6 +291,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below the alarm, with all their columns and no shuffle."""
+    bounded(docs.sparkSession)
     at, sent = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
