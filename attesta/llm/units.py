@@ -67,7 +67,7 @@ class _Memory(dict):
 class UnitEncoder:
     """Packed ids (16 or 32 bits each) of texts."""
 
-    def __init__(self, spec: str, most: int = 350_000):
+    def __init__(self, spec: str, most: int = 160_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -79,8 +79,8 @@ class UnitEncoder:
         first = kind.get("pre_tokenizer") or {}
         self.divisible = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not kind.get("normalizer")
         self.alphabet = byte_alphabet()
-        self.spaced = _Memory(self._spaced, most)  # stretch without its leading space
-        self.pieces = _Memory(self._piece, most)  # piece of the first cut, in the byte alphabet
+        self.spaced = _Memory(self._spaced, most // 4)  # stretch without its leading space
+        self.pieces = _Memory(self._piece, most // 2)  # piece of the first cut, in the byte alphabet
         self.words = _Memory(self._word, most)  # word without its leading space
 
     def _piece(self, piece: str) -> bytes:
