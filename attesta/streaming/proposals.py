@@ -65,7 +65,7 @@ def latest_runs(log: DataFrame) -> DataFrame:
 
 
 def proposals_of(events: DataFrame) -> DataFrame:
-    """Event rows as proposals: one per user and type, content id as key."""
+    """Event rows as proposals; events of one user and type have one content id, and recording merges them."""
     payload = store.canonical_json(F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("user")))
     at = F.col("ts").cast("timestamp")
     kind, who = F.lit("tag"), F.col("user_id").cast("string")
@@ -74,6 +74,4 @@ def proposals_of(events: DataFrame) -> DataFrame:
         who.alias("subject_id"), F.col("event_type").alias("summary"), F.lit(None).cast("double").alias("confidence"), payload.alias("payload"), F.lit("events").alias("producer"),
         F.lit("new").alias("state"), F.lit(None).cast("string").alias("prior_state"), F.lit(None).cast("string").alias("error"), at.alias("created_at"), at.alias("last_seen_at"),
         F.lit(None).cast("timestamp").alias("resolved_at"),
-    ).groupBy("fingerprint", "folder", "subject_type", "subject_id", "summary", "confidence", "payload", "producer", "state", "prior_state", "error", "resolved_at").agg(
-        F.min("created_at").alias("created_at"), F.max("last_seen_at").alias("last_seen_at")
     )
