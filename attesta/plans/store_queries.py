@@ -211,7 +211,7 @@ _NOW = "TIMESTAMP '2024-01-31 12:00:00'"
     f"""WITH last AS (SELECT event_type AS producer, date_trunc('second', max(ts)) AS last FROM events WHERE event_type <> 'view' GROUP BY 1),
         e AS (SELECT * FROM (VALUES ('click', 3600.0, NULL, true), ('error', 172800.0, NULL, true), ('purchase', NULL, '09:30:00', true), ('signup', NULL, '23:30:00', true), ('view', 60.0, NULL, true), ('off', 60.0, NULL, false)) v(producer, every, clock, enabled))
         SELECT e.producer, CASE WHEN NOT enabled THEN 'disabled' WHEN last IS NULL THEN 'never run'
-            WHEN clock IS NOT NULL THEN CASE WHEN last < (SELECT max(o) FROM (SELECT unnest([TIMESTAMP '2024-01-30 00:00:00' + CAST(clock AS TIME), TIMESTAMP '2024-01-31 00:00:00' + CAST(clock AS TIME)]) AS o) WHERE o <= {_NOW}) THEN 'due' ELSE 'not yet' END
+            WHEN clock IS NOT NULL THEN CASE WHEN last < (SELECT max(o) FROM (SELECT unnest([CAST('2024-01-30 ' || clock AS TIMESTAMP), CAST('2024-01-31 ' || clock AS TIMESTAMP)]) AS o) WHERE o <= {_NOW}) THEN 'due' ELSE 'not yet' END
             WHEN {_NOW} >= last + to_seconds(every) THEN 'due' ELSE 'not yet' END AS reason
         FROM e LEFT JOIN last USING (producer)"""
 )

@@ -22,6 +22,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
         spark.sparkContext.addPyFile(archive)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # instants are written and compared in UTC
         _SHIPPED.add(app)
     return spark
 
