@@ -7,7 +7,10 @@ block, never by a key.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
+import inspect
 import os
 import tempfile
 from collections.abc import Iterator
@@ -195,6 +198,41 @@ def _number(setting: str) -> int:
     return int(setting) if setting.lstrip("-").isdigit() else 1 << 62
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f):
+    """``f``, an Arrow function of a group, two groups or batches, with memory trimmed when it has ended."""
+    if sum(p.default is p.empty for p in inspect.signature(f).parameters.values()) == 2:
+
+        def run(left, right):
+            try:
+                return f(left, right)
+            finally:
+                trim()
+    else:
+
+        def run(data):
+            out = f(data)
+            if isinstance(out, pa.Table):
+                trim()
+                return out
+            return _drained(out)
+
+    return run
+
+
+def _drained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from batches
+    finally:
+        trim()
+
+
 def slices(texts: list[bytes], most: int = 8 << 20) -> Iterator[slice]:
     """Slices of a list of texts, each of about ``most`` bytes (one longer text apart)."""
     start = size = 0
@@ -225,7 +263,7 @@ def packed_ranges(df: DataFrame, doc_id: str, text: str, block_bytes: int = BLOC
     """(pieces of blocks, number of blocks): block k holds doc_ids below those of block k + 1, equal ids together."""
     ids = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_id"))
     bounds = range_bounds(ids, block_count(df, block_bytes))
-    return small_batches(df, doc_id, text).mapInArrow(packer(bounds), PIECE), len(bounds) + 1
+    return small_batches(df, doc_id, text).mapInArrow(lean(packer(bounds)), PIECE), len(bounds) + 1
 
 
 def hex_sha256(data: bytes) -> str:

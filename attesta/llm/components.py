@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import persist
+from attesta.llm.common import lean, persist
 
 #: Edges that one task may hold (16 MB and a dictionary of their nodes).
 FINISH_EDGES = 1_000_000
@@ -69,7 +69,7 @@ def _ordered(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", bound: int = FINISH_EDGES) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component."""
-    thinned = edges.select(F.col(a).cast("long"), F.col(b).cast("long")).mapInArrow(_stars(bound), "node long, root long")
+    thinned = edges.select(F.col(a).cast("long"), F.col(b).cast("long")).mapInArrow(lean(_stars(bound)), "node long, root long")
     rest = persist(_ordered(thinned, "node", "root").distinct())
     hops: list[DataFrame] = []
     while rest.count() > bound:
@@ -78,7 +78,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", bound: int = FINISH
         hops.append(hop)
         moved = rest.join(hop.toDF("u", "pu"), "u").join(hop.toDF("v", "pv"), "v")
         rest = persist(_ordered(moved, "pu", "pv").distinct())
-    ended = persist(rest.repartition(1).mapInArrow(_stars(1 << 62), "node long, root long"))
+    ended = persist(rest.repartition(1).mapInArrow(lean(_stars(1 << 62)), "node long, root long"))
     if not hops:
         return ended
     labels = hops[0]

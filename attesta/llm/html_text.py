@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import bounded
+from attesta.llm.common import bounded, lean
 
 DEEPEST = 120
 #: Fixed values of the HTML standard.
@@ -398,4 +398,4 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", html: str = "html")
             for a in range(0, batch.num_rows, 256):
                 yield pa.RecordBatch.from_arrays([ids[a : a + 256], pa.array([visible_text(x) for x in pages[a : a + 256].to_pylist()], pa.string())], ["page_id", "text"])
 
-    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).cast("string").alias("html")).mapInArrow(run, "page_id long, text string")
+    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).cast("string").alias("html")).mapInArrow(lean(run), "page_id long, text string")

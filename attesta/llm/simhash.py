@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import LOWER, persist, small_batches, texts_of
+from attesta.llm.common import LOWER, lean, persist, small_batches, texts_of
 from attesta.llm.components import Forest, components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             raw = b"".join([fingerprint(x) for x in texts_of(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
-    return small_batches(docs, doc_id, text).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs, doc_id, text).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,7 @@ def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(nodes: DataFrame, slot_pairs: int = SLOT_PAIRS) -> DataFrame:
     """(a, b): edges that connect the nodes of all fingerprints within MOST_BITS of each other. ``nodes``: distinct (fp, node)."""
-    slots = nodes.select("fp", "node").mapInArrow(_slots, "slot long, probe byte, fp long, node long")
+    slots = nodes.select("fp", "node").mapInArrow(lean(_slots), "slot long, probe byte, fp long, node long")
     entries, probes = F.sum(1 - F.col("probe")), F.sum("probe")
     sizes = slots.groupBy("slot").agg(entries.alias("e"), probes.alias("p")).where("e >= 2 or (e = 1 and p >= 1)")
     held = persist(slots.join(sizes, "slot"))
@@ -131,9 +131,9 @@ def links(nodes: DataFrame, slot_pairs: int = SLOT_PAIRS) -> DataFrame:
         .groupBy("slot")
         .agg(F.collect_list(F.struct("fp", "node", "probe")).alias("rows"))
         .select("rows.fp", "rows.node", "rows.probe")
-        .mapInArrow(_compare(MOST_BITS), "a long, b long")
+        .mapInArrow(lean(_compare(MOST_BITS)), "a long, b long")
     )
-    far = held.where(crowded).select("slot", "probe", "fp", "node").mapInArrow(_balls, "fp long, b long")
+    far = held.where(crowded).select("slot", "probe", "fp", "node").mapInArrow(lean(_balls), "fp long, b long")
     return near.unionByName(far.join(nodes.select("fp", F.col("node").alias("a")), "fp").select("a", "b"))
 
 

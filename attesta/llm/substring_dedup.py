@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BLOCK_BYTES, Hashes, bucket_of, from_delta, in_block, packed_ranges, sorted_delta
+from attesta.llm.common import BLOCK_BYTES, Hashes, bucket_of, from_delta, in_block, lean, packed_ranges, sorted_delta
 
 WINDOW = 13
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -172,9 +172,9 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per input row: doc_id, n_words, n_removed, spans (removed word positions, both ends included), kept_text."""
     packed, n = packed_ranges(docs, doc_id, text, block_bytes)
     buckets = min(4 * n, 4096 + n // 8)
-    windows = packed.groupBy("block").applyInArrow(_emit(width, buckets), "bucket long, block long, hashes binary")
-    bits = windows.groupBy("bucket").applyInArrow(_count, "block long, bucket long, bits binary")
-    return packed.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_apply(width, buckets), RESULT)
+    windows = packed.groupBy("block").applyInArrow(lean(_emit(width, buckets)), "bucket long, block long, hashes binary")
+    bits = windows.groupBy("bucket").applyInArrow(lean(_count), "block long, bucket long, bits binary")
+    return packed.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(lean(_apply(width, buckets)), RESULT)
 
 
 def removal_digest(result: DataFrame) -> DataFrame:

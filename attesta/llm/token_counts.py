@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import bounded
+from attesta.llm.common import bounded, lean
 from attesta.llm.units import encoder, tokenizer_json
 
 SPAN = 1024
@@ -36,7 +36,7 @@ def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None
                 found.update(len(x) // own.dtype.itemsize for x in own.encode_many(texts[a : a + 4096]))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "n_docs"])
 
-    lengths = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
+    lengths = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "n_tokens long, n_docs long")
     return lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 

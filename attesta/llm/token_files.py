@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BLOCK_BYTES, filesystem, in_block, packed_ranges, persist, shared_dir
+from attesta.llm.common import BLOCK_BYTES, filesystem, in_block, lean, packed_ranges, persist, shared_dir
 from attesta.llm.units import encoder, tokenizer_json
 
 MAGIC, HEAD, END_ID = b"ATK1", struct.Struct("<4sIQ"), 2
@@ -129,16 +129,16 @@ def _write(out_dir: str, rank_of_id: np.ndarray):
 
 
 def write_token_files(
-    docs: DataFrame, out_dir: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, out_dir: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES // 2
 ) -> DataFrame:
     """Writes block files and ranks.u32 to ``out_dir`` (shared); returns (block, path, n_docs, n_ids), one row per file."""
     spec = tokenizer_json(tokenizer)
     packed, n = packed_ranges(docs, doc_id, text, block_bytes)
     spark = docs.sparkSession
     tokens = persist(
-        packed.repartition(max(n, 1), "block").groupBy("block").applyInArrow(_tokenise(spec, end_id), "block long, ids binary, lens binary, body binary, wide boolean, seen binary")
+        packed.repartition(max(n, 1), "block").groupBy("block").applyInArrow(lean(_tokenise(spec, end_id)), "block long, ids binary, lens binary, body binary, wide boolean, seen binary")
     )
-    seen = tokens.select("seen").mapInArrow(_seen, "id long, times long").groupBy("id").agg(F.sum("times").alias("times")).collect()  # a row per vocabulary entry
+    seen = tokens.select("seen").mapInArrow(lean(_seen), "id long, times long").groupBy("id").agg(F.sum("times").alias("times")).collect()  # a row per vocabulary entry
     ids_of_ranks = np.array([r["id"] for r in sorted(seen, key=lambda r: (-r["times"], r["id"]))], np.uint32)
     rank_of_id = np.zeros(int(ids_of_ranks.max(initial=0)) + 1, np.uint32)
     rank_of_id[ids_of_ranks] = np.arange(len(ids_of_ranks), dtype=np.uint32)
@@ -146,7 +146,7 @@ def write_token_files(
     fs.create_dir(at, recursive=True)
     with fs.open_output_stream(f"{at}/ranks.u32") as f:
         f.write(ids_of_ranks.astype("<u4").tobytes())
-    index = tokens.select("block", "ids", "lens", "body", "wide").mapInArrow(_write(out_dir, rank_of_id), "block long, path string, n_docs long, n_ids long")
+    index = tokens.select("block", "ids", "lens", "body", "wide").mapInArrow(lean(_write(out_dir, rank_of_id)), "block long, path string, n_docs long, n_ids long")
     return spark.createDataFrame(persist(index).collect(), index.schema)  # a row per file
 
 
@@ -176,7 +176,7 @@ def read_token_files(spark: SparkSession, out_dir: str, index: DataFrame) -> Dat
 
     n = max(1, len(files))
     table = spark.createDataFrame(files, "path string, start long").repartition(n)
-    return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_round_trip(docs: DataFrame, **options) -> DataFrame:

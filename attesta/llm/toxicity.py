@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.boosting import BoostedTrees, Isotonic
-from attesta.llm.common import bounded, crc_mod, encode, persist, slices, small_batches, texts_of
+from attesta.llm.common import bounded, crc_mod, encode, lean, persist, slices, small_batches, texts_of
 
 #: Labelled texts that learning reads; lexicon terms; folds; rows of the held-out rule; alarm threshold.
 TRAIN_DOCS, TERMS, FOLDS, HELD_OUT, ALARM = 20_000, 20_000, 4, (4, 2), 0.3
@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     )
     texts = small_batches(docs, doc_id, text).where(F.col("doc_id").isNotNull())
     sample = persist(texts.join(F.broadcast(known), "doc_id"))  # at most ``most`` rows are broadcast
-    counted = sample.mapInArrow(_count_terms, "term string, fold int, toxic int, times long").groupBy("term", "fold", "toxic").agg(F.sum("times").alias("times"))
+    counted = sample.mapInArrow(lean(_count_terms), "term string, fold int, toxic int, times long").groupBy("term", "fold", "toxic").agg(F.sum("times").alias("times"))
     ranked = counted.groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("times")).otherwise(0)).alias("t"),
         F.sum("times").alias("n"),
@@ -264,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 rows[own] = features([texts[i] for i in own], lexicons[f])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folds, pa.int32()), batch.column(2), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["doc_id", "fold", "toxic", "row"])
 
-    found = sorted(tuple(r) for r in sample.mapInArrow(measure, "doc_id long, fold int, toxic int, row array<double>").collect())
+    found = sorted(tuple(r) for r in sample.mapInArrow(lean(measure), "doc_id long, fold int, toxic int, row array<double>").collect())
     y = np.array([r[2] for r in found], np.float64)
     if len(set(y.tolist())) < 2:
         return Model({}, None, None, float(y.mean()) if len(y) else 0.0)
@@ -286,7 +286,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             held = [crc_mod(x, mod) == rest for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(got), pa.array((got >= ALARM).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return small_batches(docs, doc_id, text).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return small_batches(docs, doc_id, text).mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -298,7 +298,7 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(sent.value.scores(texts_of(batch.column(at))) < ALARM))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def score_text(text: str | None, model: Model) -> float:

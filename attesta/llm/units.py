@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import string
+import sys
 from array import array
 
 import numpy as np
@@ -23,6 +24,7 @@ TOKENIZER = "byte_bpe_50k.json"
 LONGEST = 48
 _SPACES_MEET = re.compile(r"\s ")
 _PUNCTUATION = string.punctuation
+_LATIN = "^[A-Za-z\u00c0-\u024f]+$"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -67,7 +69,7 @@ class _Memory(dict):
 class UnitEncoder:
     """Packed ids (16 or 32 bits each) of texts."""
 
-    def __init__(self, spec: str, most: int = 160_000):
+    def __init__(self, spec: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -79,12 +81,15 @@ class UnitEncoder:
         first = kind.get("pre_tokenizer") or {}
         self.divisible = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not kind.get("normalizer")
         self.alphabet = byte_alphabet()
+        self.packed = [i.to_bytes(self.dtype.itemsize, sys.byteorder) for i in range(self.tokenizer.get_vocab_size())]
+        self.tokenize = self.tokenizer.model.tokenize
         self.spaced = _Memory(self._spaced, most // 4)  # stretch without its leading space
         self.pieces = _Memory(self._piece, most // 2)  # piece of the first cut, in the byte alphabet
         self.words = _Memory(self._word, most)  # word without its leading space
 
     def _piece(self, piece: str) -> bytes:
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(piece)])
 
     def _word(self, word: str) -> bytes:
         return self._piece("Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)))
@@ -132,16 +137,17 @@ class UnitEncoder:
     def _distinct(self, units: pa.Array) -> pa.Array:
         """Ids of distinct stretches after a space, as large binaries.
 
-        Letters (of two bytes at most, so surely letters to any Unicode version), then only ASCII punctuation, are two pieces.
+        Latin letters (surely letters to any Unicode version), then only ASCII punctuation, are two pieces.
         """
         trimmed = pc.utf8_rtrim(units, _PUNCTUATION)
         coded = trimmed.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        simple = [w.isalpha() and (w.isascii() or len(w.encode()) <= 2 * len(w) and max(w) < "\u0250") for w in words]
-        known = self.words
-        heads = pa.array([known[w] if s else b"" for w, s in zip(words, simple, strict=True)], pa.large_binary()).take(coded.indices)
+        simple = np.asarray(pc.and_(pc.utf8_is_alpha(coded.dictionary), pc.match_substring_regex(coded.dictionary, _LATIN)))
+        found = list(map(self.words.__getitem__, coded.dictionary.filter(pa.array(simple)).to_pylist()))
+        place = np.where(simple, np.cumsum(simple) - 1, len(found))
+        where = coded.indices.to_numpy()
+        heads = pa.array([*found, b""], pa.large_binary()).take(pa.array(place[where]))
         tails: list[bytes] = [b""] * len(units)
-        whole = ~np.array(simple, bool)[coded.indices.to_numpy()] if len(units) else np.zeros(0, bool)
+        whole = ~simple[where]
         longer = np.asarray(pc.binary_length(units)) > np.asarray(pc.binary_length(trimmed))
         odd = np.flatnonzero(whole | longer)
         picked = pa.array(odd)
