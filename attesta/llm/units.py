@@ -24,6 +24,7 @@ TOKENIZER = "byte_bpe_50k.json"
 LONGEST = 48
 _SPACES_MEET = re.compile(r"\s ")
 _PUNCTUATION = string.punctuation
+_OPEN_END = r"^$|[\s\pZ\x{85}\x{1c}-\x{1f}]$"
 _LATIN = "^[A-Za-z\u00c0-\u024f]+$"
 
 
@@ -69,7 +70,7 @@ class _Memory(dict):
 class UnitEncoder:
     """Packed ids (16 or 32 bits each) of texts."""
 
-    def __init__(self, spec: str, most: int = 200_000):
+    def __init__(self, spec: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -83,8 +84,8 @@ class UnitEncoder:
         self.alphabet = byte_alphabet()
         self.packed = [i.to_bytes(self.dtype.itemsize, sys.byteorder) for i in range(self.tokenizer.get_vocab_size())]
         self.tokenize = self.tokenizer.model.tokenize
-        self.spaced = _Memory(self._spaced, most // 4)  # stretch without its leading space
-        self.pieces = _Memory(self._piece, most // 2)  # piece of the first cut, in the byte alphabet
+        self.spaced = _Memory(self._spaced, most // 5)  # stretch without its leading space
+        self.pieces = _Memory(self._piece, most // 4)  # piece of the first cut, in the byte alphabet
         self.words = _Memory(self._word, most)  # word without its leading space
 
     def _piece(self, piece: str) -> bytes:
@@ -112,27 +113,26 @@ class UnitEncoder:
         """encode of each text; stretches are told apart and put together by Arrow, so Python sees distinct words only."""
         if not self.divisible:
             return [self.encode(x) for x in texts]
-        out: list[bytes] = [b""] * len(texts)
-        plain = [i for i, x in enumerate(texts) if not _SPACES_MEET.search(x)]
-        for i in set(range(len(texts))).difference(plain):
-            out[i] = self.encode(texts[i])
-        if not plain:
-            return out
-        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
-        ends = np.array(lists.offsets)[1:] - lists.offsets[0].as_py()
-        starts = ends - np.diff(ends, prepend=0)
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        starts, ends = offsets[:-1], offsets[1:]
         flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        indices = coded.indices.to_numpy()
         later = np.ones(len(flat), bool)
         later[starts] = False  # a text's first stretch has no space before it
-        coded = flat.filter(pa.array(later)).dictionary_encode()
-        ids = self._distinct(coded.dictionary).take(coded.indices)
+        ids = self._distinct(coded.dictionary).take(pa.array(indices[later]))
         data = memoryview(ids.buffers()[2]) if ids.buffers()[2] else memoryview(b"")
         at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset) if len(ids) else np.zeros(1, np.int64)
-        cuts = at[np.concatenate([[0], ends - np.arange(1, len(ends) + 1)])].tolist()
+        cuts = at[offsets - np.arange(len(offsets))].tolist()
+        # white space meets where a stretch is empty or ends in it: those texts are cut with more care
+        meets = np.asarray(pc.match_substring_regex(coded.dictionary, _OPEN_END))
+        doc = np.searchsorted(ends, np.flatnonzero(meets[indices]), "right") if meets.any() else []
+        careful = set(np.asarray(doc).tolist())
         firsts = flat.take(pa.array(starts)).to_pylist()
-        for k, i in enumerate(plain):
-            out[i] = self._cut(firsts[k]) + bytes(data[cuts[k] : cuts[k + 1]])
-        return out
+        return [self.encode(x) if k in careful else self._cut(firsts[k]) + bytes(data[cuts[k] : cuts[k + 1]]) for k, x in enumerate(texts)]
 
     def _distinct(self, units: pa.Array) -> pa.Array:
         """Ids of distinct stretches after a space, as large binaries.
