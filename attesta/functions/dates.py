@@ -19,6 +19,7 @@ from attesta.functions.text import clean_folder, filled, squeeze, strip_ext
 from attesta.functions.vocab import MONTH_PATTERN, MONTHS
 
 ORDERS = ("dmy", "mdy", "none")
+# What is read as a date is defined by exactly these patterns.
 _DAY, _YEAR, _SEP = r"(0?[1-9]|[12]\d|3[01])", r"(20\d{2})", "[-._/]"
 _ANY_YEAR = r"(?:19|20)\d{2}"
 _LOOKS = "|".join(
@@ -38,6 +39,7 @@ _SPELLED = (
     (rf"(?iU)(?<!\d){_DAY}\s+({MONTH_PATTERN})\.?\s+{_YEAR}\b", 3, 2, 1),
 )
 _NUMERIC = rf"(?<!\d)(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}{_YEAR}(?!\d)"
+# End of fixed values.
 
 
 def looks_like_date(text: Column) -> Column:

@@ -17,13 +17,16 @@ CONTAINED_FLOOR = 0.9
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two texts, in this order (it is not symmetric); null counts as empty."""
-    matcher, out, last = SequenceMatcher(None), [], None
-    for x, y in zip(a.fillna(""), b.fillna(""), strict=True):
-        if y != last:  # the second text is indexed once for a run of rows
-            matcher.set_seq2(y)
-            last = y
-        matcher.set_seq1(x)
-        out.append(matcher.ratio())
+    matcher, known, last = SequenceMatcher(None), {}, None
+    out = []
+    for pair in zip(a.fillna(""), b.fillna(""), strict=True):
+        if pair not in known:
+            if pair[1] != last:  # the second text is indexed once for a run of rows
+                matcher.set_seq2(pair[1])
+                last = pair[1]
+            matcher.set_seq1(pair[0])
+            known[pair] = matcher.ratio()
+        out.append(known[pair])
     return pd.Series(out, dtype="float64")
 
 
@@ -80,8 +83,9 @@ def match_score(name: Column, folder: Column, title: Column, artist: Column) ->
 
     def view(text: Column, used: Column) -> Column:
         normal = normalize(text)
-        one = F.lit(0.7) * recall(tokens_of(normal), words) + F.lit(0.3) * ratio(normal, wanted)
-        return F.when(used & (normal != "") & (wanted != ""), one).otherwise(F.lit(0.0))
+        counts = used & (normal != "") & (wanted != "")
+        one = F.lit(0.7) * recall(tokens_of(normal), words) + F.lit(0.3) * ratio(F.when(counts, normal), wanted)
+        return F.when(counts, one).otherwise(F.lit(0.0))
 
     as_title = title_view(name)
     best = F.greatest(view(stem, F.lit(True)), view(own, folder_adds_evidence(folder, artist)), view(as_title, as_title != stem))

@@ -46,6 +46,7 @@ def normalize(text: Column) -> Column:
 
 
 _FOLD = str.maketrans(LETTER_FOLD)
+_BREAKS = re.compile(r"[\W_]+")  # whatever is neither letter nor digit
 
 
 def normal_form(text: str | None) -> str:
@@ -54,7 +55,7 @@ def normal_form(text: str | None) -> str:
         return ""
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(_FOLD)
-    return " ".join("".join(c if c.isalnum() else " " for c in text.replace("&", " and ")).lower().split())
+    return _BREAKS.sub(" ", text.replace("&", " and ")).strip().lower()
 
 
 @F.pandas_udf(T.StringType())

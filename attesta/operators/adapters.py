@@ -75,3 +75,18 @@ def catalog_search(names: DataFrame, listings: DataFrame, pairs: dict[str, list[
     found = asked.join(listings, "query")
     first = Window.partitionBy(name, identity(F.col("code"), F.col("title"), F.col("urls"))).orderBy("variant_ix", "row_ix")
     return found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
+def owners_of(results: DataFrame, stores: dict[str, Adapter], result: str | None = None) -> DataFrame:
+    """(candidate, owner) over the results of all stores that can confirm owners.
+
+    ``results``: (candidate, store, url, ...); ``result`` names the struct column that result_field adapters read.
+    """
+    out = None
+    for name, adapter in sorted(stores.items()):
+        if adapter.owner_source == "none":
+            continue
+        owner = adapter.owner_of(F.col("url"), F.col(result) if result else None)
+        part = results.where(F.col("store") == name).select("candidate", owner.alias("owner"))
+        out = part if out is None else out.unionByName(part)
+    return results.select("candidate", F.lit("").alias("owner")).limit(0) if out is None else out

@@ -9,11 +9,13 @@ from attesta.functions.dates import looks_like_date
 from attesta.functions.text import clean_folder, filled, is_container, is_in, normalize, spaceless, squeeze, strip_ext
 from attesta.functions.vocab import ARTICLE_LEADS, MONTH_PATTERN
 
+# Bounds and patterns that define what is read as a name.
 MOST_UP, LEAST_CHARS, MOST_WORDS = 4, 3, 4
 LEAST_EXACT, LEAST_PREFIX = 1, 2
 _DASH = r"(?U)\s+[-–—]\s+"
 _MONTH_YEAR = rf"(?iU)^(?:(?:{MONTH_PATTERN})\.?\s?(?:19|20)\d{{2}}|(?:19|20)\d{{2}}\s?(?:{MONTH_PATTERN})\.?)$"
 _FEAT = r"(?isU)^(.*?)(?:^|\s)(?:feat|ft|featuring)\.?\s+(\S.*)$"
+# End of fixed values.
 
 
 def creator_folder(path: Column, most_up: int = MOST_UP) -> Column:

@@ -64,3 +64,14 @@ def identify(subjects: DataFrame, boxes: DataFrame, lookups: DataFrame) -> tuple
     usable = boxes.where("error is null").select("box", "ord")
     claims = lookups.join(usable, "box").join(subjects.select("subject"), "subject", "left_semi")
     return resolve_claims(claims), boxes.where("error is not null").select("box", "error")
+
+
+def positional_reply(asked: DataFrame, reply: DataFrame) -> DataFrame:
+    """(subject, match) of a batched lookup: ``asked`` (ord, subject) and one reply row, a list with a list per subject.
+
+    A reply of another length raises when read.
+    """
+    lists = reply.select(F.size("lists").alias("n"), F.posexplode("lists").alias("ord", "matches"))
+    n = asked.agg(F.count(F.lit(1)).alias("asked"))
+    checked = lists.crossJoin(F.broadcast(n)).withColumn("matches", F.when(F.col("n") == F.col("asked"), F.col("matches")).otherwise(F.raise_error(F.lit("a reply must have one list per subject"))))  # one row
+    return asked.join(checked.select("ord", "matches"), "ord").select("subject", F.explode("matches").alias("match"))

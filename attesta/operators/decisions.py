@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import normalize
 
+# Bar of a match, bar of a single telling word, margin of a tie.
 THRESHOLD, GENERIC, MARGIN = 0.7, 0.9, 0.05
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.similarity import evidence, match_score
 from attesta.functions.substitutions import decensor
+from attesta.operators import attribution, proposals, selection
+from attesta.operators.claims import resolve_claims
 from attesta.operators.decisions import THRESHOLD, choose_winner, decide
 
 CANDIDATE = ("idx", "title", "url")
@@ -48,7 +50,7 @@ def examine(files: DataFrame, resolutions: DataFrame, candidates: DataFrame, fal
     per-title searches, by id, used for files without a winner whose name has evidence; ``stores``: (store, error).
     No rows anywhere mutes a file, unless a store failed: then it is an error and nothing is recorded.
     """
-    known = files.join(unresolved_reason(resolutions).select("id", F.col("name").alias("artist"), "reason"), "id")
+    known = files.select("id", "name", "folder").join(unresolved_reason(resolutions).select("id", F.col("name").alias("artist"), "reason"), "id")
     refused = known.where("artist is null").select("id", F.lit("refusal").alias("outcome"), "reason")
     ready = known.where("artist is not null")
     usable = candidates.join(stores.where("error is not null").select("store"), "store", "left_anti")
@@ -77,3 +79,35 @@ def examine(files: DataFrame, resolutions: DataFrame, candidates: DataFrame, fal
     reason = F.when(F.col("store").isNotNull(), None).when(F.col("ambiguous"), "stores disagree").when(F.col("answers") > 0, F.concat(F.lit("no candidate: "), F.col("kind"))).when(F.col("__failed"), "a store failed").otherwise("no store has it")
     done = rows.select("id", outcome.alias("outcome"), reason.alias("reason"), "store", "value", "title", "agreeing", "competing")
     return done.unionByName(refused, allowMissingColumns=True)
+
+
+def scan(
+    scenes: DataFrame, marked: DataFrame, reported: int, store_tables: dict[str, DataFrame], claims: DataFrame, listings: DataFrame, fallback: DataFrame, stores: DataFrame, aliases: DataFrame,
+    pairs: dict[str, list[str]], folder: str, at: Column, limit: int | None = None, retired_reason: str = "no store has it",
+) -> dict[str, DataFrame]:
+    """A whole library scan as tables: what to record, refuse, mute and mark gone, and the tally of reasons.
+
+    ``scenes``: (id, path, name, folder) not organised yet, ``marked`` the same for marked ones; ``store_tables``: item and
+    mute. In order: retired mutes are released, vanished subjects swept (only against a complete read), the batch is
+    selected, fingerprints decide first, and only the rest is linked by name.
+    """
+    items, standing = store_tables["item"], selection.release_mutes(store_tables["mute"], retired_reason)
+    every = selection.pool(scenes, marked)
+    stored = items.where("subject_type = 'scene'").select(F.col("subject_id").alias("id"))
+    gone = selection.gone_sweep(stored, every.select(F.col("id").cast("string").alias("id")), reported)
+    muted, proposed = selection.narrowings(standing, items, "scene", folder)
+    batch = selection.select_batch(every, "id", muted, proposed, None, limit)
+    chosen = batch.where("reason = 'selected'")
+    known = resolve_claims(claims.join(chosen.select(F.col("id").alias("subject")), "subject", "left_semi"))
+    rest = chosen.join(known.select(F.col("subject").alias("id")), "id", "left_anti")
+    resolutions = attribution.resolve(rest, aliases)
+    outcomes = examine(rest, resolutions, listings, fallback, stores, pairs)
+    conflict = known.where("outcome = 'conflict'").select(F.col("subject").alias("id"), F.lit("refusal").alias("outcome"), F.lit("fingerprints disagree").alias("reason"))
+    return {
+        "tally": selection.tally(batch),
+        "gone": gone,
+        "mutes_kept": standing,
+        "proposals": proposals.scenes(outcomes, folder, "scan", at).unionByName(proposals.identified(known, folder, "scan", at)),
+        "outcomes": outcomes.unionByName(conflict, allowMissingColumns=True),
+        "mutes": proposals.mutes(outcomes, at),
+    }

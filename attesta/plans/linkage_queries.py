@@ -233,11 +233,11 @@ def ratio_similarity(spark, sf_dir):
 
 @query()
 def match_score(spark, sf_dir):
-    """Scores of part names as titles for file names made of two words of them."""
+    """Scores of part names as titles for files of the same brand and size."""
     part = table(spark, sf_dir, "part")
-    named = part.select("p_partkey", "p_brand", F.concat("p_brand", F.lit(" - "), "p_name", F.lit(".mp4")).alias("name"), "p_type")
-    titles = part.select(F.col("p_brand"), F.col("p_name").alias("title")).distinct()
-    scored = named.join(titles, "p_brand").withColumn("m", similarity.match_score(F.col("name"), F.col("p_type"), F.col("title"), F.col("p_brand")))
+    named = part.select("p_partkey", "p_brand", "p_size", F.concat("p_brand", F.lit(" - "), "p_name", F.lit(".mp4")).alias("name"), "p_type")
+    titles = part.select("p_brand", "p_size", F.col("p_name").alias("title")).distinct()
+    scored = named.join(titles, ["p_brand", "p_size"]).withColumn("m", similarity.match_score(F.col("name"), F.col("p_type"), F.col("title"), F.col("p_brand")))
     return scored.select("p_partkey", "title", "m.value", "m.contained", "m.meaningful_count")
 
 
@@ -245,12 +245,14 @@ def match_score(spark, sf_dir):
 def library_scan(spark, sf_dir):
     """The scan end to end: parts as files of brands, part names as the candidates of three stores."""
     part = table(spark, sf_dir, "part")
-    files = part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".mp4")).alias("name"), F.col("p_brand").alias("folder"))
+    maker = F.concat_ws(" ", "p_brand", "p_type", "p_size")
+    files = part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".mp4")).alias("name"), maker.alias("folder"))
     nobody = spark.createDataFrame([], "key string, full string")
     resolutions = attribution.resolve(files, nobody)
-    listing = part.where("p_partkey % 2 = 0").select("p_brand", "p_name", "p_partkey").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("idx"))
+    # creators as the attribution reads them: words with their case
+    listing = part.groupBy(maker.alias("maker"), "p_name").agg(F.min("p_partkey").alias("idx"))
     found = listing.select(
-        F.col("p_brand").alias("artist"), F.concat(F.lit("store"), (F.col("idx") % 3).cast("string")).alias("store"), (F.col("idx") % 3 > 0).alias("resolvable"), "idx",
+        F.col("maker").alias("artist"), F.concat(F.lit("store"), (F.col("idx") % 3).cast("string")).alias("store"), (F.col("idx") % 3 > 0).alias("resolvable"), "idx",
         F.col("p_name").alias("title"), F.lit(None).cast("string").alias("url"),
     )
     stores = spark.createDataFrame([("store0", None), ("store1", None), ("store2", "timeout")], "store string, error string")
