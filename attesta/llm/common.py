@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.session import ship
+
 #: Estimated bytes (as stored) of one block of documents, and the most text a block piece holds in memory.
 BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 16 << 20
@@ -186,7 +188,8 @@ def packer(bounds: list[int] | None, start: int = 0):
 
 
 def bounded(spark: SparkSession) -> None:
-    """Arrow batches of at most so many rows and bytes from now on, so that long texts don't fill a worker."""
+    """Arrow batches of at most so many rows and bytes from now on, so that long texts don't fill a worker; also ships the package."""
+    ship(spark)
     for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
         key = f"spark.sql.execution.arrow.{key}"
         own = spark.conf.get(key, None)
