@@ -36,12 +36,16 @@ LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)
 def pack_ids(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of an array of ranks below 2**32."""
     ranks = np.ascontiguousarray(ranks, "<u4")
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    top = int(ranks.max(initial=0))
+    extra = (ranks > 0xFF).view(np.uint8)
+    for bound in (0xFFFF, 0xFFFFFF):
+        if top > bound:
+            extra = extra + (ranks > bound)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = extra
     fields = padded.reshape(-1, 4)
     control = fields[:, 0] | fields[:, 1] << 2 | fields[:, 2] << 4 | fields[:, 3] << 6
-    most = 1 + int(extra.max(initial=0))
+    most = 1 + (top > 0xFF) + (top > 0xFFFF) + (top > 0xFFFFFF)
     lanes = ranks.view(np.uint8).reshape(-1, 4)[:, :most]
     return control.tobytes(), lanes[np.arange(most) <= extra[:, None]].tobytes()
 
@@ -167,7 +171,7 @@ def read_token_files(spark: SparkSession, out_dir: str, index: DataFrame) -> Dat
                 with fs.open_input_stream(f"{at}/{path}") as f:
                     doc_ids, counts, ids = decode_file(f.read(), ids_of_ranks)
                 ends = np.cumsum(counts)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 sums = [crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids, mask=doc_ids == -(2**63)), pa.array(begin + ends - counts), pa.array(counts), pa.array(sums, pa.int64())],
