@@ -115,7 +115,11 @@ def hygiene(labels: DataFrame, sourced: DataFrame, clustered: DataFrame, reconci
 
 
 def label_pass(labels: DataFrame, people: DataFrame, indexes: DataFrame, muted: DataFrame, proposed: DataFrame, unread: int = 0, normal=normalize) -> dict[str, DataFrame]:
-    """The four passes over one read of labels: merge, describe, reconcile, hygiene; later ones skip ids of earlier ones."""
+    """The four passes over one read of labels: merge, describe, reconcile, hygiene; later ones skip ids of earlier ones.
+
+    ``labels`` is cached for them (memory, then disk); the caller may unpersist it once the passes are written.
+    """
+    labels = labels.persist()
     clusters = cluster_labels(labels, normal)
     in_cluster = clusters.select(F.explode("members.id").alias("id"))
     bare = labels.where(~has_description(F.col("description"))).join(in_cluster, "id", "left_anti")

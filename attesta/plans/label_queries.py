@@ -47,8 +47,8 @@ def describe_index(spark, sf_dir):
     return labels.description_index(_source(spark, sf_dir))
 
 
-def _indexes(spark, sf_dir):
-    words = views.surfaces(spark, sf_dir).where("description is not null").select("name", "aliases", "description")
+def _indexes(spark, sf_dir, words):
+    words = words.where("description is not null").select("name", "aliases", "description")
     first = labels.description_index(_source(spark, sf_dir)).withColumns({"source": F.lit("parts"), "ord": F.lit(0)})
     return first.unionByName(labels.description_index(words).withColumns({"source": F.lit("words"), "ord": F.lit(1)}))
 
@@ -61,7 +61,8 @@ _BOTH = f"""{_INDEX}, {SURFACES}, widx AS (SELECT {key_sql("name")} AS key, min(
 
 @query(f"WITH {_BOTH} SELECT s.id, f.description, f.source FROM surfaces s JOIN firsts f ON f.key = {key_sql('s.name')}")
 def describe_first(spark, sf_dir):
-    return labels.find_descriptions(views.surfaces(spark, sf_dir), _indexes(spark, sf_dir))
+    words = views.surfaces(spark, sf_dir).persist()  # read once for all branches
+    return labels.find_descriptions(words, _indexes(spark, sf_dir, words))
 
 
 @query(f"WITH {SURFACES} SELECT CASE scene_count WHEN 0 THEN 'no-scenes' WHEN 1 THEN 'one-scene' END AS usage, count(*) AS n FROM surfaces WHERE scene_count <= 1 GROUP BY 1")
@@ -78,10 +79,10 @@ _HYGIENE = f"""{_BOTH}, ks AS (SELECT *, {key_sql("name")} AS key FROM surfaces)
 
 @query(f"WITH {_HYGIENE} SELECT reason, count(*) AS n FROM judged GROUP BY 1")
 def hygiene_counts(spark, sf_dir):
-    words = views.surfaces(spark, sf_dir)
+    words = views.surfaces(spark, sf_dir).persist()  # read once for all branches
     starts = lambda letter: words.where(F.substring("id", 1, 1) == letter).select("id")
     clustered = labels.cluster_labels(words).select(F.explode("members.id").alias("id"))
-    sourced = labels.find_descriptions(words, _indexes(spark, sf_dir)).select("id")
+    sourced = labels.find_descriptions(words, _indexes(spark, sf_dir, words)).select("id")
     rows = labels.hygiene(words, sourced, clustered, starts("a"), starts("b"), starts("c"))
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

@@ -388,3 +388,17 @@ def test_display(spark):
     got = display.rows_of(items, "scene", "http://h/").first()
     assert (got["link"], got["contested"], got["actionable"], got["cover"], got["disagreement"]) == ("http://h/scenes/1", True, True, True, "the file names Moss; also found at s")
     assert [r[0] for r in spark.createDataFrame([("x",), ("0",), ("3",), (None,)], "p string").select(display.page_number(F.col("p"))).collect()] == [1, 1, 3, 1]
+
+
+def test_label_pass_excludes_earlier_ids(spark):
+    kind = "id string, name string, scene_count long, description string, aliases array<string>"
+    tags = spark.createDataFrame([("1", "Red Hair", 3, None, []), ("2", "redhair", 1, None, []), ("3", "Ivy", 1, None, []), ("4", "Moss", 1, None, []), ("5", "Tea", 0, None, []), ("6", "Oak", 0, None, [])], kind)
+    people = spark.createDataFrame([("p", "Ivy", [])], "id string, name string, aliases array<string>")
+    index = labels.description_index(spark.createDataFrame([("Moss", [], "green"), ("Red Hair", [], "red")], "name string, aliases array<string>, description string")).withColumns({"source": F.lit("s"), "ord": F.lit(0)})
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = labels.label_pass(tags, people, index, ids("5"), ids())
+    assert rows(got["describe"], "id") == [("4",)]
+    assert rows(got["reconcile"], "id", "person_id") == [("3", "p")]
+    assert rows(got["hygiene"], "id", "reason") == [("2", "sourced"), ("3", "reconciled"), ("4", "sourced"), ("5", "kept"), ("6", "proposed")]
+    line = labels.summary(got["hygiene"].groupBy("reason").agg(F.count(F.lit(1)).alias("n")), "hygiene").first()[0]
+    assert line == "hygiene: 1 kept, 1 proposed, 1 reconciled, 2 sourced"
