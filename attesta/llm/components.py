@@ -78,7 +78,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", bound: int = FINISH
         hops.append(hop)
         moved = rest.join(hop.toDF("u", "pu"), "u").join(hop.toDF("v", "pv"), "v")
         rest = persist(_ordered(moved, "pu", "pv").distinct())
-    ended = persist(rest.repartition(1).mapInArrow(lean(_stars(1 << 62)), "node long, root long"))
+    ended = rest.repartition(1).mapInArrow(lean(_stars(1 << 62)), "node long, root long")
     if not hops:
         return ended
     labels = hops[0]

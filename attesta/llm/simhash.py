@@ -140,16 +140,16 @@ def links(nodes: DataFrame, slot_pairs: int = SLOT_PAIRS) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp, component_id (smallest doc_id reachable over links, its own included)."""
     rows = persist(fingerprints(docs, doc_id, text))
-    distinct = persist(rows.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("node"))
     known = distinct.where(F.col("node").isNotNull())
     roots = components(links(known))
-    labels = persist(distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
+    labels = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose doc_id names its group, with all their columns; a row without doc_id stays if its group has none."""
-    found = persist(near_duplicates(docs, doc_id, text))
+    found = near_duplicates(docs, doc_id, text)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, docs[doc_id].cast("long").eqNullSafe(keep["__keep"]), "left_semi")
     repeats = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()

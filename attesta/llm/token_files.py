@@ -151,7 +151,7 @@ def write_token_files(
     with fs.open_output_stream(f"{at}/ranks.u32") as f:
         f.write(ids_of_ranks.astype("<u4").tobytes())
     index = tokens.select("block", "ids", "lens", "body", "wide").mapInArrow(lean(_write(out_dir, rank_of_id)), "block long, path string, n_docs long, n_ids long")
-    return spark.createDataFrame(persist(index).collect(), index.schema)  # a row per file
+    return spark.createDataFrame(index.collect(), index.schema)  # a row per file
 
 
 def read_token_files(spark: SparkSession, out_dir: str, index: DataFrame) -> DataFrame:
