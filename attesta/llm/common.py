@@ -64,13 +64,29 @@ def word_count(text: Column) -> Column:
 
 def stored_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate of ``df``; without a usable one, the measured bytes of its string columns."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = _estimate(df)
     if size >= 1 << 60:
         texts = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]
         size = sum(x or 0 for x in df.agg(*texts or [F.lit(0)]).first())
     return max(1, size)
 
 
+def grouped(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """``df`` in no more partitions than blocks of ``like`` (default: itself), but two for each core at least.
+
+    Many tiny partitions cost a task, and a file where a table is written, each. Nothing is shuffled; where the
+    size is not known, or partitions are few, nothing changes.
+    """
+    size = _estimate(like if like is not None else df)
+    if size >= 1 << 60:
+        return df
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES)))
+
+
+def _estimate(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-stored_bytes(df) // block_bytes))
 
@@ -251,7 +267,7 @@ def slices(texts: list[bytes], most: int = 8 << 20) -> Iterator[slice]:
 def small_batches(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id long, text string) in Arrow batches of bounded size."""
     bounded(df.sparkSession)
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return grouped(df).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def range_bounds(ids: DataFrame, n: int) -> list[int]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import LOWER, Hashes, bounded, encode, lean, slices, small_batches, texts_of
+from attesta.llm.common import LOWER, Hashes, bounded, encode, grouped, lean, slices, small_batches, texts_of
 
 #: Words of a gram and grams of a window: every shared span of K + WINDOW - 1 = 13 words is found.
 K, WINDOW = 5, 9
@@ -254,4 +254,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                 keep += [not (hit and SHARE * hit >= n) for n, hit in ((n, sum(b - a for a, b in s)) for n, s, _ in judge(texts[own], sent.value, hashes))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return grouped(docs).mapInArrow(lean(run), docs.schema)

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import persist, word_count
+from attesta.llm.common import grouped, persist, word_count
 
 #: Times a document may be taken; documents of one bucket of the prefix sum; seed of the order.
 MOST_EPOCHS, BUCKET_DOCS, SEED = 3, 500, 20240607
@@ -118,7 +118,7 @@ def mix_sources(
     member = F.array(F.col("source")) if sources is None else sources
     name = F.transform(F.array_distinct(member), lambda x: F.coalesce(F.concat(F.lit("s"), x.cast("string")), F.lit("~")))
     pattern = F.array_join(F.transform(F.sort_array(name), lambda x: F.hex(F.encode(x, "UTF-8"))), ",")
-    rows = persist(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(pattern, F.lit("")).alias("pattern"), word_count(F.col(text)).alias("size")))
+    rows = persist(grouped(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(pattern, F.lit("")).alias("pattern"), word_count(F.col(text)).alias("size")))
     found = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).collect()
 
     def names(joined: str) -> tuple:
@@ -165,11 +165,11 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     rest going to the first of them by text.
     """
     copies = mix_sources(docs, doc_id, text, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    copies = persist(copies)
+    copies = persist(grouped(copies, docs))
     taken = docs.join(copies.where("__copies > 0"), docs[doc_id].eqNullSafe(F.col("__id")), "inner")
     once = taken.where("__rows = 1").withColumn("__times", F.col("__copies"))
     place = F.row_number().over(Window.partitionBy("__id").orderBy(text))
     more = taken.where("__rows > 1").withColumn("__times", F.floor(F.col("__copies") / F.col("__rows")) + F.when(place <= F.col("__copies") % F.col("__rows"), 1).otherwise(0))
     every = once.unionByName(more) if copies.where("__rows > 1").limit(1).count() else once
     spread = every.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return spread.select(*[spread[c] for c in docs.columns])
+    return grouped(spread.select(*[spread[c] for c in docs.columns]), docs)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import LOWER, lean, persist, small_batches, texts_of
+from attesta.llm.common import LOWER, grouped, lean, persist, small_batches, texts_of
 from attesta.llm.components import Forest, components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
@@ -124,7 +124,7 @@ def links(nodes: DataFrame, slot_pairs: int = SLOT_PAIRS) -> DataFrame:
     slots = nodes.select("fp", "node").mapInArrow(lean(_slots), "slot long, probe byte, fp long, node long")
     entries, probes = F.sum(1 - F.col("probe")), F.sum("probe")
     sizes = slots.groupBy("slot").agg(entries.alias("e"), probes.alias("p")).where("e >= 2 or (e = 1 and p >= 1)")
-    held = persist(slots.join(sizes, "slot"))
+    held = persist(grouped(slots.join(sizes, "slot"), nodes))
     crowded = (F.col("e") * (F.col("e") + F.col("p")) > slot_pairs) | (F.col("e") + F.col("p") > SLOT_ROWS)
     near = (
         held.where(~crowded)
@@ -153,4 +153,4 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, docs[doc_id].cast("long").eqNullSafe(keep["__keep"]), "left_semi")
     repeats = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([doc_id]) if repeats else kept
+    return grouped(kept.dropDuplicates([doc_id]) if repeats else kept, docs)

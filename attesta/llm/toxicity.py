@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.boosting import BoostedTrees, Isotonic
-from attesta.llm.common import bounded, crc_mod, encode, lean, persist, slices, small_batches, texts_of
+from attesta.llm.common import bounded, crc_mod, encode, grouped, lean, persist, slices, small_batches, texts_of
 
 #: Labelled texts that learning reads; lexicon terms; folds; rows of the held-out rule; alarm threshold.
 TRAIN_DOCS, TERMS, FOLDS, HELD_OUT, ALARM = 20_000, 20_000, 4, (4, 2), 0.3
@@ -298,7 +298,7 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(sent.value.scores(texts_of(batch.column(at))) < ALARM))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return grouped(docs).mapInArrow(lean(run), docs.schema)
 
 
 def score_text(text: str | None, model: Model) -> float:
