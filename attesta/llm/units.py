@@ -70,7 +70,7 @@ class _Memory(dict):
 class UnitEncoder:
     """Packed ids (16 or 32 bits each) of texts."""
 
-    def __init__(self, spec: str, most: int = 400_000):
+    def __init__(self, spec: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
