@@ -36,18 +36,24 @@ SLOT_PAIRS = 1 << 23
 SLOT_ROWS = 50_000
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
-    """Big-endian fingerprint of a text."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hash of each word shingle of a text, big-endian; a shorter text is one shingle, one without words none."""
     words = text.translate(LOWER).split()
     if not words:
-        return bytes(8)
+        return np.zeros(0, ">u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(x) + 1 for x in words])
     n = max(1, len(words) - shingle + 1)
     starts = [0, *ends[: n - 1].tolist()]
     digest = xxhash.xxh64_digest
     raw = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, (ends[min(shingle, len(words)) - 1 :] - 1).tolist(), strict=True)])
-    rows = np.frombuffer(raw, np.uint8).reshape(n, 8)
+    return np.frombuffer(raw, ">u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
+    """Big-endian fingerprint of a text."""
+    rows = shingle_hashes(text, shingle, seed).view(np.uint8).reshape(-1, 8)
+    n = len(rows)
     count = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):
         count += np.unpackbits(rows[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
@@ -145,12 +151,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = components(links(known))
     labels = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its group, with all their columns; a row without doc_id stays if its group has none."""
-    found = near_duplicates(docs, doc_id, text)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[doc_id].cast("long").eqNullSafe(keep["__keep"]), "left_semi")
-    repeats = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return grouped(kept.dropDuplicates([doc_id]) if repeats else kept, docs)
