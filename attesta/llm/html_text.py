@@ -358,8 +358,7 @@ def _table(node: Node) -> list[str]:
     widths: dict[int, int] = {}
     for cells in grid:
         for c, wide, lines in cells:
-            if wide == 1:
-                widths[c] = max(widths.get(c, 0), *map(len, lines), 0)
+            widths[c] = max([widths.get(c, 0), *map(len, lines if wide == 1 else [])])  # a column that only spanned cells start in is one too
     for cells in grid:
         for c, wide, lines in cells:
             if wide > 1:

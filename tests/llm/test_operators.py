@@ -303,6 +303,19 @@ def test_html_layout(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td colspan=2>Hello world</td></tr></table>", "Hello world"),
+        ("<table><tr><td colspan=3>Hi<tr><td colspan=3>there</table>", "Hi\nthere"),
+        ("<table><tr><td colspan=2>one<td colspan=2>two<tr><td>a<td colspan=3>spanned</table>", "one | two\na   | spanned"),
+    ],
+)
+def test_html_tables_of_spanned_cells(page, text):
+    got = html_text.visible_text(page)
+    assert got.replace("|", " ").split() == text.replace("|", " ").split() and len(got.split("\n")) == len(text.split("\n"))
+
+
 def test_html_of_any_depth_and_all_words(spark):
     deep = "<div>" * 5000 + "core" + "</div>" * 5000
     assert html_text.visible_text(deep) == "core"
