@@ -225,10 +225,10 @@ def token_recall(spark, sf_dir):
 
 @query()
 def ratio_similarity(spark, sf_dir):
-    """Matching-blocks ratio of benchmark items against documents with a rare word in common."""
+    """Matching-blocks ratio of benchmark items against whole documents with a rare word in common."""
     pairs = _rare_pairs(spark, sf_dir).select("item_id", "doc_id")
     rows = pairs.join(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("text", "i").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return rows.select("item_id", "doc_id", similarity.rounded(similarity.ratio(normalize(F.col("i")), normalize(F.substring("text", 1, 400)))).alias("ratio"))
+    return rows.select("item_id", "doc_id", similarity.rounded(similarity.ratio(normalize(F.col("i")), normalize(F.col("text")))).alias("ratio"))
 
 
 @query()
