@@ -326,7 +326,7 @@ def _score(model: ClassModel, buckets: int):
 def class_lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
-    n = block_count(docs)
+    n = block_count(docs, text)
     buckets = min(2 * n, 4096 + n // 8)
     blocks = persist(small_batches(docs, doc_id, text).mapInArrow(lean(packer(None)), PIECE))
     sent = blocks.mapInArrow(lean(_send(buckets)), "bucket long, block long, hashes binary, counts binary")

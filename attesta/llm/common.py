@@ -20,14 +20,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.session import ship
 
-#: Estimated bytes (as stored) of one block of documents, and the most text a block piece holds in memory.
-BLOCK_BYTES = 8 << 20
-PIECE_BYTES = 16 << 20
+#: Text of one block of documents on average, and the most that a piece of a block holds in memory.
+BLOCK_BYTES = 12 << 20
+PIECE_BYTES = 12 << 20
+#: Rows that one range of a prefix sum holds.
+SPAN = 4096
 #: Words of one document: maximal runs without ASCII white space. bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -62,13 +64,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate of ``df``; without a usable one, the measured bytes of its string columns."""
-    size = _estimate(df)
-    if size >= 1 << 60:
-        texts = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]
-        size = sum(x or 0 for x in df.agg(*texts or [F.lit(0)]).first())
-    return max(1, size)
+def text_bytes(df: DataFrame, text: str) -> int:
+    """Measured UTF-8 bytes of a column: one aggregate over it, the same for any plan that gives these rows."""
+    return df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
 
 def grouped(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
@@ -87,8 +85,21 @@ def _estimate(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(1, -(-stored_bytes(df) // block_bytes))
+def block_count(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
+    return max(1, -(-text_bytes(df, text) // block_bytes))
+
+
+def running_total(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over all rows of a smaller ``key``, a non-negative unique integer.
+
+    Summed within ranges of SPAN keys, then over one row per range, so no task holds more than a range or the ranges.
+    """
+    spans = rows.groupBy(F.floor(F.col(key) / SPAN).alias("__span")).agg(F.sum(value).alias("__sum"))
+    before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("__span", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__span").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.withColumn("__span", F.floor(F.col(key) / SPAN)).withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return held.join(spans, "__span").withColumn(name, F.col("__before") + F.col("__inside")).drop("__span", "__before", "__inside")
 
 
 def encode(text: str | None) -> bytes:
@@ -99,7 +110,7 @@ def encode(text: str | None) -> bytes:
 class Hashes(dict):
     """word -> 64-bit hash, remembered; emptied when it has ``most`` entries so memory stays bounded."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    def __init__(self, seed: int = 0, most: int = 200_000):
         super().__init__()
         self.seed, self.most = seed, most
 
@@ -252,8 +263,8 @@ def _drained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
 
 
-def slices(texts: list[bytes], most: int = 8 << 20) -> Iterator[slice]:
-    """Slices of a list of texts, each of about ``most`` bytes (one longer text apart)."""
+def slices(texts: list, most: int = 4 << 20) -> Iterator[slice]:
+    """Slices of a list of texts, each of about ``most`` bytes or characters (one longer text apart)."""
     start = size = 0
     for i, x in enumerate(texts):
         if size and size + len(x) > most:
@@ -281,7 +292,7 @@ def range_bounds(ids: DataFrame, n: int) -> list[int]:
 def packed_ranges(df: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """(pieces of blocks, number of blocks): block k holds doc_ids below those of block k + 1, equal ids together."""
     ids = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_id"))
-    bounds = range_bounds(ids, block_count(df, block_bytes))
+    bounds = range_bounds(ids, block_count(df, text, block_bytes))
     return small_batches(df, doc_id, text).mapInArrow(lean(packer(bounds)), PIECE), len(bounds) + 1
 
 

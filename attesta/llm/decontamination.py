@@ -31,6 +31,8 @@ from attesta.llm.common import LOWER, Hashes, bounded, encode, grouped, lean, sl
 K, WINDOW = 5, 9
 #: Text of the items of one broadcast block.
 TEST_BYTES = 16 << 20
+#: Text that is judged at once.
+SLICE_BYTES = 2 << 20
 #: A document is contaminated if at least one word in SHARE is hit.
 SHARE = 20
 _KEEP = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in LOWER)
@@ -190,7 +192,7 @@ def benchmark_spans(
             index, hashes = sent.value, Hashes()
             for batch in batches:
                 ids, texts = batch.column(0), texts_of(batch.column(1))
-                for own in slices(texts):
+                for own in slices(texts, SLICE_BYTES):
                     found = judge(texts[own], index, hashes)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -250,7 +252,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         hashes = Hashes()
         for batch in batches:
             texts, keep = texts_of(batch.column(at)), []
-            for own in slices(texts):
+            for own in slices(texts, SLICE_BYTES):
                 keep += [not (hit and SHARE * hit >= n) for n, hit in ((n, sum(b - a for a, b in s)) for n, s, _ in judge(texts[own], sent.value, hashes))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -4,8 +4,9 @@ Each task encodes its whole documents and returns one row per distinct length; l
 For a context limit L, documents of at least L tokens give L each and shorter ones their own length, so the
 truncated total for *every* L follows from suffix sums over the histogram, as do quantiles.
 
-Defined results: a null text has length 0; an empty table gives no rows; only the text column is read.
-The suffix sums run within ranges of ``SPAN`` lengths, then over one row per range.
+Defined results: a null text has length 0; an empty table gives no rows; rows that repeat are counted one by one,
+whatever their ids; only the text column is read. The suffix sums run within ranges of ``SPAN`` lengths (a range has
+at most that many rows, however many documents there are), then over one row per range.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import bounded, lean
+from attesta.llm.common import bounded, lean, persist
 from attesta.llm.units import encoder, tokenizer_json
 
 SPAN = 1024
@@ -31,13 +32,11 @@ def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, found = encoder(spec), Counter()
         for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            for a in range(0, len(texts), 4096):
-                found.update(len(x) // own.dtype.itemsize for x in own.encode_many(texts[a : a + 4096]))
+            found.update(len(x) // own.dtype.itemsize for x in own.encode_many([x or "" for x in batch.column(0).to_pylist()]))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "n_docs"])
 
     lengths = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "n_tokens long, n_docs long")
-    return lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return persist(lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))  # suffix_sums reads it twice
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ File: b"ATK1", uint32 n_docs, uint64 n_ids (all little-endian), then int64 doc_i
 the control bytes, the data bytes. ``ranks.u32`` beside the files holds the id of each rank.
 
 Defined results: a null text is encoded as empty, so it holds the end id alone; equal doc_ids are ordered by
-text; a null doc_id comes first and is stored as the smallest long; an empty table writes no block file.
+text; a null doc_id comes first and is stored as the smallest long; an empty table writes no block file; the string
+of an added token (such as an end-of-text mark) in a text is that token, as the library has it.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import BLOCK_BYTES, filesystem, in_block, lean, packed_ranges, persist, shared_dir
+from attesta.llm.common import BLOCK_BYTES, filesystem, in_block, lean, packed_ranges, persist, running_total, shared_dir, slices
 from attesta.llm.units import encoder, tokenizer_json
 
 MAGIC, HEAD, END_ID = b"ATK1", struct.Struct("<4sIQ"), 2
+#: Text that is encoded at once; tasks that read files.
+SLICE_BYTES, MOST_TASKS = 4 << 20, 100_000
 #: Lengths that each control byte's four 2-bit fields stand for.
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -84,19 +87,26 @@ def _tokenise(spec: str, end_id: int):
     def run(table: pa.Table) -> pa.Table:
         own = encoder(spec)
         doc_ids, texts = in_block(list(zip(*(table.column(c).to_pylist() for c in ("ids", "ends", "body")), strict=True)))
-        end = np.array([end_id], own.dtype).tobytes()
-        parts = [x + end for x in own.encode_many([x.decode("utf-8", "replace") for x in texts])]
-        ids = np.frombuffer(b"".join(parts), own.dtype)
-        found = np.bincount(ids)
+        end, size = np.array([end_id], own.dtype).tobytes(), own.dtype.itemsize
+        code, body, lens, found = zstandard.ZstdCompressor(level=1).compressobj(), [], [], np.zeros(0, np.int64)
+        for part in slices(texts, SLICE_BYTES):
+            rows = [x + end for x in own.encode_many([x.decode("utf-8", "replace") for x in texts[part]])]
+            texts[part] = [b""] * len(rows)
+            raw = b"".join(rows)
+            lens += [len(x) // size for x in rows]
+            times = np.bincount(np.frombuffer(raw, own.dtype), minlength=len(found))
+            times[: len(found)] += found
+            found = times
+            body.append(code.compress(raw))
+        body.append(code.flush())
         used = np.flatnonzero(found)
-        pack = zstandard.ZstdCompressor(level=1).compress
         row = {
             "block": table.column("block")[0].as_py(),
             "ids": doc_ids.tobytes(),
-            "lens": (np.array([len(x) for x in parts], np.int64) // own.dtype.itemsize).tobytes(),
-            "body": pack(ids.astype("<u4" if own.dtype.itemsize == 4 else "<u2").tobytes()),
-            "wide": own.dtype.itemsize == 4,
-            "seen": pack(np.concatenate([used, found[used]]).astype(np.int64).tobytes()),
+            "lens": np.array(lens, np.int64).tobytes(),
+            "body": b"".join(body),
+            "wide": size == 4,
+            "seen": zstandard.compress(np.concatenate([used, found[used]]).astype(np.int64).tobytes()),
         }
         return pa.Table.from_pylist([row], pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("body", pa.binary()), ("wide", pa.bool_()), ("seen", pa.binary())]))
 
@@ -121,7 +131,7 @@ def _write(out_dir: str, rank_of_id: np.ndarray):
         fs, at = filesystem(out_dir)
         for batch in batches:
             for block, ids, lens, body, wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = np.frombuffer(zstandard.decompress(body), "<u4" if wide else "<u2")
+                tokens = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(body), "<u4" if wide else "<u2")
                 raw = encode_file(np.frombuffer(ids, np.int64), np.frombuffer(lens, np.int64), rank_of_id[tokens])
                 name, part = f"{at}/block-{block:09d}.tok", f"{at}/.{uuid.uuid4().hex}.part"
                 with fs.open_output_stream(part) as f:
@@ -151,15 +161,12 @@ def write_token_files(
     with fs.open_output_stream(f"{at}/ranks.u32") as f:
         f.write(ids_of_ranks.astype("<u4").tobytes())
     index = tokens.select("block", "ids", "lens", "body", "wide").mapInArrow(lean(_write(out_dir, rank_of_id)), "block long, path string, n_docs long, n_ids long")
-    return spark.createDataFrame(index.collect(), index.schema)  # a row per file
+    return persist(index)
 
 
 def read_token_files(spark: SparkSession, out_dir: str, index: DataFrame) -> DataFrame:
     """Decodes files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of its little-endian uint32 ids."""
-    files, start = [], 0
-    for r in sorted(index.collect(), key=lambda r: r["block"]):
-        files.append((r["path"], start))
-        start += r["n_ids"]
+    files = running_total(index, "block", "n_ids", "start").select("path", "start")
     fs, at = filesystem(out_dir)
     with fs.open_input_stream(f"{at}/ranks.u32") as f:
         ids_of_ranks = np.frombuffer(f.read(), "<u4")
@@ -178,17 +185,19 @@ def read_token_files(spark: SparkSession, out_dir: str, index: DataFrame) -> Dat
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    n = max(1, len(files))
-    table = spark.createDataFrame(files, "path string, start long").repartition(n)
+    table = files.repartition(min(MOST_TASKS, max(1, index.count())))
     return table.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_round_trip(docs: DataFrame, **options) -> DataFrame:
-    """Writes ``docs`` to files in the shared folder, reads them back and removes them: read_token_files' rows."""
+def token_round_trip(docs: DataFrame, out_dir: str | None = None, **options) -> DataFrame:
+    """Writes ``docs`` to files and reads them back: read_token_files' rows.
+
+    The files stay in ``out_dir``; without one they go to the shared folder and are removed when they have been read.
+    """
     spark = docs.sparkSession
-    out_dir = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    index = write_token_files(docs, out_dir, **options)
-    rows = persist(read_token_files(spark, out_dir, index))
-    fs, at = filesystem(out_dir)
-    fs.delete_dir(at)
+    folder = out_dir or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    rows = persist(read_token_files(spark, folder, write_token_files(docs, folder, **options)))
+    if out_dir is None:
+        fs, at = filesystem(folder)
+        fs.delete_dir(at)
     return rows

@@ -4,12 +4,14 @@ import random
 from zlib import crc32
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from attesta.llm import class_lm, components, decontamination, exact_dedup, html_text, mixing, queries, simhash, substring_dedup, token_counts, token_files, toxicity, units
+from attesta.llm import class_lm, common, components, decontamination, exact_dedup, html_text, mixing, queries, simhash, substring_dedup, token_counts, token_files, toxicity, units
 from attesta.llm.boosting import BoostedTrees, Isotonic
 from tests.llm import plain
 
@@ -126,29 +128,61 @@ def test_coded_ids_round_trip(values):
     assert token_files.decode_file(raw, ids)[2].tolist() == [min(v, 9) for v in values]
 
 
-@given(st.lists(st.text(st.sampled_from(list("ab1.'s$ \n\té日\x1c\u0085 _ß")), max_size=25), max_size=6))
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it comes, apart from the operators
+PIECES = [*"ab1.'s$ \n\té日\x1c\u0085 _ß", "<|endoftext|>", "word", " Über, "]
+
+
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), max_size=6))
 @settings(deadline=None, max_examples=200)
 def test_stretches_encode_like_whole_texts(texts):
     own = units.encoder(units.tokenizer_json())
-    expected = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    expected = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(own.encode(t), own.dtype).tolist() for t in texts] == expected
     assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode_many(texts)] == expected
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 500])
 def test_token_files_hold_all_ids_in_order(spark, docs, block_bytes):
-    tokenizer = units.encoder(units.tokenizer_json()).tokenizer
     start, expected = 0, []
-    for i, text in sorted(corpus(), key=lambda r: (r[0], r[1] or "")):
-        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+    rows = [*corpus(), (1000, "x <|endoftext|> y"), (1001, "<|endoftext|>")]
+    for i, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        ids = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
         expected.append((i, start, len(ids), crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    assert tuples(token_files.token_round_trip(docs, block_bytes=block_bytes)) == sorted(expected)
+    assert tuples(token_files.token_round_trip(frame(spark, rows), block_bytes=block_bytes)) == sorted(expected)
+
+
+def test_memory_of_words_is_bounded_and_changes_nothing():
+    own = units.UnitEncoder(units.tokenizer_json(), most=8)
+    texts = [f"alpha beta{k} gamma {k} x{k}y, delta." for k in range(50)]
+    for _ in range(2):
+        for t in texts:
+            assert np.frombuffer(own.encode_many([t])[0], own.dtype).tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+    assert len(own.words.keys) <= 8
+
+
+def test_files_stay_where_they_are_asked_for(spark, docs, tmp_path):
+    rows = tuples(token_files.token_round_trip(docs, out_dir=str(tmp_path / "kept"), block_bytes=500))
+    assert len(list((tmp_path / "kept").glob("*.tok"))) > 1 and rows == tuples(token_files.token_round_trip(docs))
+
+
+def test_blocks_follow_the_text_whatever_the_plan(spark, docs):
+    labels = spark.createDataFrame([(i, 1) for i, _ in corpus()], "doc_id long, toxic int")
+    joined = docs.join(labels, "doc_id").join(labels.withColumnRenamed("toxic", "again"), "doc_id")
+    assert common.block_count(joined, "text", 600) == common.block_count(docs, "text", 600) > 10
+
+
+def test_running_totals_over_ranges(spark):
+    rows = [(k * 997 % 10000, k % 7) for k in range(10000)]
+    got = dict(common.running_total(spark.createDataFrame(rows, "k long, v long"), "k", "v", "start").select("k", "start").collect())
+    total = 0
+    for k, v in sorted(rows):
+        assert got[k] == total
+        total += v
 
 
 def test_token_counts_for_every_limit(spark, docs):
-    tokenizer = units.encoder(units.tokenizer_json()).tokenizer
-    lengths = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in corpus()]
+    lengths = [len(LIBRARY.encode(t or "", add_special_tokens=False).ids) for _, t in corpus()]
     sums = token_counts.suffix_sums(token_counts.length_histogram(docs))
     for r in sums.collect():
         n = r["n_tokens"]
