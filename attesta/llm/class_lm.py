@@ -1,18 +1,23 @@
 """Brown class-based bigram model: exchange clustering over corpus-wide counts, smoothed scores for every text.
 
-1. Documents are packed into blocks in the shared folder. Each block sends, by hash range, its distinct words'
-   64-bit hashes and their training counts; a range sums them and answers each block with the totals of its own
-   words. No vocabulary is broadcast or collected, whatever its size.
-2. The ``VOCABULARY`` most frequent words (ties by hash) are broadcast; all blocks count their bigrams, other words
-   standing as one, which gives at most (VOCABULARY + 2) ** 2 cells.
-3. Exchange clustering moves each word to the class that raises the training likelihood most, in sweeps.
-4. P(word | previous) = P(class | previous class) P(word | class). Transitions are Witten-Bell smoothed with
-   add-one class shares. Words outside the vocabulary share one class, whose counts are discounted by
-   n1 / (n1 + 2 n2); the discounted mass is the probability of a word that training has not seen, one event
-   as in the unigram base. Probabilities of all known words, the end and the unseen event add up to one.
-
-Defined results: a null or empty text is its end token; without training text every score is that of an unseen or
-end event under add-one shares; a null doc_id counts as the empty text in the held-out rule; rows that repeat a
+1. Documents become blocks of word hashes in the shared folder. Each block sends, by hash range, its distinct words
+   and their training counts; a range sums them and names its most frequent words.
+2. The ``SEEDS`` most frequent words of all (ties by hash) are clustered from their bigrams, all other words standing
+   as one open class: exchange moves each word to the class that raises the training likelihood most, in sweeps
+   until one moves none.
+3. Every other training word is inserted by the same gain. Each block sends, by hash range, how often classes of
+   seeds, open words and ends stand before and after its words; a range sums that per word, adds the word to the
+   class with the largest gain, and answers each block with totals and classes of its own words. So the vocabulary
+   that is clustered grows with the corpus and is neither broadcast nor collected.
+4. Class bigrams are counted over all training text, now that every word has a class.
+5. P(word | previous) = P(class | class of previous) P(word | class). Transitions are Witten-Bell smoothed with
+   add-one class shares. Within each class, counts are discounted by n1 / (n1 + 2 n2); what that leaves is shared by
+   the words that training has not seen, whose number is estimated from words seen once and twice (n1 (n1 - 1) /
+   (2 (n2 + 1)), one at least). After an unseen word, the followers of words seen once stand for its own.
+   Probabilities of all known words, the end and so many unseen words add up to one.
+
+Defined results: a null or empty text is its end token; without training text every score is that of unseen words
+and ends under add-one shares; a null doc_id counts as the empty text in the held-out rule; rows that repeat a
 doc_id are scored one by one; an empty table gives no rows; other columns are ignored. Distinct words are told
 apart by 64-bit hashes.
 """
@@ -24,15 +29,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import LOWER, PIECE, Hashes, block_count, bucket_of, crc_mod, from_delta, in_block, lean, packer, persist, small_batches, sorted_delta
+from attesta.llm.common import LOWER, PIECE_BYTES, Hashes, block_count, bucket_of, crc_mod, from_delta, lean, persist, slices, small_batches, sorted_delta, texts_of
 
-#: Words that are clustered, classes, sweeps over the words; (mod, remainder) of held-out documents.
-VOCABULARY, CLASSES, SWEEPS, HELD_OUT = 2000, 48, 4, (7, 2)
+#: Words that are clustered among themselves, classes; (mod, remainder) of held-out documents.
+SEEDS, CLASSES, HELD_OUT = 2000, 48, (7, 2)
 BANDS = 16
+#: Context cells whose gains are computed at once.
+CELLS = 1 << 15
 _NULL_ID = -(2**63)
 
 
@@ -47,83 +55,112 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 class Tokens:
-    """A block's documents as one array of word hashes; every document ends with an end token."""
-
-    def __init__(self, pieces: list[tuple[bytes, bytes, bytes]]):
-        self.ids, texts = in_block(pieces)
-        words: list[bytes] = []
-        ends = []
-        for text in texts:
-            words += text.translate(LOWER).split()
-            words.append(b"")
-            ends.append(len(words))
-        self.ends = np.array(ends, np.int64)
-        self.last = self.ends - 1
-        self.hashes = Hashes().of(words)
-        self.is_end = np.zeros(len(words), bool)
-        self.is_end[self.last] = True
-        self.held_out = np.array([crc_mod(None if i == _NULL_ID else i, HELD_OUT[0]) == HELD_OUT[1] for i in self.ids.tolist()], bool)
-        self.trains = np.repeat(~self.held_out, np.diff(self.ends, prepend=0))
-        self.own, self.place = np.unique(self.hashes[~self.is_end], return_inverse=True)
+    """A block's documents as word numbers; every document ends with an end token."""
+
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, own: np.ndarray, place: np.ndarray):
+        self.ids, self.ends, self.own, self.place = ids, ends, own, place  # own: distinct words' hashes, sorted; place: of words, without ends
+        self.is_end = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+        self.is_end[ends - 1] = True
+        self.held_out = np.array([crc_mod(None if i == _NULL_ID else i, HELD_OUT[0]) == HELD_OUT[1] for i in ids.tolist()], bool)
+        self.trains = np.repeat(~self.held_out, np.diff(ends, prepend=0))
+
+    def spread(self, values: np.ndarray, end: int) -> np.ndarray:
+        """A value of each distinct word, put at each token; ``end`` at ends."""
+        out = np.full(len(self.is_end), end, values.dtype)
+        out[~self.is_end] = values[self.place]
+        return out
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each document's tokens."""
+        starts = self.ends - np.diff(self.ends, prepend=0)
+        return np.add.reduceat(values, starts) if len(starts) else values[:0]
+
+
+BLOCK = "block long, ids binary, ends binary, own binary, place binary, trains long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of about PIECE_BYTES of text; the number of one is a hash of its content."""
+    hashes = Hashes()
+    ids: list[int] = []
+    parts: list[np.ndarray] = []
+    counts: list[int] = []
+    size = 0
+
+    def block() -> pa.RecordBatch:
+        own, place = np.unique(np.concatenate(parts), return_inverse=True)
+        ends = np.cumsum(np.array(counts, np.int64) + 1)
+        raw = [np.array(ids, np.int64).tobytes(), ends.tobytes(), sorted_delta(own), _pack(place)]
+        number = xxhash.xxh3_64_intdigest(b"".join(raw)) >> 1
+        trains = sum(crc_mod(None if i == _NULL_ID else i, HELD_OUT[0]) != HELD_OUT[1] for i in ids)
+        return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x], pa.binary()) for x in raw), pa.array([trains])], ["block", "ids", "ends", "own", "place", "trains"])
+
+    for batch in batches:
+        names, texts = batch.column(0).fill_null(_NULL_ID).to_pylist(), texts_of(batch.column(1))
+        for some in slices(texts, 1 << 20):
+            words = [x.translate(LOWER).split() for x in texts[some]]
+            counts += map(len, words)
+            ids += names[some]
+            parts.append(hashes.of([w for x in words for w in x]))
+            size += sum(map(len, texts[some])) + 16 * len(words)
+            if size >= PIECE_BYTES:
+                yield block()
+                ids, parts, counts, size = [], [], [], 0
+    if ids:
+        yield block()
 
 
 def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Tokens]]:
-    for block, *piece in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "ends", "body")), strict=True):
-        yield block, Tokens([tuple(piece)])
+    for block, ids, ends, own, place in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "ends", "own", "place")), strict=True):
+        yield block, Tokens(np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), from_delta(own), _unpack(place))
+
+
+def _counts(tokens: Tokens) -> np.ndarray:
+    return np.bincount(tokens.place, tokens.trains[~tokens.is_end], len(tokens.own)).astype(np.int64)
+
+
+def _cuts(own: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of the hash ranges that hold some of ``own``."""
+    at = np.searchsorted(bucket_of(own, buckets), np.arange(buckets + 1, dtype=np.uint64)).tolist()
+    return [(k, a, b) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+
+
+def _table(rows: list[tuple], columns: dict[str, pa.DataType]) -> list:
+    return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(columns.values())]
 
 
 def _send(buckets: int):
-    """Distinct words and training counts of each block, by hash range. Range -1 counts documents that train."""
+    """Distinct words and training counts of each block, by hash range."""
+    columns = {"bucket": pa.int64(), "hashes": pa.binary(), "counts": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, tokens in _rows(batch):
-                counts = np.bincount(tokens.place, tokens.trains[~tokens.is_end], len(tokens.own)).astype(np.int64)
-                cuts = np.searchsorted(bucket_of(tokens.own, buckets), np.arange(buckets + 1, dtype=np.uint64)).tolist()
-                rows = [(k, sorted_delta(tokens.own[a:b]), _pack(counts[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-                rows.append((-1, b"", _pack(np.array([(~tokens.held_out).sum()]))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))],
-                    ["bucket", "block", "hashes", "counts"],
-                )
+            for _, tokens in _rows(batch):
+                counts = _counts(tokens)
+                rows = [(k, sorted_delta(tokens.own[a:b]), _pack(counts[a:b])) for k, a, b in _cuts(tokens.own, buckets)]
+                yield pa.RecordBatch.from_arrays(_table(rows, columns), list(columns))
 
     return run
 
 
-REPLY = "block long, bucket long, counts binary, top_hashes binary, top_counts binary, sums array<long>"
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct hashes, totals, where each row's words stand among them) of the rows of a hash range."""
+    arrays = [from_delta(x) for x in table.column("hashes").to_pylist()]
+    counts = [_unpack(x) for x in table.column("counts").to_pylist()]
+    own, place = np.unique(np.concatenate(arrays), return_inverse=True)
+    totals = np.bincount(place, np.concatenate(counts), len(own)).astype(np.int64)
+    return own, totals, np.split(place, np.cumsum([len(a) for a in arrays])[:-1])
 
 
 def _total(most: int):
-    """Totals of a hash range: an answer for each block, and one summary row (block null)."""
+    """One row for a hash range: its most frequent words, and sums (words, types, types seen once, twice)."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        rows = sorted(zip(table.column("block").to_pylist(), table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True))
-        counts = [_unpack(r[2]) for r in rows]
-        none = np.zeros(0, np.int64)
-        if bucket < 0:
-            out, top, few, sums = [], none.view(np.uint64), none, [0, 0, int(sum(c.sum() for c in counts))]
-        else:
-            arrays = [from_delta(r[1]) for r in rows]
-            own, place = np.unique(np.concatenate(arrays), return_inverse=True)
-            totals = np.bincount(place, np.concatenate(counts), len(own)).astype(np.int64)
-            cuts = np.cumsum([len(a) for a in arrays])[:-1]
-            out = [(r[0], _pack(totals[p])) for r, p in zip(rows, np.split(place, cuts), strict=True)]
-            best = np.lexsort((own, -totals))[:most]
-            best = best[totals[best] > 0]
-            top, few = own[best], totals[best]
-            sums = [int(totals.sum()), int((totals > 0).sum()), 0, int((totals == 1).sum()), int((totals == 2).sum())]
-        blank = [None] * len(out)
-        return pa.table(
-            {
-                "block": pa.array([*(r[0] for r in out), None], pa.int64()),
-                "bucket": pa.array([bucket] * (len(out) + 1), pa.int64()),
-                "counts": pa.array([*(r[1] for r in out), None], pa.binary()),
-                "top_hashes": pa.array([*blank, top.tobytes()], pa.binary()),
-                "top_counts": pa.array([*blank, few.tobytes()], pa.binary()),
-                "sums": pa.array([*blank, [*sums, 0, 0][:5]], pa.list_(pa.int64())),
-            }
-        )
+        own, totals, _ = _summed(table)
+        best = np.lexsort((own, -totals))[:most]
+        best = best[totals[best] > 0]
+        sums = [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]
+        return pa.table({"hashes": pa.array([own[best].tobytes()], pa.binary()), "counts": pa.array([totals[best].tobytes()], pa.binary()), "sums": pa.array([sums], pa.list_(pa.int64()))})
 
     return run
 
@@ -143,41 +180,45 @@ def _best(most: int):
     return run
 
 
-def _ids(tokens: Tokens, sorted_hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Vocabulary id of each token; len(ids): another word, len(ids) + 1: the end."""
-    n = len(ids)
-    own = np.full(len(tokens.own), n, np.int64)
-    if n and len(own):
-        at = np.searchsorted(sorted_hashes, tokens.own)
-        at[at == n] = 0
-        own = np.where(sorted_hashes[at] == tokens.own, ids[at], n)
-    out = np.full(len(tokens.hashes), n + 1, np.int64)
-    out[~tokens.is_end] = own[tokens.place]
+def seed_labels(own: np.ndarray, hashes: np.ndarray, label: np.ndarray, otherwise: int) -> np.ndarray:
+    """Label of each of ``own``: that of its equal among the sorted ``hashes``, else ``otherwise``."""
+    out = np.full(len(own), otherwise, np.int64)
+    if len(hashes) and len(own):
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        out = np.where(hashes[at] == own, label[at], otherwise)
     return out
 
 
-def _bigrams(sorted_hashes: np.ndarray, ids: np.ndarray):
-    """Training bigrams of a task's blocks as (band, cells, times), bands by first word."""
+def _before(values: np.ndarray, end: int) -> np.ndarray:
+    """What stands before each token; an end before a block's first."""
+    return np.concatenate([[end], values[:-1]])[: len(values)]
+
+
+def _bigrams(hashes: np.ndarray, ids: np.ndarray):
+    """Training bigrams of a task's blocks among seeds, other words and ends as (band, cells, times), bands by first word."""
     side = len(ids) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(side * side, np.int64)
+        cells, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, tokens in _rows(batch):
-                own = _ids(tokens, sorted_hashes, ids)
-                before = np.concatenate([[side - 1], own[:-1]])[: len(own)]  # what precedes a document's first word is an end
-                total += np.bincount((before * side + own)[tokens.trains], minlength=side * side)
-        used = np.flatnonzero(total)
-        band = used // side * BANDS // side
-        rows = [(k, used[band == k]) for k in range(BANDS)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(BANDS), pa.int64()), pa.array([_pack(np.diff(c, prepend=0)) for _, c in rows], pa.binary()), pa.array([_pack(total[c]) for _, c in rows], pa.binary())],
-            ["band", "cells", "times"],
-        )
+                own = tokens.spread(seed_labels(tokens.own, hashes, ids, side - 2), side - 1)
+                cells, times = _merged(cells, times, (_before(own, side - 1) * side + own)[tokens.trains])
+        band = cells // side * BANDS // side
+        rows = [(k, _pack(np.diff(cells[band == k], prepend=0)), _pack(times[band == k])) for k in range(BANDS)]
+        columns = {"band": pa.int64(), "cells": pa.binary(), "times": pa.binary()}
+        yield pa.RecordBatch.from_arrays(_table(rows, columns), list(columns))
 
     return run
 
 
+def _merged(cells: np.ndarray, times: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of sorted distinct ``cells``, and of ``more``, each counting one."""
+    new, n = np.unique(more, return_counts=True)
+    both, place = np.unique(np.concatenate([cells, new]), return_inverse=True)
+    return both, np.bincount(place, np.concatenate([times, n]), len(both)).astype(np.int64)
+
+
 def _sum_band(table: pa.Table) -> pa.Table:
     parts = [(np.cumsum(_unpack(c)), _unpack(t)) for c, t in zip(table.column("cells").to_pylist(), table.column("times").to_pylist(), strict=True)]
     cells, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -189,7 +230,7 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange_clusters(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange_clusters(pairs: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Class of each word from bigram counts; the last two rows and columns are fixed contexts of their own.
 
     Words start in classes by frequency rank and move, one after another, to the class that gives the largest
@@ -205,7 +246,8 @@ def exchange_clusters(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = S
     joint = spread.T @ pairs @ spread
     right, left = pairs @ spread, pairs.T @ spread  # per word: followers, predecessors by class
     diagonal = np.arange(classes)
-    for _ in range(sweeps):
+    moved = n
+    while moved:
         moved = 0
         for w in range(n):
             r, c, own = right[w].copy(), left[w].copy(), label[w]
@@ -221,9 +263,9 @@ def exchange_clusters(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = S
             gain = (_xlogx(rows + r) - _xlogx(rows)).sum(1) + (_xlogx(cols + c) - _xlogx(cols)).sum(1)
             same = joint[diagonal, diagonal]
             gain += _xlogx(same + r[:classes] + c[:classes] + self_) - _xlogx(same + r[:classes]) - _xlogx(same + c[:classes]) + _xlogx(same)
-            out, into = rows.sum(1), cols.sum(1)
+            out, into = rows.sum(1) + c[:classes], cols.sum(1) + r[:classes]  # the word's own tokens still precede and follow others
             gain -= _xlogx(out + r_all) - _xlogx(out) + _xlogx(into + c_all) - _xlogx(into)
-            new = int(gain.argmax()) if gain.max() > gain[own] + 1e-9 else int(own)
+            new = int(gain.argmax()) if gain.max() > gain[own] + 1e-6 else int(own)
             joint[new] += r
             joint[:, new] += c
             joint[new, new] += self_
@@ -234,114 +276,242 @@ def exchange_clusters(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = S
                 right[:, new] += pairs[:, w]
                 left[:, own] -= pairs[w]
                 left[:, new] += pairs[w]
-        if not moved:
-            break
     return label[:n]
 
 
+def insertion_classes(words: int, cells: np.ndarray, times: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """Class of each of ``words`` new words that adds most to the likelihood of class bigrams.
+
+    ``joint``: class bigram counts, its last two rows and columns for open words and ends. ``cells``, sorted: word * 2 * side
+    + the class before it, or + side + the class after it; ``times``: how often. Of equal gains the first class wins.
+    """
+    side = len(joint)
+    n = side - 2
+    gain = np.zeros((words, n))
+    if not words or not len(cells):
+        return gain.argmax(1) if words else np.zeros(0, np.int64)
+    held = np.concatenate([joint[:, :n], joint[:n].T])  # by context: before a class, after it
+    known = _xlogx(held)
+    word, code = np.divmod(cells, 2 * side)
+    for a in range(0, len(cells), CELLS):
+        w, c, t = word[a : a + CELLS], code[a : a + CELLS], times[a : a + CELLS, None]
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[first]] += np.add.reduceat(_xlogx(held[c] + t) - known[c], first, axis=0)
+    left, right = (code < n), (code >= side) & (code < side + n)
+    at_l, at_r = np.flatnonzero(left), np.flatnonzero(right)
+    _, i, j = np.intersect1d(word[at_l] * n + code[at_l], word[at_r] * n + code[at_r] - side, assume_unique=True, return_indices=True)
+    w, c, x, y = word[at_l[i]], code[at_l[i]], times[at_l[i]], times[at_r[j]]
+    same = joint[c, c]  # both sides in the class itself: one cell of the counts grows twice
+    gain[w, c] += _xlogx(same + x + y) - _xlogx(same + x) - _xlogx(same + y) + _xlogx(same)
+    for at, code_open, n_seeds in ((at_l, side + n, joint[:n, n]), (at_r, n, joint[n, :n])):  # the word leaves the open class
+        beside = np.zeros(words)
+        beside[word[code == code_open]] = times[code == code_open]
+        w, c, x = word[at], code[at] % side, times[at]
+        y, same = beside[w], n_seeds[c]
+        gain[w, c] += _xlogx(same - x + y) - _xlogx(same - x) - _xlogx(same + y) + _xlogx(same)
+    all_l, all_r = np.bincount(word, times * (code < side), words), np.bincount(word, times * (code >= side), words)
+    out, into = joint[:n].sum(1), joint[:, :n].sum(0)
+    for a in range(0, words, CELLS):
+        own = slice(a, a + CELLS)
+        gain[own] -= _xlogx(out + all_r[own, None]) - _xlogx(out) + _xlogx(into + all_l[own, None]) - _xlogx(into)
+    return gain.argmax(1)
+
+
+CONTEXTS = "bucket long, block long, hashes binary, counts binary, cells binary, times binary"
+
+
+def _contexts(buckets: int, hashes: np.ndarray, label: np.ndarray, side: int):
+    """Of each block, by hash range: its words, their training counts, and the classes beside those that are no seeds."""
+    columns = {"bucket": pa.int64(), "block": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "cells": pa.binary(), "times": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, tokens in _rows(batch):
+                counts, own = _counts(tokens), seed_labels(tokens.own, hashes, label, side - 2)
+                cls = tokens.spread(own, side - 1)
+                at = np.flatnonzero(tokens.trains & (cls == side - 2))
+                number = tokens.spread(np.arange(len(tokens.own)), 0)[at] * 2 * side
+                cells, times = np.unique(np.concatenate([number + _before(cls, side - 1)[at], number + side + cls[np.minimum(at + 1, len(cls) - 1)]]), return_counts=True)
+                rows = []
+                for k, a, b in _cuts(tokens.own, buckets):
+                    i, j = np.searchsorted(cells, [a * 2 * side, b * 2 * side])
+                    own_cells = cells[i:j] - a * 2 * side
+                    rows.append((k, block, sorted_delta(tokens.own[a:b]), _pack(counts[a:b]), _pack(np.diff(own_cells, prepend=0)), _pack(times[i:j])))
+                yield pa.RecordBatch.from_arrays(_table(rows, columns), list(columns))
+
+    return run
+
+
+ANSWER = "block long, bucket long, counts binary, classes binary, types array<long>, words array<long>"
+
+
+def _classify(hashes: np.ndarray, label: np.ndarray, joint: np.ndarray):
+    """Totals and classes of a hash range: an answer for each block, and one summary row (block null) of types and words by class."""
+    side = len(joint)
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        own, totals, places = _summed(table)
+        parts = []
+        for place, cells in zip(places, table.column("cells").to_pylist(), strict=True):
+            word, code = np.divmod(np.cumsum(_unpack(cells)), 2 * side)
+            parts.append(place[word] * 2 * side + code)
+        cells, at = np.unique(np.concatenate(parts), return_inverse=True)
+        times = np.bincount(at, np.concatenate([_unpack(x) for x in table.column("times").to_pylist()]), len(cells)).astype(np.int64)
+        classes = seed_labels(own, hashes, label, -1)
+        new = np.flatnonzero((classes < 0) & (totals > 0))
+        word, code = np.divmod(cells, 2 * side)
+        classes[new] = insertion_classes(len(new), np.searchsorted(new, word) * 2 * side + code, times, joint)
+        classes[totals == 0] = side - 2
+        answers = sorted(zip(table.column("block").to_pylist(), [_pack(totals[p]) for p in places], [_pack(classes[p]) for p in places], strict=True))
+        types, words = np.bincount(classes[totals > 0], minlength=side), np.bincount(classes, totals, side).astype(np.int64)
+        rows = [*((b, bucket, c, k, None, None) for b, c, k in answers), (None, bucket, None, None, types.tolist(), words.tolist())]
+        columns = {"block": pa.int64(), "bucket": pa.int64(), "counts": pa.binary(), "classes": pa.binary(), "types": pa.list_(pa.int64()), "words": pa.list_(pa.int64())}
+        return pa.table(_table(rows, columns), list(columns))
+
+    return run
+
+
 @dataclass
-class ClassModel:
-    """All that scoring a text needs besides its words' training counts."""
-
-    hashes: np.ndarray  # of the vocabulary, sorted
-    ids: np.ndarray  # their ids
-    label: np.ndarray  # class by id; other words and the end last
-    emit: np.ndarray  # log10 P(word | class) by id; that of other words is given by their counts
-    step: np.ndarray  # log10 P(class | previous class)
+class Emissions:
+    """What the probability of a word within its class needs; classes, then unseen words, then the end."""
+
+    types: np.ndarray  # by class
+    words: np.ndarray  # training tokens by class
     tokens: int
-    types: int
-    end_count: int
+    kinds: int
+    ends: int
     discount: float
-    other_tokens: int
-    other_types: int
-
-    def scores(self, tokens: Tokens, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Per document: n_tokens, n_known, base, score. ``counts``: training counts of tokens.own."""
-        each = np.full(len(tokens.hashes), self.end_count, np.int64)
-        each[~tokens.is_end] = counts[tokens.place]
-        base = np.log10((each + 1) / (self.tokens + self.types + 1))
-        own = _ids(tokens, self.hashes, self.ids)
-        cls = self.label[own]
-        before = np.concatenate([[self.label[-1]], cls[:-1]])[: len(cls)]
-        emit = self.emit[own]
-        other = own == len(self.ids)
-        if self.other_tokens:
-            unseen = max(self.discount * self.other_types / self.other_tokens, 1e-300)
-            c = each[other]
-            emit[other] = np.log10(np.where(c > 0, np.maximum(c - self.discount, 1e-300) / self.other_tokens, unseen))
-        value = self.step[before, cls] + emit
-        starts = tokens.ends - np.diff(tokens.ends, prepend=0)
-        add = (lambda x: np.add.reduceat(x, starts)) if len(starts) else (lambda x: np.zeros(0, x.dtype))
-        return np.diff(tokens.ends, prepend=0), add((each > 0).astype(np.int64)), add(base), add(value)
-
-
-def build_model(hashes: np.ndarray, times: np.ndarray, pairs: np.ndarray, sums: list[int], classes: int = CLASSES, sweeps: int = SWEEPS) -> ClassModel:
-    """``hashes``, ``times``: vocabulary by id; ``pairs``: bigram counts; ``sums``: words, types, training documents, n1, n2."""
-    words, types, docs, once, twice = sums
-    n = len(hashes)
-    label = exchange_clusters(pairs, classes, sweeps) if n else np.zeros(0, np.int64)
-    side = (int(label.max()) + 1 if n else 0) + 2
-    label = np.concatenate([label, [side - 2, side - 1]])
-    spread = np.zeros((n + 2, side))
-    spread[np.arange(n + 2), label] = 1
-    joint = spread.T @ pairs @ spread
-    share = (joint.sum(0) + 1) / (joint.sum() + side)
-    kinds = np.maximum((joint > 0).sum(1, keepdims=True), 1)
-    step = np.log10((joint + kinds * share) / (joint.sum(1, keepdims=True) + kinds))
-    size = np.bincount(label[:n], times, side)
-    emit = np.concatenate([np.log10(times / size[label[:n]]), [0.0, 0.0]])
-    order = np.argsort(hashes)
-    once, twice = once - int((times == 1).sum()), twice - int((times == 2).sum())
+    unseen: float  # types that training has not seen
+
+    def of(self, counts: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log10 P(word | class) of known words; 0 for unseen words and ends, whose transitions say it all."""
+        known = (counts > 0) & (cls < len(self.words) - 2)
+        return np.log10(np.where(known, np.maximum(counts - self.discount, 1e-300) / np.maximum(self.words[cls], 1), 1.0))
+
+    def transitions(self, pairs: np.ndarray) -> np.ndarray:
+        """log10 P(class, unseen word or end | class, unseen word or end before) from class bigram counts."""
+        side = len(pairs)
+        live = self.words > 0
+        live[side - 1] = True
+        if not live[:-1].any():
+            live[0] = True  # nothing was learnt: one class without words
+        joint = np.where(live, pairs, 0).astype(np.float64)
+        share = np.where(live, joint[live].sum(0) + 1, 0.0)
+        share /= share.sum()
+        kinds = np.maximum((joint > 0).sum(1, keepdims=True), 1)
+        step = (joint + kinds * share) / (joint.sum(1, keepdims=True) + kinds)
+        left = np.where(self.words > 0, self.discount * self.types / np.maximum(self.words, 1), 1.0)
+        step[:, side - 2] = step[:, : side - 2] @ left[: side - 2] / self.unseen
+        return np.log10(np.maximum(step, 1e-300))
+
+
+def emissions(types: np.ndarray, words: np.ndarray, sums: list[int], docs: int) -> Emissions:
+    """``types``, ``words``: by class; ``sums``: words, types, types seen once, twice; ``docs``: training documents."""
+    tokens, kinds, once, twice = sums
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice > 0 else 0.5
-    return ClassModel(hashes[order], order, label, emit, step, words + docs, types + (docs > 0), docs, discount, words - int(times.sum()), types - n)
+    return Emissions(types, words, tokens + docs, kinds + (docs > 0), docs, discount, max(1.0, once * (once - 1) / (2 * (twice + 1))))
 
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+LABELLED = "ids binary, lens binary, known binary, base binary, emit binary, classes binary, cells binary, times binary"
+
 
+def _label(model: Emissions, buckets: int):
+    """Of each block: documents' sums that need no transitions, the classes of all tokens, and training bigrams of classes.
+
+    A word that is seen once counts a second time as the context that stands for unseen words.
+    """
+    side = len(model.words)
+    columns = dict.fromkeys(("ids", "lens", "known", "base", "emit", "classes", "cells", "times"), pa.binary())
 
-def _score(model: ClassModel, buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        answers = dict(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True))
-        parts = []
+        answers = {b: (c, k) for b, c, k in zip(*(right.column(x).to_pylist() for x in ("bucket", "counts", "classes")), strict=True)}
+        rows = []
         for _, tokens in _rows(left):
-            cuts = np.searchsorted(bucket_of(tokens.own, buckets), np.arange(buckets + 1, dtype=np.uint64))
-            counts = np.zeros(len(tokens.own), np.int64)
-            for bucket, raw in answers.items():
-                counts[cuts[bucket] : cuts[bucket + 1]] = _unpack(raw)
-            n, known, base, value = model.scores(tokens, counts)
-            parts.append(
-                pa.table(
-                    {
-                        "doc_id": pa.array(tokens.ids, mask=tokens.ids == _NULL_ID), "held_out": pa.array(tokens.held_out), "n_tokens": pa.array(n, pa.int64()),
-                        "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(n), model.tokens, np.int64)),
-                        "base_score": pa.array(base, pa.float64()), "score": pa.array(value, pa.float64()),
-                    }
+            counts, classes = np.zeros(len(tokens.own), np.int64), np.full(len(tokens.own), side - 2)
+            for k, a, b in _cuts(tokens.own, buckets):
+                counts[a:b], classes[a:b] = map(_unpack, answers[k])
+            each, cls = tokens.spread(counts, model.ends), tokens.spread(classes, side - 1)
+            base = np.log10((each + 1) / (model.tokens + model.kinds + 1))
+            before = _before(cls, side - 1)
+            again = tokens.trains & (_before(each, 0) == 1) & (before < side - 2)
+            cells, times = np.unique(np.concatenate([(before * side + cls)[tokens.trains], (side - 2) * side + cls[again]]), return_counts=True)
+            sums = [tokens.ids, np.diff(tokens.ends, prepend=0), tokens.sums((each > 0).astype(np.int64)), tokens.sums(base), tokens.sums(model.of(each, cls))]
+            rows.append((*(x.tobytes() for x in sums), zstandard.compress(cls.astype(np.uint16 if side > 256 else np.uint8).tobytes()), cells.tobytes(), times.tobytes()))
+        return pa.table(_table(rows, columns), list(columns))
+
+    return run
+
+
+def _class_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, times) over a task's blocks."""
+    cells, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        for c, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            both, place = np.unique(np.concatenate([cells, np.frombuffer(c, np.int64)]), return_inverse=True)
+            cells, times = both, np.bincount(place, np.concatenate([times, np.frombuffer(t, np.int64)]), len(both)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times)], ["cell", "times"])
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(tokens: int, step: np.ndarray):
+    side = len(step)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, lens, known, base, emit, classes in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                ids, lens, known = (np.frombuffer(x, np.int64) for x in (ids, lens, known))
+                cls = np.frombuffer(zstandard.decompress(classes), np.uint16 if side > 256 else np.uint8).astype(np.int64)
+                value = np.add.reduceat(step[_before(cls, side - 1), cls], np.cumsum(lens) - lens) + np.frombuffer(emit)
+                held = [crc_mod(None if i == _NULL_ID else i, HELD_OUT[0]) == HELD_OUT[1] for i in ids.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, mask=ids == _NULL_ID), pa.array(held), pa.array(lens), pa.array(known), pa.array(np.full(len(ids), tokens)), pa.array(np.frombuffer(base)), pa.array(value)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
-            )
-        return pa.concat_tables(parts)
 
     return run
 
 
-def class_lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
+def class_lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seeds: int = SEEDS, classes: int = CLASSES) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    spark = docs.sparkSession
     n = block_count(docs, text)
     buckets = min(2 * n, 4096 + n // 8)
-    blocks = persist(small_batches(docs, doc_id, text).mapInArrow(lean(packer(None)), PIECE))
-    sent = blocks.mapInArrow(lean(_send(buckets)), "bucket long, block long, hashes binary, counts binary")
-    replies = persist(sent.groupBy("bucket").applyInArrow(lean(_total(vocabulary)), REPLY))
-    summary = replies.where(F.col("block").isNull())
-    found = summary.agg(*[F.sum(F.col("sums")[i]) for i in range(5)]).first()
-    sums = [int(x or 0) for x in found]
-    top = summary.select("top_hashes", "top_counts").mapInArrow(lean(_best(vocabulary)), "hash long, times long").orderBy(F.desc("times"), F.expr("hash < 0"), "hash").limit(vocabulary).collect()
-    hashes, times = np.array([r["hash"] for r in top], np.int64).view(np.uint64), np.array([r["times"] for r in top], np.int64)
+    blocks = persist(small_batches(docs, doc_id, text).mapInArrow(lean(_blocks), BLOCK))
+    trains = blocks.agg(F.sum("trains")).first()[0] or 0
+    found = persist(blocks.mapInArrow(lean(_send(buckets)), "bucket long, hashes binary, counts binary").groupBy("bucket").applyInArrow(lean(_total(seeds)), "hashes binary, counts binary, sums array<long>"))
+    sums = [int(x or 0) for x in found.agg(*[F.sum(F.col("sums")[i]) for i in range(4)]).first()]
+    top = found.select("hashes", "counts").mapInArrow(lean(_best(seeds)), "hash long, times long").orderBy(F.desc("times"), F.expr("hash < 0"), "hash").limit(seeds).collect()
+    hashes = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    side = len(hashes) + 2
+    words = len(hashes) + 2
     cells = blocks.mapInArrow(lean(_bigrams(hashes[order], order)), "band long, cells binary, times binary").groupBy("band").applyInArrow(lean(_sum_band), "cells binary, times binary").collect()
-    pairs = np.zeros(side * side, np.int64)
-    for r in cells:  # at most side ** 2 cells
+    pairs = np.zeros(words * words, np.int64)
+    for r in cells:  # at most words ** 2 cells
         pairs[np.frombuffer(r["cells"], np.int64)] = np.frombuffer(r["times"], np.int64)
-    model = build_model(hashes, times, pairs.reshape(side, side), sums, classes, sweeps)
-    answers = replies.where(F.col("block").isNotNull()).select("block", "bucket", "counts")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(_score(model, buckets)), RESULT)
+    joint, label = class_bigrams(pairs.reshape(words, words), classes)
+    known, side = (hashes[order], label[order]), len(joint)
+    sent = blocks.mapInArrow(lean(_contexts(buckets, *known, side)), CONTEXTS)
+    answers = persist(sent.groupBy("bucket").applyInArrow(lean(_classify(*known, joint)), ANSWER))
+    by_class = answers.where(F.col("block").isNull()).agg(*[F.sum(F.col(c)[i]) for c in ("types", "words") for i in range(side)]).first()
+    both = np.array([x or 0 for x in by_class], np.int64)
+    model = emissions(both[:side], both[side:], sums, trains)
+    replies = answers.where(F.col("block").isNotNull()).select("block", "bucket", "counts", "classes")
+    labelled = persist(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lean(_label(model, buckets)), LABELLED))
+    counted = labelled.select("cells", "times").mapInArrow(lean(_class_cells), "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).collect()
+    pairs = np.zeros(side * side, np.int64)
+    for r in counted:  # at most side ** 2 cells
+        pairs[r["cell"]] = r["times"]
+    step = model.transitions(pairs.reshape(side, side))
+    return labelled.select("ids", "lens", "known", "base", "emit", "classes").mapInArrow(lean(_score(model.tokens, step)), RESULT)
+
+
+def class_bigrams(pairs: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """(class bigram counts with open words and ends last, class of each seed) from the bigrams of seeds, open words and ends."""
+    n = len(pairs) - 2
+    label = exchange_clusters(pairs, classes) if n else np.zeros(0, np.int64)
+    side = max(1, min(classes, n)) + 2
+    spread = np.zeros((n + 2, side))
+    spread[np.arange(n + 2), np.concatenate([label, [side - 2, side - 1]])] = 1
+    return spread.T @ pairs @ spread, label

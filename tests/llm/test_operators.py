@@ -194,26 +194,29 @@ def test_token_counts_for_every_limit(spark, docs):
     assert token_counts.quantile(sums, 0.5).first()[0] == sorted(lengths)[(len(lengths) + 1) // 2 - 1]
 
 
-def test_class_model_scores(spark, docs):
-    got = {r["doc_id"]: r for r in class_lm.class_lm_scores(docs, vocabulary=50, classes=5).collect()}
-    for i, (held, n, known, total, base) in plain.unigram_base(corpus()).items():
+@pytest.mark.parametrize(("seeds", "classes"), [(14, 4), (300, 1), (3, 8), (0, 5)])
+def test_class_model_scores(spark, seeds, classes):
+    rng = random.Random(11)
+    rows: list[tuple[int, str | None]] = [(i, " ".join(rng.choice("abcdefg") + rng.choice("XYxyzuvw"[: 1 + i % 8]) for _ in range(rng.randrange(0, 40)))) for i in range(30)]
+    rows += [(40, None), (41, ""), (42, "never seen words " * 3)]
+    got = {r["doc_id"]: r for r in class_lm.class_lm_scores(frame(spark, rows), seeds=seeds, classes=classes).collect()}
+    scores = plain.class_scores(rows, seeds, classes)
+    for i, (held, n, known, total, base) in plain.unigram_base(rows).items():
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, total)
-        assert r["base_score"] == pytest.approx(base)
-        assert np.isfinite(r["score"]) and r["score"] < 0
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(scores[i])
 
 
-def test_class_model_is_a_distribution():
-    rng = np.random.default_rng(1)
-    pairs = rng.integers(0, 9, (8, 8))
-    pairs[6:, 6:] = 3
-    times = np.maximum(pairs.sum(0)[:6], 1)
-    model = class_lm.build_model(np.arange(6, dtype=np.uint64), times, pairs, [int(times.sum()) + 40, 6 + 20, 5, 8, 4], classes=3)
-    other_counts = np.array([1] * 8 + [2] * 4 + [3] * 8)  # 40 tokens of 20 types
-    for before in range(model.step.shape[0]):
-        p = 10 ** (model.step[before, model.label[:6]] + model.emit[:6])
-        rare = 10 ** model.step[before, model.label[6]]
-        assert p.sum() + rare * ((other_counts - model.discount) / 40).sum() + rare * model.discount * 20 / 40 + 10 ** model.step[before, model.label[7]] == pytest.approx(1)
+def test_class_model_over_blocks(spark, docs, monkeypatch):
+    whole = {r["doc_id"]: r["score"] for r in class_lm.class_lm_scores(docs, seeds=20, classes=5).collect()}
+    parts = class_lm.class_lm_scores(docs.repartition(9), seeds=20, classes=5).collect()
+    assert {r["doc_id"]: r["score"] for r in parts} == {i: pytest.approx(x) for i, x in whole.items()}
+
+
+def test_class_model_without_training_text(spark):
+    held = next(i for i in range(100) if crc32(str(i).encode()) % 7 == 2)
+    (row,) = class_lm.class_lm_scores(frame(spark, [(held, "a b")])).collect()
+    assert (row["train_tokens"], row["n_known"], row["n_tokens"]) == (0, 0, 3) and row["score"] == pytest.approx(3 * np.log10(0.5))
 
 
 def test_exchange_groups_words_of_like_use():
@@ -221,7 +224,7 @@ def test_exchange_groups_words_of_like_use():
     kinds = np.array([0, 1] * 5)
     pairs = np.zeros((12, 12))
     pairs[:10, :10] = np.where(kinds[:, None] != kinds[None], 20, 1)
-    label = class_lm.exchange_clusters(pairs, 2, 10)
+    label = class_lm.exchange_clusters(pairs, 2)
     assert len({(k, x) for k, x in zip(kinds.tolist(), label.tolist(), strict=True)}) == 2
 
 
