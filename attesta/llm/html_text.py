@@ -1,17 +1,26 @@
 """Layout-aware HTML rendering: all visible text of a page, laid out as a browser would place it.
 
-A tolerant tree builder (implied end tags, void elements, raw text, misplaced end tags) feeds a renderer that follows
-visibility rules and lays out blocks with their spacing, lists with markers and indentation, and tables with aligned
-cells, column and row spans included.
+A tokenizer of states reads each character of a page a bounded number of times. A tolerant tree builder (implied end
+tags, void elements, raw text, misplaced end tags) feeds a renderer that follows visibility rules and lays out blocks
+with their spacing, lists with markers and indentation, and tables with aligned cells, column and row spans included.
+
+Visibility: elements that are never displayed, ``hidden``, closed ``details`` but for their summary, ``dialog`` that is
+not open, and ``display: none`` hide all below them; ``visibility: hidden`` hides what below does not say ``visible``.
+Both are read from ``style`` attributes and from rules of ``style`` elements whose selectors are compounds of tag,
+id and classes; rules with combinators or other conditions, and those inside at-rules, are not applied. Form fields
+show their value, else their placeholder; lists of choices show what is chosen, or all choices where several show.
 
 Defined results: a null or empty page has empty text; text outside any tag is kept; elements deeper than ``DEEPEST``
-are attached to their ancestor at that depth, so any nesting is rendered; an unclosed comment or raw text element
-runs to the end of the page; rows that repeat a page_id are rendered one by one; other columns are ignored.
+are attached to their ancestor at that depth, as browsers do; an unclosed comment or raw text element runs to the end
+of the page, and a tag that the page ends in is dropped; rows that repeat a page_id are rendered one by one; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,13 +30,14 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import bounded, lean
 
-DEEPEST = 120
-#: Fixed values of the HTML standard.
+#: Fixed values of browsers and of the HTML standard.
+DEEPEST, MOST_COLUMNS = 512, 1000
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("area audio base canvas datalist embed head iframe link map meta noembed noframes noscript object param rp script source style svg template title track video".split())
+NO_VALUE = frozenset("hidden checkbox radio file image range color password".split())
+HIDDEN = frozenset("area audio base canvas datalist embed head iframe link map meta meter noembed noframes noscript object param progress rp script source style template title track video".split())
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp plaintext".split()
 )
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp dir fieldset".split())
 CLOSES_P = frozenset(
@@ -46,108 +56,235 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 }
 TABLE_PARTS = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
 
-_TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|[!?/][^>]*>)""", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_SKIP = re.compile(r"[\s/]*")
+_TAG_NAME = re.compile(r"[A-Za-z][^\t\n\f\r />]*")
+_ATTR_NAME = re.compile(r"=?[^\t\n\f\r />=]*")
+_EQUALS = re.compile(r"[\t\n\f\r ]*=[\t\n\f\r ]*")
+_BARE = re.compile(r"[^\t\n\f\r >]*")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\f\r />])", re.I) for t in RAW}
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?\d{1,18})")
 _NO_ATTRS: dict[str, str] = {}
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_COMPOUND = re.compile(r"(?P<tag>\*|[A-Za-z][\w-]*)?(?P<rest>(?:[.#][A-Za-z_-][\w-]*)*)")
+_SAYS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "gone", "seen")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.gone, self.seen = False, None  # not displayed; visible (None: as the parent)
+
+
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """(attributes, where the tag has ended) from behind a tag's name; -1: the page ends in the tag."""
+    attrs, end = _NO_ATTRS, len(page)
+    while True:
+        at = _SKIP.match(page, at).end()
+        if at >= end:
+            return attrs, -1
+        if page[at] == ">":
+            return attrs, at + 1
+        name = _ATTR_NAME.match(page, at)
+        at, value = name.end(), ""
+        if equals := _EQUALS.match(page, at):
+            at = equals.end()
+            quote = page[at : at + 1]
+            if quote in ('"', "'"):
+                close = page.find(quote, at + 1)
+                if close < 0:
+                    return attrs, -1
+                value, at = page[at + 1 : close], close + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare.group(), bare.end()
+        if attrs is _NO_ATTRS:
+            attrs = {}
+        attrs.setdefault(name.group().lower(), unescape(value) if "&" in value else value)
+
+
+class _Open(list):
+    """Open elements, and how many there are of each tag, so that one that is not open is not searched."""
+
+    def __init__(self, nodes: list[Node]):
+        super().__init__(nodes)
+        self.count: dict[str, int] = {}
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.count[node.tag] = self.count.get(node.tag, 0) + 1
+
+    def cut(self, at: int) -> None:
+        for node in self[at:]:
+            self.count[node.tag] -= 1
+        del self[at:]
 
 
 def parse(page: str) -> Node:
     """The page's tree. Text is unescaped, except in raw elements that take none."""
     root = Node("html", _NO_ATTRS)
-    stack = [root]
-    at, end = 0, len(page)
-    while at < end:
-        found = _TAG.search(page, at)
-        if not found:
-            stack[-1].kids.append(unescape(page[at:]))
-            break
-        if found.start() > at:
-            stack[-1].kids.append(unescape(page[at : found.start()]))
-        at = found.end()
-        name = found["name"]
+    stack = _Open([root])
+    at = text = 0  # text: where the text that is not yet in the tree starts
+    end = len(page)
+
+    def flush(until: int) -> None:
+        if until > text:
+            stack[-1].kids.append(unescape(page[text:until]))
+
+    while (at := page.find("<", at)) >= 0:
+        kind = page[at + 1 : at + 2]
+        closing = kind == "/"
+        name = _TAG_NAME.match(page, at + 1 + closing)
         if not name:
+            if not (closing or kind in ("!", "?")) or not kind:
+                at += 1  # a sign of the text
+                continue
+            flush(at)
+            if page.startswith("<!--", at):
+                if page.startswith((">", "->"), at + 4):
+                    stop = page.find(">", at) + 1
+                else:
+                    found = _COMMENT_END.search(page, at + 4)
+                    stop = found.end() if found else end
+            else:
+                stop = page.find(">", at) + 1 or end
+            at = text = stop
             continue
-        name = name.lower()
-        if found["end"]:
-            _close(stack, name)
+        flush(at)
+        attrs, stop = _attributes(page, name.end())
+        at = text = end if stop < 0 else stop
+        if stop < 0:
+            break
+        tag = name.group().lower()
+        if closing:
+            _close(stack, tag)
             continue
-        _imply(stack, name)
-        attrs = {a.lower(): unescape(b or c or d) for a, b, c, d in _ATTR.findall(found["attrs"])} if found["attrs"] else _NO_ATTRS
-        if name in ("html", "body") and any(x.tag == name for x in stack):
+        _imply(stack, tag)
+        if tag in ("html", "body") and any(x.tag == tag for x in stack):
             continue
-        node = Node(name, attrs)
+        node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        if name in VOID:
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            text = page[at : close.start() if close else end]
-            node.kids.append(unescape(text) if name in ("textarea", "title") else text)
-            at = close.end() if close else end
-        elif len(stack) < DEEPEST:
-            stack.append(node)
+        if tag == "plaintext":
+            node.kids.append(page[at:])
+            at = text = end
+            break
+        if tag in RAW:
+            found = _RAW_END[tag].search(page, at)
+            inside = page[at : found.start() if found else end]
+            node.kids.append(unescape(inside) if tag in ("textarea", "title") else inside)
+            stop = _attributes(page, found.end())[1] if found else -1
+            at = text = end if stop < 0 else stop
+        elif tag not in VOID and len(stack) < DEEPEST:
+            stack.push(node)
+    flush(end)
+    _mark(root)
     return root
 
 
-def _imply(stack: list[Node], name: str) -> None:
+def _rules(css: str) -> list[tuple]:
+    """(rank, tag, id, classes, property, value) of a style sheet's rules on display and visibility."""
+    css, out, at, depth, brace = _CSS_COMMENT.sub("", css), [], 0, 0, 0
+    for sign in re.finditer("[{}]", css + "}"):
+        if sign.group() == "{":
+            depth += 1
+            brace = sign.start() if depth == 1 else brace
+            continue
+        depth = max(0, depth - 1)
+        if depth:
+            continue
+        selector, body = css[at:brace].rsplit(";", 1)[-1].strip(), css[brace + 1 : sign.start()]  # statements such as @import end in a semicolon
+        at = sign.end()
+        if brace < sign.start() and "{" in body:
+            continue
+        if selector.startswith("@"):
+            continue
+        for says in _SAYS.finditer(body):
+            for one in selector.split(","):
+                found = _COMPOUND.fullmatch(one.strip())
+                if found and found.group():
+                    parts = re.findall(r"[.#][^.#]+", found["rest"])
+                    ids, classes = {x[1:] for x in parts if x[0] == "#"}, frozenset(x[1:] for x in parts if x[0] == ".")
+                    tag = (found["tag"] or "*").lower()
+                    rank = (bool(says[3]), False, len(ids), len(classes), tag != "*", len(out))
+                    out.append((rank, tag, ids, classes, says[1].lower(), says[2].lower()))
+    return out
+
+
+def _mark(root: Node) -> None:
+    """Sets what each node of a tree says of its own visibility."""
+    nodes, todo, sheets = [], [root], []
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        if node.tag == "style":
+            sheets.append("".join(x for x in node.kids if isinstance(x, str)))
+        todo += [x for x in reversed(node.kids) if isinstance(x, Node)]
+    by_key: dict[str, list[tuple]] = {}
+    for rule in _rules("\n".join(sheets)) if sheets else ():
+        by_key.setdefault(next((f"#{i}" for i in rule[2]), None) or next((f".{c}" for c in sorted(rule[3])), None) or rule[1], []).append(rule)
+    for node in nodes:
+        attrs, said = node.attrs, {}
+        node.gone = node.tag in HIDDEN or "hidden" in attrs or node.tag == "dialog" and "open" not in attrs
+        if by_key:
+            classes, own_id = set(attrs.get("class", "").split()), attrs.get("id")
+            for key in (node.tag, "*", f"#{own_id}", *(f".{c}" for c in classes)):
+                for rank, tag, ids, needs, what, value in by_key.get(key, ()):
+                    if tag in ("*", node.tag) and ids <= {own_id} and needs <= classes and rank > said.get(what, ((),))[0]:
+                        said[what] = (rank, value)
+        if "style" in attrs:
+            for k, says in enumerate(_SAYS.finditer(attrs["style"])):
+                rank, what = (bool(says[3]), True, k), says[1].lower()
+                if rank > said.get(what, ((),))[0]:
+                    said[what] = (rank, says[2].lower())
+        if "display" in said and node.tag not in HIDDEN:
+            node.gone = said["display"][1] == "none"
+        if "visibility" in said:
+            node.seen = {"visible": True, "hidden": False, "collapse": False}.get(said["visibility"][1])
+
+
+def _imply(stack: _Open, name: str) -> None:
     """Ends the open elements that a start tag ends."""
-    if name in CLOSES_P:
+    if name in CLOSES_P and stack.count.get("p"):
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == "p":
-                del stack[i:]
+                stack.cut(i)
                 break
             if stack[i].tag in ("td", "th", "table", "button", "caption", "object"):
                 break
     if name in ENDS:
         own, barrier = ENDS[name]
-        cut = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in barrier:
-                break
-            if stack[i].tag in own:
-                cut = i
-        if cut:
-            del stack[cut:]
-    if name == "body" or name not in HIDDEN and name not in ("html", "head"):
-        if stack[-1].tag == "head":
-            stack.pop()
-
-
-def _close(stack: list[Node], name: str) -> None:
+        if any(stack.count.get(x) for x in own):
+            cut = 0
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in barrier:
+                    break
+                if stack[i].tag in own:
+                    cut = i
+            if cut:
+                stack.cut(cut)
+    if stack[-1].tag == "head" and (name == "body" or name not in HIDDEN and name not in ("html", "head")):
+        stack.cut(len(stack) - 1)
+
+
+def _close(stack: _Open, name: str) -> None:
     if name == "br":
         stack[-1].kids.append(Node("br", _NO_ATTRS))
         return
-    for i in range(len(stack) - 1, 0, -1):
-        tag = stack[i].tag
-        if tag == name:
-            del stack[i:]
-            return
-        if tag in TABLE_PARTS and name not in TABLE_PARTS:
-            break
+    if stack.count.get(name):
+        for i in range(len(stack) - 1, 0, -1):
+            tag = stack[i].tag
+            if tag == name:
+                stack.cut(i)
+                return
+            if tag in TABLE_PARTS and name not in TABLE_PARTS:
+                break
     if name == "p":
         stack[-1].kids.append(Node("p", _NO_ATTRS))
 
 
-def visible(node: Node) -> bool:
-    if node.tag in HIDDEN:
-        return False
-    attrs = node.attrs
-    if not attrs:
-        return True
-    if "hidden" in attrs or node.tag == "input" and attrs.get("type", "").lower() == "hidden":
-        return False
-    return not ("style" in attrs and _NOT_SHOWN.search(attrs["style"]))
-
-
 class Flow:
     """Lines of a block and the line that is being filled."""
 
@@ -156,8 +293,11 @@ class Flow:
         self.line: list[str] = []
         self.space = True  # whether a following space would be dropped
         self.gap = False  # whether a blank line is due before the next text
+        self.seen = True  # whether text is visible
 
     def text(self, text: str) -> None:
+        if not self.seen:
+            return
         text = _SPACE.sub(" ", text)
         if self.space and text[:1] == " ":
             text = text[1:]
@@ -167,6 +307,8 @@ class Flow:
             self.space = text[-1] == " "
 
     def exact(self, text: str) -> None:
+        if not self.seen:
+            return
         first, *rest = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         for k, part in enumerate((first, *rest)):
             if k:
@@ -210,8 +352,9 @@ class Flow:
         return self.lines[start:]
 
 
-def _inside(node: Node, pre: bool) -> list[str]:
+def _inside(node: Node, pre: bool, seen: bool = True) -> list[str]:
     flow = Flow()
+    flow.seen = seen if node.seen is None else node.seen
     _kids(node, flow, pre)
     return flow.done()
 
@@ -225,166 +368,236 @@ def _kids(node: Node, flow: Flow, pre: bool) -> None:
 
 
 def _render(node: Node, flow: Flow, pre: bool) -> None:
-    tag = node.tag
-    if not visible(node):
+    if node.gone:
         return
+    if node.seen is None or node.seen == flow.seen:
+        _shown(node, flow, pre)
+    else:
+        was, flow.seen = flow.seen, node.seen
+        _shown(node, flow, pre)
+        flow.seen = was
+
+
+def _shown(node: Node, flow: Flow, pre: bool) -> None:
+    tag, attrs = node.tag, node.attrs
     if tag == "br":
         flow.newline()
-    elif tag == "wbr" or tag == "img":
-        pass
-    elif tag == "input":
-        if node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
-            flow.text(node.attrs.get("value", ""))
+    elif tag in VOID:
+        if tag == "hr":
+            flow.margin()
+        elif tag == "input" and attrs.get("type", "").strip().lower() not in NO_VALUE:
+            flow.text(attrs.get("value") or attrs.get("placeholder") or "")
+    elif tag == "textarea":
+        flow.exact("".join(x for x in node.kids if isinstance(x, str)).removeprefix("\n") or attrs.get("placeholder", ""))
     elif tag == "select":
-        options = list(_options(node))
-        chosen = [o for o in options if "selected" in o.attrs] or options[: 0 if "multiple" in node.attrs else 1]
-        for o in chosen:
-            flow.text(" ".join(_inside(o, False)) + " ")
+        _choices(node, flow)
+    elif tag == "svg":
+        _drawn(node, flow)
+    elif tag == "details" and "open" not in attrs:
+        flow.end_line()
+        summary = next((x for x in node.kids if isinstance(x, Node) and x.tag == "summary"), None)
+        if summary:
+            _render(summary, flow, pre)
+        flow.end_line()
     elif tag not in BLOCK:
-        _kids(node, flow, pre or tag == "textarea")
+        _kids(node, flow, pre)
     else:
         spaced = tag in SPACED
         flow.margin() if spaced else flow.end_line()
         if tag == "table":
-            flow.add(_table(node))
+            flow.add(_table(node, flow.seen))
         elif tag in ("ul", "ol", "menu", "dir"):
-            flow.add(_list(node))
+            flow.add(_list(node, flow.seen))
         elif tag == "blockquote" or tag == "dd":
-            flow.add(["  " + x if x else "" for x in _inside(node, pre)])
-        elif tag == "pre" or tag == "xmp":
-            flow.add(_inside(node, True))
+            flow.add(["  " + x if x else "" for x in _inside(node, pre, flow.seen)])
+        elif tag in ("pre", "xmp", "plaintext"):
+            flow.add(_inside(node, True, flow.seen))
         elif tag == "li":
-            flow.add(_item(_inside(node, pre), "- "))
+            flow.add(_item(_inside(node, pre, flow.seen), "- " if flow.seen else ""))
         else:
             _kids(node, flow, pre)
         flow.margin() if spaced else flow.end_line()
 
 
+def _choices(node: Node, flow: Flow) -> None:
+    """The chosen option, or a line for each where several show."""
+    options = list(_options(node))
+    if "multiple" in node.attrs or _number(node.attrs.get("size"), 1) > 1:
+        flow.end_line()
+        for kid in options:
+            flow.text(_option_text(kid))
+            flow.end_line()
+        return
+    options = [x for x in options if x.tag == "option"]
+    for kid in ([x for x in options if "selected" in x.attrs] or [x for x in options if "disabled" not in x.attrs][:1])[-1:]:
+        flow.text(_option_text(kid) + " ")
+
+
 def _options(node: Node) -> Iterator[Node]:
     for kid in node.kids:
-        if isinstance(kid, Node) and visible(kid):
-            if kid.tag == "option":
+        if isinstance(kid, Node) and not kid.gone:
+            if kid.tag in ("option", "optgroup"):
                 yield kid
-            else:
+            if kid.tag != "option":
                 yield from _options(kid)
 
 
+def _option_text(node: Node) -> str:
+    return node.attrs.get("label") or (" ".join(_inside(node, False)) if node.tag == "option" else "")
+
+
+def _drawn(node: Node, flow: Flow) -> None:
+    """Text elements of a drawing."""
+    for kid in node.kids:
+        if isinstance(kid, Node) and not kid.gone:
+            if kid.tag in ("text", "foreignobject"):
+                flow.text(" ")
+                _render(kid, flow, False)
+                flow.text(" ")
+            else:
+                _drawn(kid, flow)
+
+
 def _item(lines: list[str], marker: str) -> list[str]:
     pad = " " * len(marker)
     return [(pad if k else marker) + x if x else "" for k, x in enumerate(lines or [""])] if lines else [marker.rstrip()]
 
 
 def _number(text: str | None, otherwise: int) -> int:
-    return int(text) if text and re.fullmatch(r"\s*-?\d{1,6}\s*", text) else otherwise
+    found = _NUMBER.match(text) if text else None
+    return int(found[1]) if found else otherwise
 
 
-def _list(node: Node) -> list[str]:
+def _list(node: Node, seen: bool) -> list[str]:
     numbered = node.tag == "ol"
-    count, step = _number(node.attrs.get("start"), 1), -1 if "reversed" in node.attrs else 1
+    step = -1 if "reversed" in node.attrs else 1
+    count = _number(node.attrs.get("start"), 1 if step > 0 else sum(isinstance(x, Node) and x.tag == "li" and not x.gone for x in node.kids))
     out, loose = [], Flow()
+    loose.seen = seen
+
+    def settle() -> None:
+        nonlocal loose
+        out.extend(loose.done())
+        loose = Flow()
+        loose.seen = seen
+
     for kid in node.kids:
-        if isinstance(kid, Node) and kid.tag == "li":
-            out += loose.done()
-            loose = Flow()
-            if visible(kid):
+        if isinstance(kid, str):
+            loose.text(kid)
+        elif kid.tag == "li":
+            settle()
+            if not kid.gone:
                 count = _number(kid.attrs.get("value"), count)
-                out += _item(_inside(kid, False), f"{count}. " if numbered else "- ")
+                own = seen if kid.seen is None else kid.seen
+                out += _item(_inside(kid, False, own), (f"{count}. " if numbered else "- ") if own else "")
                 count += step
-        elif isinstance(kid, Node) and kid.tag in ("ul", "ol", "menu", "dir"):
-            out += loose.done()
-            loose = Flow()
-            if visible(kid):
-                out += ["  " + x if x else "" for x in _list(kid)]
-        elif isinstance(kid, str):
-            loose.text(kid)
+        elif kid.tag in ("ul", "ol", "menu", "dir"):
+            settle()
+            if not kid.gone:
+                out += ["  " + x if x else "" for x in _list(kid, seen if kid.seen is None else kid.seen)]
         else:
             _render(kid, loose, False)
     return out + loose.done()
 
 
-def _table_rows(node: Node, out: list[Node], captions: list[list[str]]) -> None:
+def _table_rows(node: Node, out: list[tuple[Node, bool]], captions: list[list[str]], seen: bool) -> None:
     """Rows in order of display: heads, bodies, feet; captions and stray content apart."""
     loose = Flow()
-    heads, bodies, feet = [], [], []
+    loose.seen = seen
+    parts: dict[str, list] = {"thead": [], "tbody": [], "tfoot": []}
     for kid in node.kids:
         if isinstance(kid, str):
             loose.text(kid)
-        elif not visible(kid):
             continue
-        elif kid.tag in ("thead", "tbody", "tfoot"):
-            inner: list[Node] = []
-            _table_rows(kid, inner, captions)
-            {"thead": heads, "tbody": bodies, "tfoot": feet}[kid.tag].extend(inner)
+        if kid.gone:
+            continue
+        own = seen if kid.seen is None else kid.seen
+        if kid.tag in parts:
+            _table_rows(kid, parts[kid.tag], captions, own)
         elif kid.tag == "tr":
-            bodies.append(kid)
+            parts["tbody"].append((kid, own))
         elif kid.tag in ("td", "th"):  # a cell without its row
             row = Node("tr", _NO_ATTRS)
             row.kids.append(kid)
-            bodies.append(row)
+            parts["tbody"].append((row, seen))
         elif kid.tag == "caption":
-            captions.append(_inside(kid, False))
+            captions.append(_inside(kid, False, seen))
         elif kid.tag not in ("colgroup", "col"):
             _render(kid, loose, False)
     captions.append(loose.done())
-    out += heads + bodies + feet
-
-
-def _table(node: Node) -> list[str]:
-    rows: list[Node] = []
-    captions: list[list[str]] = []
-    _table_rows(node, rows, captions)
-    grid: list[list[tuple[int, int, list[str]]]] = []  # per row: first column, columns, lines
-    taken: dict[tuple[int, int], bool] = {}
-    for r, row in enumerate(rows):
-        cells, c, loose = [], 0, Flow()
+    out += parts["thead"] + parts["tbody"] + parts["tfoot"]
+
+
+def _cells(rows: list[tuple[Node, bool]], captions: list[list[str]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Of each row, its cells as (first column, end column, lines); columns that a cell above reaches into are left free."""
+    grid, above = [], []  # above: (first column, end column, end row) of cells that go on below their row
+    for r, (row, seen) in enumerate(rows):
+        above = [x for x in above if x[2] > r]
+        taken, cells, new, c = iter(above), [], [], 0
+        ahead = next(taken, None)
+        loose = Flow()
+        loose.seen = seen
         for kid in row.kids:
-            if isinstance(kid, Node) and kid.tag in ("td", "th"):
-                if not visible(kid):
-                    continue
-                while taken.get((r, c)):
-                    c += 1
-                wide, tall = min(max(1, _number(kid.attrs.get("colspan"), 1)), 100), min(max(1, _number(kid.attrs.get("rowspan"), 1)), len(rows) - r)
-                for y in range(1, tall):
-                    for x in range(wide):
-                        taken[r + y, c + x] = True
-                cells.append((c, wide, _inside(kid, False)))
-                c += wide
-            elif isinstance(kid, str):
+            if isinstance(kid, str):
                 loose.text(kid)
-            else:
+            elif kid.tag not in ("td", "th"):
                 _render(kid, loose, False)
+            elif not kid.gone:
+                while ahead and ahead[0] <= c:
+                    c, ahead = max(c, ahead[1]), next(taken, None)
+                wide = min(max(1, _number(kid.attrs.get("colspan"), 1)), MOST_COLUMNS)
+                tall = _number(kid.attrs.get("rowspan"), 1)
+                end = len(rows) if tall == 0 else r + max(1, tall)
+                if end > r + 1:
+                    new.append((c, c + wide, min(end, len(rows))))
+                cells.append((c, c + wide, _inside(kid, False, seen)))
+                c += wide
+        merged: list[tuple[int, int, int]] = []
+        for x in sorted(above + new) if new else above:
+            if merged and merged[-1][1] >= x[0] and merged[-1][2] == x[2]:
+                merged[-1] = (merged[-1][0], max(merged[-1][1], x[1]), x[2])
+            else:
+                merged.append(x)
+        above = merged
         captions.append(loose.done())
         grid.append(cells)
-    widths: dict[int, int] = {}
-    for cells in grid:
-        for c, wide, lines in cells:
-            widths[c] = max([widths.get(c, 0), *map(len, lines if wide == 1 else [])])  # a column that only spanned cells start in is one too
-    for cells in grid:
-        for c, wide, lines in cells:
-            if wide > 1:
-                need = max([0, *map(len, lines)]) - sum(widths.get(c + i, 0) for i in range(wide)) - 3 * (wide - 1)
-                if need > 0:
-                    widths[c + wide - 1] = widths.get(c + wide - 1, 0) + need
-    columns = sorted(widths)
+    return grid
+
+
+def _table(node: Node, seen: bool = True) -> list[str]:
+    rows: list[tuple[Node, bool]] = []
+    captions: list[list[str]] = []
+    _table_rows(node, rows, captions, seen)
+    grid = _cells(rows, captions)
+    columns = sorted({c for cells in grid for c, _, _ in cells})  # only columns that some cell starts in take room
+    place = [[(bisect_left(columns, a), bisect_left(columns, b), lines) for a, b, lines in cells] for cells in grid]
+    widths = [0] * len(columns)
+    for cells in place:
+        for a, b, lines in cells:
+            if b == a + 1:
+                widths[a] = max([widths[a], *map(len, lines)])
+    for cells in place:
+        for a, b, lines in cells:
+            if b > a + 1:
+                widths[b - 1] += max(0, max([0, *map(len, lines)]) - sum(widths[a:b]) - 3 * (b - a - 1))
     out = [x for lines in captions for x in lines]
-    for cells in grid:
-        at = {c: (wide, lines) for c, wide, lines in cells}
+    for cells in place:
         for y in range(max([0, *(len(lines) for _, _, lines in cells)])):
-            parts, skip = [], -1
-            for c in columns:
-                if c < skip:
-                    continue
-                wide, lines = at.get(c, (1, []))
-                skip = c + wide
-                room = sum(widths.get(c + i, 0) for i in range(wide)) + 3 * (wide - 1)
-                parts.append((lines[y] if y < len(lines) else "").ljust(room))
-            out.append(" | ".join(parts).rstrip())
+            line, at = [], 0
+            for a, b, lines in cells:
+                line += [" " * widths[k] for k in range(at, a)]
+                line.append((lines[y] if y < len(lines) else "").ljust(sum(widths[a:b]) + 3 * (b - a - 1)))
+                at = b
+            out.append(" | ".join(line).rstrip())
     return out
 
 
 def visible_text(page: str | None) -> str:
     """The page as laid-out plain text."""
-    return "\n".join(_inside(parse(page), False)) if page else ""
+    if not page:
+        return ""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))  # a few calls for each level of a page
+    return "\n".join(_inside(parse(page), False))
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:

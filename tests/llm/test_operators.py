@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+import re
+import time
+from html.parser import HTMLParser
 from zlib import crc32
 
 import numpy as np
@@ -353,12 +356,78 @@ def test_html_tables_of_spanned_cells(page, text):
     assert got.replace("|", " ").split() == text.replace("|", " ").split() and len(got.split("\n")) == len(text.split("\n"))
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p title=it's>Hello world</p><p>it's</p>", "Hello world\n\nit's"),
+        ("1 < 2 <3 </ x>y<!--> x --> y<!---> z<!-- a --!>b<? c>", "1 < 2 <3 y x --> y zb"),
+        ("kept<a href='never closed>lost", "kept"),
+        ("<div style='visibility:hidden'>a<b style='visibility: visible'>B</b></div>c", "B\nc"),
+        ("<input value=typed> <input type=hidden value=h><input placeholder=hint> <input type=password value=pw><textarea placeholder=w></textarea>", "typed hint w"),
+        ("<select multiple><option>a<option>b</select><select><option disabled>x<option>y</select>", "a\nb\ny"),
+        ("<details><summary>S</summary>body</details><details open><summary>T</summary>body</details>", "S\nT\nbody"),
+        ("<dialog>d</dialog><dialog open>e</dialog>f", "e\nf"),
+        ("a<plaintext>b <i>c</i>", "a\nb <i>c</i>"),
+        ("<style>@import 'x'; .x{display:none} p.y{visibility:hidden} @media print{.z{display:none}} #q,i{display:none} div p{display:none}</style>"
+         "<p class='x'>1<p class='y w'>2<p class=z>3<p id=q>4</p><i>5</i>6<p class=x style='display:block'>7", "3\n\n6\n\n7"),
+        ("<svg><title>t</title><text>drawn</text></svg>", "drawn"),
+        ("<table><tr><td colspan=1000>a<td>b<tr><td>c<td>d</table>", "a     | b\nc | d"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
+        ("<ol start=12345678><li>a</ol><ol reversed><li>b<li hidden>x<li>c</ol>", "12345678. a\n\n2. b\n1. c"),
+        ("<ul>" * 300 + "<li>deep", "  " * 299 + "- deep"),
+    ],
+)
+def test_html_visibility_and_odd_markup(page, text):
+    assert html_text.visible_text(page).strip() == text.strip()
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<p>x<b>", "<", "<div>a", '<a b="', "<li>x", "<!--", "</", "<td colspan=3>y", "<tr><td rowspan=65534 colspan=1000>x", "<style>a{", "&amp"])
+def test_html_costs_in_proportion_to_the_page(unit):
+    page, began = unit * (300_000 // len(unit)), time.process_time()
+    html_text.visible_text(page)
+    assert time.process_time() - began < 6
+
+
+class Shown(HTMLParser):
+    """A second, much plainer renderer: words outside hidden elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html_text.VOID and (self.hidden or tag in html_text.HIDDEN or "hidden" in dict(attrs) or "none" in (dict(attrs).get("style") or "")):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words += data.split()
+
+
+TAGS = [f"<{end}{t}>" for t in ("p", "div", "b", "li", "ul", "span", "blockquote", "h2", "pre") for end in ("", "/")]
+
+
+@given(st.lists(st.sampled_from([*TAGS, "one ", "two", "&lt;x", " ", "<br>", "<!-- c -->", "<script>s</script>", "<i hidden>h</i>", "<em style='display:none'>n</em>", "<a href=\"p>q\">"]), max_size=40).map("".join))
+@settings(deadline=None, max_examples=300)
+def test_html_words_agree_with_a_plainer_renderer(page):
+    plainer = Shown()
+    plainer.feed(page)
+    plainer.close()
+    assert "".join(html_text.visible_text(page).split()).replace("-", "") == "".join(plainer.words)  # but for markers of items
+
+
 def test_html_of_any_depth_and_all_words(spark):
     deep = "<div>" * 5000 + "core" + "</div>" * 5000
     assert html_text.visible_text(deep) == "core"
     assert html_text.visible_text("<table>" * 200 + "<tr><td>x") .strip() == "x"
     rows = spark.createDataFrame([(1, "<p>a", "t"), (None, None, "t")], "page_id long, html string, text string")
     assert tuples(html_text.extract_text(rows)) == [(None, ""), (1, "a")]
+    assert html_text.extract_text(rows.limit(0)).collect() == []
 
 
 EMPTY = [
