@@ -2,7 +2,8 @@
 
 A Misra-Gries sketch (Spark's ``approx_top_k``) proposes digests that fill many rows. Their exact sizes and
 keepers are counted, which gives a table of at most ``heavy`` rows (plus hash namesakes): it is broadcast and
-settles those rows map-side. All other digests are grouped by an ordinary shuffle, where no group is large.
+settles those rows map-side. All other digests are counted with map-side combining and joined back by an ordinary
+shuffle, so no task holds a group.
 
 Defined results: a null text counts as empty; a null doc_id never stays before another id and a group of
 null ids only has a null keep_id; rows that repeat the keeper's doc_id are all marked kept (``drop_exact_duplicates``
@@ -11,7 +12,7 @@ leaves one of them); an empty table gives no rows; columns other than the two na
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import ascii_lower, persist
@@ -30,10 +31,9 @@ def mark_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         keyed.join(F.broadcast(proposed), "short", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
     split = rows.join(F.broadcast(winners), "digest", "left")
-    own = Window.partitionBy("digest")
-    rest = split.where(F.col("group_size").isNull()).select(
-        "doc_id", "digest", F.max("doc_id").over(own).alias("keep_id"), F.count(F.lit(1)).over(own).alias("group_size")
-    )
+    loose = split.where(F.col("group_size").isNull()).select("doc_id", "digest")
+    sizes = loose.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))  # combined map-side
+    rest = loose.join(sizes, "digest").select("doc_id", "digest", "keep_id", "group_size")
     done = split.where(F.col("group_size").isNotNull()).select("doc_id", "digest", "keep_id", "group_size").unionByName(rest)
     return done.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
