@@ -8,7 +8,8 @@ of training texts use a lexicon learnt from the other folds, so trees do not tru
 held-out margins of the same folds.
 
 Learning reads at most ``TRAIN_DOCS`` labelled texts, those with the smallest hash of doc_id, and keeps at most
-``TERMS`` lexicon terms; every document is scored, over its whole text.
+``TERMS`` lexicon terms, those most in excess of their chance count in toxic texts (in standard deviations); every
+document is scored, over its whole text.
 
 Defined results: a null or empty text has all features zero and the score of such a text; labels that are null are
 left out, of labels that repeat a doc_id the largest counts; without labels of both kinds the score is the share of
@@ -251,7 +252,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         F.sum("times").alias("n"),
         F.collect_list(F.struct("fold", "toxic", "times")).alias("cells"),  # at most FOLDS x 2
     )
-    chosen = ranked.where("t >= 4 or term = ''").orderBy(F.expr("case when term = '' then 0 else 1 end"), F.desc(F.col("t") / F.col("n")), F.desc("t"), "term").limit(TERMS)
+    every = F.broadcast(ranked.where("term = ''").select((F.col("t") / F.col("n")).alias("share")))  # one row: the share of toxic texts' words
+    evidence = (F.col("t") - F.col("n") * F.col("share")) / F.sqrt(F.col("n") * F.col("share") + 1)
+    best = ranked.where("t >= 4 or term = ''").crossJoin(every)
+    chosen = best.orderBy(F.expr("case when term = '' then 0 else 1 end"), F.desc(evidence), F.desc("t"), "term").limit(TERMS)
     counts = [(r["term"], c["fold"], c["toxic"], c["times"]) for r in chosen.collect() for c in r["cells"]]
     lexicons = [Lexicon(learn_weights(counts, fold)) for fold in range(FOLDS)]
 
