@@ -89,17 +89,17 @@ def block_count(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int
     return max(1, -(-text_bytes(df, text) // block_bytes))
 
 
-def running_total(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``value`` over all rows of a smaller ``key``, a non-negative unique integer.
+def running_total(rows: DataFrame, key: str, value: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over all rows of a smaller ``key``, a non-negative integer that is unique within ``by``.
 
     Summed within ranges of SPAN keys, then over one row per range, so no task holds more than a range or the ranges.
     """
-    spans = rows.groupBy(F.floor(F.col(key) / SPAN).alias("__span")).agg(F.sum(value).alias("__sum"))
-    before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select("__span", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__span").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy(*by, F.floor(F.col(key) / SPAN).alias("__span")).agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*by, "__span", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*by, "__span").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     held = rows.withColumn("__span", F.floor(F.col(key) / SPAN)).withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return held.join(spans, "__span").withColumn(name, F.col("__before") + F.col("__inside")).drop("__span", "__before", "__inside")
+    return held.join(spans, [*by, "__span"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__span", "__before", "__inside")
 
 
 def encode(text: str | None) -> bytes:

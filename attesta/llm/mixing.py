@@ -19,10 +19,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import grouped, persist, word_count
+from attesta.llm.common import grouped, persist, running_total, word_count
 
 #: Times a document may be taken; documents of one bucket of the prefix sum; seed of the order.
 MOST_EPOCHS, BUCKET_DOCS, SEED = 3, 500, 20240607
+#: Patterns whose plan is broadcast; of more, it is joined by a shuffle.
+MOST_BROADCAST = 50_000
 
 
 def cycled_weights(names: list[str | None]) -> dict[str | None, float]:
@@ -47,9 +49,15 @@ def capped_targets(sizes: dict[str | None, int], weights: dict[str | None, float
 def min_cost_flow(patterns: dict[tuple, int], quotas: dict, most: int = MOST_EPOCHS) -> dict[tuple, dict]:
     """{pattern: {source: words}} of a maximal flow of least repetition cost.
 
-    Successive shortest paths with potentials. Words are integers; ``quotas`` gives each source's.
+    Successive shortest paths with potentials. Words are integers; ``quotas`` gives each source's. A source that
+    one pattern alone feeds, which feeds no other, is settled without them, so that many plain sources cost little.
     """
-    pats, srcs = list(patterns), list(quotas)
+    feeds: dict = {}
+    for p in patterns:
+        for s in p:
+            feeds[s] = feeds.get(s, 0) + 1
+    alone = {p: {p[0]: min(most * patterns[p], quotas.get(p[0], 0))} for p in patterns if len(p) == 1 and feeds[p[0]] == 1}
+    pats, srcs = [p for p in patterns if p not in alone], [s for s in quotas if (s,) not in alone]
     node = {("p", p): 1 + i for i, p in enumerate(pats)} | {("s", s): 1 + len(pats) + i for i, s in enumerate(srcs)}
     sink = 1 + len(node)
     graph: list[list[int]] = [[] for _ in range(sink + 1)]
@@ -95,7 +103,7 @@ def min_cost_flow(patterns: dict[tuple, int], quotas: dict, most: int = MOST_EPO
         for e in path:
             cap[e] -= push
             cap[e ^ 1] += push
-    flow: dict[tuple, dict] = {p: {} for p in pats}
+    flow: dict[tuple, dict] = alone | {p: {} for p in pats}
     for (p, s), e in routes.items():
         flow[p][s] = cap[e ^ 1]
     return flow
@@ -139,16 +147,11 @@ def mix_sources(
     dims = docs.sparkSession.createDataFrame(plan, "pattern string, words long, quota long, buckets long, source_size long, target double")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     placed = (
-        rows.join(F.broadcast(dims), "pattern")  # a row per pattern, as many as were solved on the driver
+        rows.join(F.broadcast(dims) if len(plan) <= MOST_BROADCAST else dims, "pattern")
         .withColumn("order", order)
         .withColumn("bucket", F.shiftright(F.shiftrightunsigned(F.col("order"), 33) * F.col("buckets"), 31))
     )
-    before = (
-        placed.groupBy("pattern", "bucket")
-        .agg(F.sum("size").alias("held"))
-        .withColumn("before", F.sum("held").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("held"))
-        .drop("held")
-    )
+    before = running_total(placed.groupBy("pattern", "bucket").agg(F.sum("size").alias("held")), "bucket", "held", "before", ("pattern",)).drop("held")
     within = Window.partitionBy("pattern", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = placed.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(before, ["pattern", "bucket"])
     middle = 2 * (F.col("before") + F.col("ahead")) + F.col("size")
