@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 import re
 import time
+from collections import Counter
 from html.parser import HTMLParser
+from itertools import product
 from zlib import crc32
 
 import numpy as np
@@ -59,6 +61,12 @@ def test_substring_dedup_agrees_with_plain_windows(spark, docs, block_bytes):
     assert tuples(got) == plain.substring_dedup(corpus())
 
 
+def test_windows_of_one_hash_are_told_apart():
+    hashes, checks = np.array([7, 7, 3, 7, 7], np.uint64), np.array([1, 2, 1, 1, 2], np.uint32)
+    order, new = substring_dedup.equal_groups(hashes, checks)
+    assert order.tolist() == [2, 0, 3, 1, 4] and new.tolist() == [True, True, False, True, False]
+
+
 def test_substring_spans_are_maximal(spark):
     shared = " ".join(f"w{k}" for k in range(20))
     rows = substring_dedup.substring_dedup(frame(spark, [(2, "a " + shared + " b"), (1, shared)])).orderBy("doc_id").collect()
@@ -293,6 +301,51 @@ def test_flow_repeats_as_little_as_possible():
     assert flow["b",]["b"] == 10 and flow["a", "b"]["a"] >= 10
 
 
+def test_flow_costs_no_more_than_any_other():
+    """All flows of small networks, tried one by one."""
+    rng = random.Random(3)
+    for _ in range(25):
+        patterns = {p: rng.randrange(1, 4) for p in rng.sample([("a",), ("b",), ("a", "b"), ("b", "c"), ("c",)], 3)}
+        quotas = {s: rng.randrange(0, 6) for s in {s for p in patterns for s in p}}
+        routes = [(p, s) for p in patterns for s in p]
+        best = None
+        for amounts in product(*(range(min(quotas[s], 3 * patterns[p]) + 1) for p, s in routes)):
+            used, filled = Counter(), Counter()
+            for (p, s), n in zip(routes, amounts, strict=True):
+                used[p] += n
+                filled[s] += n
+            if all(used[p] <= 3 * n for p, n in patterns.items()) and all(filled[s] <= q for s, q in quotas.items()):
+                cost = sum(max(0, used[p] - n) + max(0, used[p] - 2 * n) for p, n in patterns.items())
+                best = min(best or (0, 0), (-sum(amounts), cost))
+        flow = mixing.min_cost_flow(patterns, quotas)
+        used = {p: sum(x.values()) for p, x in flow.items()}
+        assert (-sum(used.values()), sum(max(0, used[p] - n) + max(0, used[p] - 2 * n) for p, n in patterns.items())) == best
+
+
+def plain_mix(rows):
+    """(doc_id, taken) of documents of one source each: what the midpoints of copies in seeded order take."""
+    sizes: Counter = Counter()
+    for _, s, n, _ in rows:
+        sizes[s] += n
+    targets = mixing.capped_targets(dict(sizes), mixing.cycled_weights(list(sizes)))
+    out = []
+    for s in sizes:
+        quota, ahead = min(round(targets[s]), 3 * sizes[s]), 0
+        own = [r for r in rows if r[1] == s]
+        buckets = max(1, len(own) // mixing.BUCKET_DOCS)
+        for i, _, n, order in sorted(own, key=lambda r: ((((r[3] % 2**64) >> 33) * buckets) >> 31, r[3], r[0])):
+            out.append((i, n * sum(2 * r * sizes[s] + 2 * ahead + n < 2 * quota for r in range(3))))
+            ahead += n
+    return sorted(out)
+
+
+def test_mix_agrees_with_a_plain_statement(spark):
+    rng = random.Random(8)
+    docs = frame(spark, [(i, " ".join(["w"] * rng.randrange(0, 40))) for i in range(3000)]).withColumn("source", F.when(F.col("doc_id") % 10 > 0, F.lit("hot")).otherwise(F.col("source")))
+    rows = [tuple(r) for r in docs.select("doc_id", "source", F.size(F.split("text", "w")).cast("long") - 1, F.xxhash64(F.lit(mixing.SEED), F.col("doc_id"))).collect()]
+    assert tuples(mixing.mix_sources(docs).select("doc_id", "taken")) == plain_mix(rows)
+
+
 def test_mix_comes_near_targets(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 40))) for i in range(2500)]
