@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,9 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     matcher, known, last = SequenceMatcher(None), {}, None
     out = []
     for pair in zip(a.fillna(""), b.fillna(""), strict=True):
+        if not pair[0] or not pair[1]:
+            out.append(1.0 if pair[0] == pair[1] else 0.0)
+            continue
         if pair not in known:
             if pair[1] != last:  # the second text is indexed once for a run of rows
                 matcher.set_seq2(pair[1])
@@ -72,24 +75,41 @@ def folder_adds_evidence(folder: Column, artist: Column) -> Column:
     return F.size(F.array_except(tokens(clean_folder(folder)), tokens(artist))) > 0
 
 
-def match_score(name: Column, folder: Column, title: Column, artist: Column) -> Column:
-    """struct(value, contained, meaningful_count) of a candidate title for a file.
+def with_match_score(rows: DataFrame, name: str, folder: str, title: str, artist: str, out: str = "m") -> DataFrame:
+    """``rows`` with struct(value, contained, meaningful_count) of a candidate title for a file.
 
     value: the best of up to three views (stem, folder, stem as a title), each 0.7 word recall and 0.3 ratio of normal
     forms; at least CONTAINED_FLOOR if all evidence lies in the title and two words of it are telling.
+
+    Normal forms are columns, so that each is computed once. The ratio of a view is asked only where it can change the
+    best: its bound from the lengths (twice the shorter over both) must lift the view above what is certain already.
+    Rows are dealt over all cores first, as the ratio takes nearly all of the time.
     """
-    wanted, words = normalize(title), tokens(title)
-    stem, own = strip_ext(name), clean_folder(folder)
-
-    def view(text: Column, used: Column) -> Column:
-        normal = normalize(text)
-        counts = used & (normal != "") & (wanted != "")
-        one = F.lit(0.7) * recall(tokens_of(normal), words) + F.lit(0.3) * ratio(F.when(counts, normal), wanted)
-        return F.when(counts, one).otherwise(F.lit(0.0))
-
-    as_title = title_view(name)
-    best = F.greatest(view(stem, F.lit(True)), view(own, folder_adds_evidence(folder, artist)), view(as_title, as_title != stem))
-    wide, narrow = evidence(name, folder, artist)
-    contained = (F.size(narrow) >= 2) & (F.size(F.array_except(wide, words)) == 0)
-    value = F.when(contained, F.greatest(best, F.lit(CONTAINED_FLOOR))).otherwise(best)
-    return F.struct(rounded(value).alias("value"), contained.alias("contained"), F.size(narrow).alias("meaningful_count"))
+    session = rows.sparkSession
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    stem = strip_ext(F.col(name))
+    as_title = title_view(F.col(name))
+    bare = strip_unknown_ext(stem)
+    views = ("stem", "own", "as")
+    normal = {"stem": stem, "own": clean_folder(F.col(folder)), "as": as_title, "narrow": F.coalesce(without_series_prefix(bare), bare), "artist": F.col(artist), "title": F.col(title)}
+    dealt = rows.repartition(n, name, title).withColumns({f"__{k}": normalize(x) for k, x in normal.items()})
+    dealt = dealt.withColumns({f"__{k}_words": tokens_of(F.col(f"__{k}")) for k in normal})
+    words, folder_words, artist_words = (F.col(f"__{k}_words") for k in ("title", "own", "artist"))
+    one = lambda x: F.array_except(F.array_distinct(F.concat(x, folder_words)), artist_words)
+    wide, narrow = one(F.col("__stem_words")), one(F.col("__narrow_words"))
+    used = {"stem": F.lit(True), "own": F.size(F.array_except(folder_words, artist_words)) > 0, "as": as_title != stem}
+    counts = {v: used[v] & (F.col(f"__{v}") != "") & (F.col("__title") != "") for v in views}
+    sure = {f"__{v}_sure": F.when(counts[v], F.lit(0.7) * recall(F.col(f"__{v}_words"), words)).otherwise(F.lit(0.0)) for v in views}
+    dealt = dealt.withColumns(sure | {"__contained": (F.size(narrow) >= 2) & (F.size(F.array_except(wide, words)) == 0), "__telling": F.size(narrow)} | {f"__{v}_counts": counts[v] for v in views})
+    known = F.greatest(*[F.col(f"__{v}_sure") for v in views], F.when(F.col("__contained"), CONTAINED_FLOOR).otherwise(0.0))
+    asked = {}
+    for v in views:
+        a, b = F.length(f"__{v}"), F.length("__title")
+        asked[f"__{v}_asked"] = F.when(F.col(f"__{v}_counts") & (F.col(f"__{v}_sure") + F.lit(0.6) * F.least(a, b) / (a + b) >= known - 1e-9), F.col(f"__{v}"))
+    dealt = dealt.withColumns(asked)
+    best = F.greatest(
+        *[F.when(F.col(f"__{v}_asked").isNotNull(), F.col(f"__{v}_sure") + F.lit(0.3) * ratio(F.col(f"__{v}_asked"), F.col("__title"))).otherwise(F.col(f"__{v}_sure")) for v in views]
+    )
+    value = F.when(F.col("__contained"), F.greatest(best, F.lit(CONTAINED_FLOOR))).otherwise(best)
+    scored = dealt.withColumn(out, F.struct(rounded(value).alias("value"), F.col("__contained").alias("contained"), F.col("__telling").alias("meaningful_count")))
+    return scored.select(*rows.columns, out)

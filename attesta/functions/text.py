@@ -16,10 +16,6 @@ from pyspark.sql import types as T
 
 from attesta.functions.vocab import CONTAINER_EXTS, CONTAINER_NAMES, ENCODE_MARKERS, JUNK_TOKENS, LETTER_FOLD, STOPWORDS
 
-#: Accented letters that the native path folds; other alphabets need ``normalize_exact``.
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ", "aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY"
-
-
 def words_in(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -37,12 +33,33 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def decomposed(text: Column) -> Column:
+    """NFKD by the ICU classes that Spark ships, in the JVM. Not to be used inside aggregates and join conditions."""
+    return F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
+
+
+def _marks() -> str:
+    """Pattern of the characters that combine with others, as ranges."""
+    points = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    starts = [c for c, before in zip(points, [0, *points], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(points, [*points[1:], 0], strict=True) if c != after - 1]
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]+"
+
+
+_MARKS = _marks()
+
+
 def normalize(text: Column) -> Column:
-    """Folded, lower-case words with single spaces, all in the JVM. Exact for Latin text with precomposed accents."""
-    folded = F.translate(filled(text), ACCENTED, PLAIN)
-    for letter, plain in {**LETTER_FOLD, "&": " and "}.items():
+    """Folded, lower-case words with single spaces, all in the JVM: compatible forms decomposed, accents dropped.
+
+    Where a form is used more than once, put it into a column first: Spark computes it once then.
+    """
+    text = filled(text)
+    folded = F.regexp_replace(decomposed(text), _MARKS, "")
+    for letter, plain in LETTER_FOLD.items():
         folded = F.replace(folded, F.lit(letter), F.lit(plain))
-    return F.trim(F.lower(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")))
+    folded = F.when(F.octet_length(text) > F.length(text), folded).otherwise(text)
+    return F.trim(F.lower(F.regexp_replace(F.replace(folded, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " ")))
 
 
 _FOLD = str.maketrans(LETTER_FOLD)
@@ -88,16 +105,16 @@ _TAG, _ESCAPE = r"<[^>]+>", r"\\(['\"/\\])"
 
 
 def strip_html(text: Column) -> Column:
-    """Tags to spaces, the references that occur in practice to characters, escapes undone. All in the JVM."""
-    plain = F.regexp_replace(filled(text), _TAG, " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(name), F.lit(char))
-    return squeeze(F.regexp_replace(plain, _ESCAPE, "$1"))
+    """Tags to spaces, references to characters, escapes undone: in the JVM unless a text holds a reference."""
+    text = filled(text)
+    refers = F.contains(text, F.lit("&"))
+    plain = squeeze(F.regexp_replace(F.regexp_replace(text, _TAG, " "), _ESCAPE, "$1"))
+    return F.when(refers, strip_html_exact(F.when(refers, text))).otherwise(plain)
 
 
 @F.pandas_udf(T.StringType())
 def strip_html_exact(texts: pd.Series) -> pd.Series:
-    """strip_html with the whole table of references."""
+    """strip_html with the whole table of references, which Spark has no function for."""
     tag, escape = re.compile(_TAG), re.compile(_ESCAPE)
     return texts.map(lambda x: " ".join(escape.sub(r"\1", html.unescape(tag.sub(" ", x))).split()) if x else "")
 

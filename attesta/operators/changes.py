@@ -117,26 +117,34 @@ def guarded_delete(entities: DataFrame, deletions: DataFrame) -> DataFrame:
 
 
 def reconcile(scenes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Scenes of each (tag_id, performer_id): the performer added, the tag removed, with chunk numbers for bulk writes.
+    """Scenes of each (tag_id, performer_id), with chunk numbers for bulk writes.
 
-    attached: whether the performer is new there, which is what an undo takes away again.
+    The lists of a scene are those after all of its pairs: their performers added, their tags removed, the same on each
+    of its rows. attached: whether the performer is new there, which is what an undo takes away again.
     """
     from attesta.operators.selection import chunks
 
     hit = scenes.select("id", "performer_ids", "tag_ids", F.explode("tag_ids").alias("tag_id")).join(pairs, "tag_id")
-    rows = hit.select(
-        "tag_id", "performer_id", "id", union_ids(F.col("performer_ids"), F.array("performer_id")).alias("performer_ids"),
-        F.array_remove("tag_ids", F.col("tag_id")).alias("tag_ids"), (~F.array_contains("performer_ids", F.col("performer_id"))).alias("attached"),
-    )
-    return chunks(rows, "id", CHUNK, "tag_id")
+    every = hit.groupBy("id").agg(
+        F.array_sort(F.collect_set("tag_id")).alias("gone"), F.array_sort(F.collect_set("performer_id")).alias("new"), F.collect_set(F.struct("tag_id", "performer_id")).alias("pairs")
+    )
+    rows = scenes.join(every, "id").select(
+        F.explode("pairs").alias("pair"), "id", union_ids(F.col("performer_ids"), F.col("new")).alias("after"), F.array_except("tag_ids", "gone").alias("tag_ids"), "performer_ids"
+    )
+    done = rows.select(
+        "pair.tag_id", "pair.performer_id", "id", F.col("after").alias("performer_ids"), "tag_ids", (~F.array_contains("performer_ids", F.col("pair.performer_id"))).alias("attached")
+    )
+    return chunks(done, "id", CHUNK, "tag_id")
 
 
 def revert_reconcile(scenes: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Undoes reconcile: tags return to its scenes, performers leave those where they were attached."""
-    undo = snapshot.select("id", "tag_id", "performer_id", "attached")
+    undo = snapshot.groupBy("id").agg(
+        F.array_sort(F.collect_set("tag_id")).alias("__tags"), F.collect_set(F.when(F.col("attached"), F.col("performer_id"))).alias("__people")
+    )
     rows = scenes.join(undo, "id", "left")
-    tags = F.when(F.col("tag_id").isNotNull(), union_ids(F.col("tag_ids"), F.array("tag_id"))).otherwise(F.col("tag_ids"))
-    people = F.when(F.col("attached"), F.array_remove("performer_ids", F.col("performer_id"))).otherwise(F.col("performer_ids"))
+    tags = F.when(F.col("__tags").isNotNull(), union_ids(F.col("tag_ids"), F.col("__tags"))).otherwise(F.col("tag_ids"))
+    people = F.when(F.size("__people") > 0, F.array_except("performer_ids", "__people")).otherwise(F.col("performer_ids"))
     return rows.withColumns({"tag_ids": tags, "performer_ids": people}).select(*scenes.columns)
 
 

@@ -12,10 +12,9 @@ def key_of(name: Column, normal=normalize) -> Column:
     return F.replace(normal(name), F.lit(" "))
 
 
-def separation(name: Column, normal=normalize) -> Column:
-    """Words of a name's normal form."""
-    words = normal(name)
-    return F.when(words == "", 0).otherwise(F.size(F.split(words, " ")))
+def separation(normal_form: Column) -> Column:
+    """Words of a normal form."""
+    return F.when(normal_form == "", 0).otherwise(F.size(F.split(normal_form, " ")))
 
 
 def has_description(text: Column) -> Column:
@@ -27,9 +26,10 @@ def cluster_labels(labels: DataFrame, normal=normalize) -> DataFrame:
 
     key, members sorted by (name, id), canonical (see ``survivor``) and undecided: many, even or null.
     """
-    member = F.struct("name", F.col("id").cast("string").alias("id"), "scene_count", "description", separation(F.col("name"), normal).alias("words"))
+    member = F.struct("name", F.col("id").cast("string").alias("id"), "scene_count", "description", "words")
+    named = labels.withColumn("__normal", normal(F.col("name")))  # computed once for both
     grouped = (
-        labels.withColumn("key", key_of(F.col("name"), normal)).where("key <> ''").groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("members")).where(F.size("members") >= 2)
+        named.withColumns({"key": F.replace("__normal", F.lit(" ")), "words": separation(F.col("__normal"))}).where("key <> ''").groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("members")).where(F.size("members") >= 2)
     )
     return grouped.withColumn("canonical", survivor(F.col("members"))).withColumn("undecided", undecided(F.col("members")))
 

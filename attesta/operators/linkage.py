@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.similarity import evidence, match_score
+from attesta.functions.similarity import evidence, with_match_score
 from attesta.functions.substitutions import decensor
 from attesta.operators import attribution, proposals, selection
 from attesta.operators.claims import resolve_claims
@@ -21,7 +21,7 @@ def judge(files: DataFrame, candidates: DataFrame, pairs: dict[str, list[str]])
     artist, so each creator's listing is fetched and read once, whatever the number of files.
     """
     rows = files.select("id", "name", "folder", "artist").join(candidates, "artist").withColumn("plain", decensor(F.col("title"), pairs))
-    rows = rows.withColumn("m", match_score(F.col("name"), F.col("folder"), F.col("plain"), F.col("artist")))
+    rows = with_match_score(rows, "name", "folder", "plain", "artist")
     return rows.select("id", "store", "resolvable", "idx", F.col("plain").alias("title"), "url", F.col("m.value").alias("value"), F.col("m.contained").alias("contained"), F.col("m.meaningful_count").alias("meaningful"))
 
 
@@ -60,7 +60,7 @@ def examine(files: DataFrame, resolutions: DataFrame, candidates: DataFrame, fal
     _, narrow = evidence(F.col("name"), F.col("folder"), F.col("artist"))
     retry = ready.join(won, "id", "left_anti").where(F.size(narrow) > 0)
     again = fallback.join(stores.where("error is not null").select("store"), "store", "left_anti").join(retry.select("id", "name", "folder", "artist"), "id")
-    rescored = again.withColumn("plain", decensor(F.col("title"), pairs)).withColumn("m", match_score(F.col("name"), F.col("folder"), F.col("plain"), F.col("artist")))
+    rescored = with_match_score(again.withColumn("plain", decensor(F.col("title"), pairs)), "name", "folder", "plain", "artist")
     second = winners(
         rescored.select("id", "store", "resolvable", "idx", F.col("plain").alias("title"), "url", F.col("m.value").alias("value"), F.col("m.contained").alias("contained"), F.col("m.meaningful_count").alias("meaningful")),
         threshold,

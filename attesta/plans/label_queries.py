@@ -35,10 +35,10 @@ def merge_inherit(spark, sf_dir):
 def _source(spark, sf_dir):
     """Parts as a source's labels: names repeat, some with different texts."""
     part = table(spark, sf_dir, "part")
-    return part.where("p_size % 10 > 0").select(F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("description"))
+    return part.select(F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("description"))
 
 
-_INDEX = f"""source AS (SELECT unnest([p_name, p_brand]) AS name, p_type AS description FROM part WHERE p_size % 10 > 0 AND p_size % 3 > 0),
+_INDEX = f"""source AS (SELECT unnest([p_name, p_brand]) AS name, p_type AS description FROM part WHERE p_size % 3 > 0),
     idx AS (SELECT {key_sql("name")} AS key, min(description) AS description, count(DISTINCT description) > 1 AS ambiguous FROM source WHERE {key_sql("name")} <> '' GROUP BY 1)"""
 
 

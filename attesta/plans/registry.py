@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.functions.text import ACCENTED, PLAIN
-from attesta.functions.vocab import JUNK_TOKENS, LETTER_FOLD, STOPWORDS
+from attesta.functions.vocab import JUNK_TOKENS, STOPWORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,9 +34,9 @@ def quoted(values) -> str:
 
 
 def normal_sql(x: str) -> str:
-    """SQL of functions.text.normalize."""
-    out = f"translate(coalesce({x}, ''), '{ACCENTED}', '{PLAIN}')"
-    for letter, plain in {**LETTER_FOLD, "&": " and "}.items():
+    """SQL of functions.text.normalize, with DuckDB's own folding of accents."""
+    out = f"strip_accents(coalesce({x}, ''))"
+    for letter, plain in (("ł", "l"), ("Ł", "L"), ("ø", "o"), ("Ø", "O"), ("æ", "ae"), ("Æ", "AE"), ("đ", "d"), ("Đ", "D"), ("ß", "ss"), ("ẞ", "SS"), ("&", " and ")):
         out = f"replace({out}, '{letter}', '{plain}')"
     return rf"trim(lower(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
 

@@ -281,12 +281,12 @@ def scene_changeset(spark, sf_dir):
 
 
 @query(
-    """WITH h AS (SELECT DISTINCT l_orderkey AS id, l_partkey FROM lineitem WHERE l_partkey < 20), n AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY id) AS n FROM h)
+    """WITH h AS (SELECT DISTINCT l_orderkey AS id, l_partkey FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY id) AS n FROM h)
         SELECT CAST(l_partkey AS VARCHAR) AS tag_id, n.id, CAST(floor((n - 1) / 200) AS BIGINT) AS chunk, CAST(l_partkey % 7 AS VARCHAR) <> CAST(o_custkey AS VARCHAR) AS attached
         FROM n JOIN orders ON o_orderkey = n.id"""
 )
 def reconcile_labels(spark, sf_dir):
-    pairs = table(spark, sf_dir, "part").where("p_partkey < 20").select(F.col("p_partkey").cast("string").alias("tag_id"), (F.col("p_partkey") % 7).cast("string").alias("performer_id"))
+    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("tag_id"), (F.col("p_partkey") % 7).cast("string").alias("performer_id"))
     return changes.reconcile(_scenes(spark, sf_dir), pairs).select("tag_id", "id", "chunk", "attached")
 
 
@@ -378,10 +378,10 @@ def display_rows(spark, sf_dir):
     return display.all_rows(views.items(spark, sf_dir), "https://x").groupBy("subject_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT o_orderkey AS id, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 200) AS BIGINT) AS chunk FROM orders WHERE o_orderpriority IN ({quoted(['1-URGENT'])})")
+@query("SELECT o_orderpriority, o_orderkey AS id, CAST(floor((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) / 200) AS BIGINT) AS chunk FROM orders")
 def chunked(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
-    return selection.chunks(rows, "id")
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_orderkey").alias("id"))
+    return selection.chunks(rows, "id", within="o_orderpriority").select("o_orderpriority", "id", "chunk")
 
 
 @query()

@@ -217,13 +217,14 @@ _GUARD = f"""(k <> '' AND length(k) >= 3 AND len(string_split(n, ' ')) <= 4 AND
 
 
 @query(
-    f"""WITH w AS (SELECT DISTINCT array_to_string(string_split_regex(trim(text), '\\s+')[1:1 + CAST(doc_id % 6 AS INTEGER)], ' ') AS s FROM documents
-        UNION SELECT c_name FROM customer UNION SELECT unnest(['Sep 2023', 'September 11, 2023', 'Videos', '20230911', 'The Crane', 'Ivy']))
-        SELECT s AS name, {_GUARD} AS is_name FROM (SELECT s, {normal_sql("s")} AS n, {key_sql("s")} AS k FROM w)"""
+    f"""WITH w AS (SELECT text AS s FROM conversations UNION SELECT text FROM benchmark UNION SELECT p_name FROM part UNION SELECT p_type FROM part
+        UNION SELECT c_name FROM customer UNION SELECT unnest(['Sep 2023', 'September 11, 2023', 'Videos', '20230911', 'The Crane', 'Ivy', 'Dvořák', '5 May 2020', 'no way', 'ab']))
+        SELECT s AS name, {_GUARD} AS is_name FROM (SELECT s, {normal_sql("s")} AS n, {key_sql("s")} AS k FROM w WHERE s IS NOT NULL)"""
 )
 def name_guards(spark, sf_dir):
-    words = F.slice(F.split(F.trim("text"), r"\s+"), F.lit(1), (F.col("doc_id") % 6 + 1).cast("int"))
-    phrases = table(spark, sf_dir, "documents").select(F.array_join(words, " ").alias("name"))
-    more = spark.createDataFrame([(x,) for x in ("Sep 2023", "September 11, 2023", "Videos", "20230911", "The Crane", "Ivy")], "name string")
-    every = phrases.union(table(spark, sf_dir, "customer").select("c_name")).union(more).distinct()
+    columns = (("conversations", "text"), ("benchmark", "text"), ("part", "p_name"), ("part", "p_type"), ("customer", "c_name"))
+    every = spark.createDataFrame([(x,) for x in ("Sep 2023", "September 11, 2023", "Videos", "20230911", "The Crane", "Ivy", "Dvořák", "5 May 2020", "no way", "ab")], "name string")
+    for name, column in columns:
+        every = every.union(table(spark, sf_dir, name).select(column))
+    every = every.where("name is not null").distinct()
     return every.select("name", attribution.is_name(F.col("name")).alias("is_name"))

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import random
 import unicodedata
 from datetime import UTC, datetime, timedelta
 from difflib import SequenceMatcher
 from zoneinfo import ZoneInfo
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from attesta.functions import dates, similarity, substitutions, text, urls
+from attesta.functions import dates, similarity, substitutions, text, urls, vocab
 
 
 def column(spark, values, expression, kind="string"):
@@ -23,7 +26,27 @@ NAMES = [None, "", "Ivy & Wood", "Café-Noir", "ŁÓDŹ Øre", "STRAẞE", "日
 def test_normal_forms(spark):
     exact = column(spark, NAMES, text.normalize_exact)
     assert exact == ["", "", "ivy and wood", "cafe noir", "lodz ore", "strasse", "日本 語", "a b c", "two words", "aeon ıi", "angstrom n", "fine"]
-    assert column(spark, NAMES[:4] + NAMES[5:9], text.normalize) == exact[:4] + exact[5:9]
+    assert column(spark, NAMES, text.normalize) == exact
+    latin = ["Dvořák", "Šárka", "Łódź", "Kōbo", "ＦＵＬＬ ｗｉｄｔｈ", "Ǆ ½ №", "e\u0301\u0323 x", "한글 ㎏", "İstanbul", "naïve—façade", "Ⅷ ²", "ế ữ"]
+    plain = [text.normal_form(x) for x in latin]
+    assert column(spark, latin, text.normalize) == plain and plain[:5] == ["dvorak", "sarka", "lodz", "kobo", "full width"]
+
+
+@given(st.lists(st.text(st.characters(max_codepoint=0x2FFF, exclude_categories=["Cs", "Cn"]), max_size=8), min_size=1, max_size=40))
+@settings(deadline=None, max_examples=12, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_normal_form_of_any_text(spark, texts):
+    assert column(spark, texts, text.normalize) == [text.normal_form(x) for x in texts]
+
+
+def test_labels_that_differ_in_accents_are_one_cluster(spark):
+    from attesta.operators import labels
+
+    rows = spark.createDataFrame([("1", "Dvořák", 1, None), ("2", "Dvorak", 2, None), ("3", "Kōbo Abe", 0, None)], "id string, name string, scene_count int, description string")
+    assert [(r["key"], len(r["members"])) for r in labels.cluster_labels(rows).collect()] == [("dvorak", 2)]
+
+
+def test_all_references_are_resolved(spark):
+    assert column(spark, ["Caf&eacute; &ndash; x", "<b>a</b> &amp;lt; &notit;", "plain", None], text.strip_html) == ["Café – x", "a &lt; ¬it;", "plain", ""]
 
 
 def test_keys_and_tokens(spark):
@@ -118,7 +141,37 @@ def test_ratio_is_the_library_ratio(spark):
 
 def score(spark, name, folder, title, artist):
     rows = spark.createDataFrame([(name, folder, title, artist)], "n string, f string, t string, a string")
-    return tuple(rows.select(similarity.match_score(F.col("n"), F.col("f"), F.col("t"), F.col("a")).alias("m")).first()["m"])
+    return tuple(similarity.with_match_score(rows, "n", "f", "t", "a").first()["m"])
+
+
+def plain_score(name, folder, title, artist, stem, own, as_title, bare):
+    """The score of every view, none left out; scalars of the names are given."""
+    junk = {*vocab.JUNK_TOKENS, *vocab.STOPWORDS}
+    words = lambda x: [w for w in text.normal_form(x).split(" ") if w and w not in junk]
+    views = [stem, *([own] if set(words(own)) - set(words(artist)) else []), *([as_title] if as_title != stem else [])]
+    wanted, best = text.normal_form(title), 0.0
+    for view in views:
+        normal, of = text.normal_form(view), words(view)
+        if normal and wanted:
+            found = sum(w in words(title) for w in of) / len(of) if of else 0.0
+            best = max(best, 0.7 * found + 0.3 * SequenceMatcher(None, normal, wanted).ratio())
+    wide, narrow = ({*words(x), *words(own)} - set(words(artist)) for x in (stem, bare))
+    contained = len(narrow) >= 2 and not wide - set(words(title))
+    return round(max(best, 0.9) if contained else best, 3), contained, len(narrow)
+
+
+def test_scores_agree_with_a_plain_statement(spark):
+    rng = random.Random(2)
+    pool = ["Quiet", "Harbour", "Walk", "Ivy", "Wood", "the", "of", "1080p", "Café", "Noir", "red", "ring", "-", "Series"]
+    phrase = lambda n: " ".join(rng.choice(pool) for _ in range(rng.randrange(n + 1)))
+    cases = [(phrase(5) + rng.choice([".mp4", "", ".xyz"]), phrase(3), phrase(5), phrase(2)) for _ in range(400)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n string, f string, t string, a string")
+    stem = text.strip_ext(F.col("n"))
+    bare = similarity.strip_unknown_ext(stem)
+    parts = rows.select("i", stem.alias("stem"), text.clean_folder(F.col("f")).alias("own"), similarity.title_view(F.col("n")).alias("as_title"), F.coalesce(similarity.without_series_prefix(bare), bare).alias("bare"))
+    views = {r["i"]: tuple(r)[1:] for r in parts.collect()}
+    got = {r["i"]: tuple(r["m"]) for r in similarity.with_match_score(rows, "n", "f", "t", "a").collect()}
+    assert got == {i: plain_score(*c, *views[i]) for i, c in enumerate(cases)}
 
 
 def test_match_scores(spark):

@@ -284,6 +284,11 @@ def test_changes(spark):
     moved = scenes.drop("performer_ids", "tag_ids").join(done.select("id", "performer_ids", "tag_ids"), "id").select(*scenes.columns)
     back = changes.revert_reconcile(moved, done)
     assert {r["id"]: (sorted(r["performer_ids"]), sorted(r["tag_ids"])) for r in back.collect()} == {"1": (["p"], ["x", "y"]), "2": (["q"], ["x"])}
+    both = changes.reconcile(scenes, spark.createDataFrame([("x", "q"), ("y", "r")], "tag_id string, performer_id string"))
+    assert rows(both, "tag_id", "id", "performer_ids", "tag_ids", "attached") == [("x", "1", ["p", "q", "r"], [], True), ("x", "2", ["q"], [], False), ("y", "1", ["p", "q", "r"], [], True)]
+    moved = scenes.drop("performer_ids", "tag_ids").join(both.select("id", "performer_ids", "tag_ids").distinct(), "id").select(*scenes.columns)
+    assert {r["id"]: (r["performer_ids"], sorted(r["tag_ids"])) for r in changes.revert_reconcile(moved, both).collect()} == {"1": (["p"], ["x", "y"]), "2": (["q"], ["x"])}
+    assert changes.revert_reconcile(moved, both).count() == 2
     with pytest.raises(ValueError, match="bulk"):
         changes.bulk_mode("SET")
 
