@@ -3,9 +3,12 @@
     register(spark)
     spark.read.format("paged").schema(TAG).option("url", "https://host/tags?page={page}").option("pages", 7).load()
 
-``url`` holds ``{page}`` (counted from 1); file: URLs work too. A page is a JSON list, or an object whose ``rows`` field
-(option) is one. Fields that the schema lacks are not read; missing ones are null. ``count`` reads the first page's
-reported total to find the number of pages when ``pages`` is not given.
+``url`` may hold ``{page}`` (counted from 1); file: URLs work too. With ``query`` (and ``variables``, a JSON object in
+which the text "{page}" stands for the page's number) a page is asked for by POST, with ``api_key`` as ApiKey header
+if it is given. A page is a JSON list, or an object whose ``rows`` field (option, a dotted path) is one; a reply with
+``errors`` raises. Fields that the schema lacks are not read; missing ones are null. ``count`` (option, a dotted path)
+names the first page's reported total, which gives the number of pages when ``pages`` is not given. ``deadline`` bounds
+a page in seconds, tries and slow replies included.
 """
 
 from __future__ import annotations
@@ -23,22 +26,46 @@ from pyspark.sql.types import ArrayType, StructType
 TRANSIENT = frozenset([408, 429, 500, 502, 503, 504])
 
 
-def fetch(url: str, timeout: float = 30.0, attempts: int = 2, pause: float = 0.2) -> object:
-    """Decoded JSON of a URL. Only transient failures are tried again; the last one is raised."""
+def fetch(url: str, timeout: float = 30.0, attempts: int = 2, pause: float = 0.2, body: dict | None = None, key: str | None = None, deadline: float = 120.0) -> object:
+    """Decoded JSON of a URL, by POST with a ``body``. Only transient failures are tried again; the last one is raised."""
+    end = time.monotonic() + deadline
+    headers = {"Accept": "application/json"} | ({"Content-Type": "application/json"} if body is not None else {}) | ({"ApiKey": key} if key else {})
+    data = None if body is None else json.dumps(body).encode()
     for left in range(attempts - 1, -1, -1):
         try:
-            with urllib.request.urlopen(url, timeout=timeout) as reply:  # noqa: S310
-                return json.load(reply)
+            asked = urllib.request.Request(url, data, headers if "://" in url and not url.startswith("file:") else {})  # noqa: S310
+            with urllib.request.urlopen(asked, timeout=min(timeout, max(0.001, end - time.monotonic()))) as reply:  # noqa: S310
+                parts = []
+                while part := reply.read(1 << 16):
+                    parts.append(part)
+                    if time.monotonic() > end:
+                        raise TimeoutError(f"no whole reply within {deadline} s")
+                return json.loads(b"".join(parts))
         except urllib.error.HTTPError as e:
             if e.code not in TRANSIENT or not left:
                 raise
         except (urllib.error.URLError, TimeoutError, ConnectionError):
-            if not left:
+            if not left or time.monotonic() + pause > end:
                 raise
         time.sleep(pause)
     raise AssertionError("unreachable")
 
 
+def _at(value: object, path: str) -> object:
+    """What a dotted path leads to; null where it ends early."""
+    for step in path.split("."):
+        value = value.get(step) if isinstance(value, dict) else None
+    return value
+
+
+def _numbered(value: object, page: int) -> object:
+    if isinstance(value, dict):
+        return {k: _numbered(x, page) for k, x in value.items()}
+    if isinstance(value, list):
+        return [_numbered(x, page) for x in value]
+    return page if value == "{page}" else value
+
+
 def _shape(value: object, kind: object) -> object:
     if value is None:
         return None
@@ -59,14 +86,21 @@ class _Reader(DataSourceReader):
         self.schema, self.options = schema, options
 
     def _page(self, number: int) -> object:
-        return fetch(self.options["url"].format(page=number), float(self.options.get("timeout", 30)), int(self.options.get("attempts", 2)))
+        own, body = self.options, None
+        if "query" in own:
+            body = {"query": own["query"], "variables": _numbered(json.loads(own.get("variables", "{}")), number)}
+        reply = fetch(
+            own["url"].replace("{page}", str(number)), float(own.get("timeout", 30)), int(own.get("attempts", 2)), body=body, key=own.get("api_key"), deadline=float(own.get("deadline", 120))
+        )
+        if isinstance(reply, dict) and reply.get("errors"):
+            raise ValueError(f"the server answered with errors: {json.dumps(reply['errors'])[:500]}")
+        return reply
 
     def partitions(self) -> list[InputPartition]:
         if "pages" in self.options:
             n = int(self.options["pages"])
         else:
-            first = self._page(1)
-            total = first.get(self.options.get("count", "count")) if isinstance(first, dict) else None
+            total = _at(self._page(1), self.options.get("count", "count"))
             if total is None:
                 raise ValueError("pages or a reported count is needed")
             n = -(-int(total) // int(self.options.get("per_page", 100)))
@@ -74,7 +108,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Page) -> Iterator[tuple]:
         page = self._page(partition.number)
-        rows = page.get(self.options.get("rows", "rows")) or [] if isinstance(page, dict) else page
+        rows = _at(page, self.options.get("rows", "rows")) or [] if isinstance(page, dict) else page
         for row in rows:
             yield _shape(row, self.schema)
 
