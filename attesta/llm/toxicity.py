@@ -35,6 +35,8 @@ from attesta.llm.common import bounded, crc_mod, encode, grouped, lean, persist,
 
 #: Labelled texts that learning reads; lexicon terms; folds; rows of the held-out rule; alarm threshold.
 TRAIN_DOCS, TERMS, FOLDS, HELD_OUT, ALARM = 20_000, 20_000, 4, (4, 2), 0.3
+#: Distinct tokens that a task counts at once.
+HELD = 300_000
 #: Second-person pronouns (English, French, German, Spanish).
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur tu toi te ton ta tes vous votre vos du dich dir dein deine deinen deiner ihr euch euer eure ti tuyo usted ustedes vosotros vuestro".split()
@@ -183,19 +185,27 @@ def terms_of(token_counts: Counter) -> Counter:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, fold, toxic, times) over a task's labelled texts."""
-    found: Counter = Counter()
+    """(term, fold, toxic, times) over a task's labelled texts, in parts of about HELD tokens; a part holds a term once a cell."""
     tokens: dict[tuple[int, int], Counter] = defaultdict(Counter)
+    sizes: Counter = Counter()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        while tokens:
+            (fold, toxic), counts = tokens.popitem()
+            terms = terms_of(counts)
+            terms[""] = sizes.pop((fold, toxic))
+            n = len(terms)
+            columns = [pa.array(list(terms), pa.string()), pa.array(np.full(n, fold, np.int32)), pa.array(np.full(n, toxic, np.int32)), pa.array(list(terms.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "fold", "toxic", "times"])
+
     for batch in batches:
         for doc_id, text, toxic in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            fold = _fold(doc_id)
-            tokens[fold, toxic].update(text.decode("utf-8", "replace").split())
-            found["", fold, toxic] += text.count(b" ") + 1
-    for cell, counts in tokens.items():
-        for term, times in terms_of(counts).items():
-            found[term, *cell] += times
-    rows = [(t, f, x, n) for (t, f, x), n in found.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["term", "fold", "toxic", "times"])
+            cell = _fold(doc_id), toxic
+            tokens[cell].update(text.decode("utf-8", "replace").split())
+            sizes[cell] += text.count(b" ") + 1
+            if sum(map(len, tokens.values())) >= HELD:
+                yield from flush()
+    yield from flush()
 
 
 def _fold(doc_id: int | None) -> int:
