@@ -235,11 +235,27 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(f):
-    """``f``, an Arrow function of a group, two groups or batches, with memory trimmed when it has ended."""
+#: What a worker keeps between tasks, by name.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, key: object, make):
+    """``make()``, kept by this worker under ``name`` as long as ``key`` stays the same."""
+    if name not in _KEPT or _KEPT[name][0] != key:
+        _KEPT.pop(name, None)
+        _KEPT[name] = key, make()
+    return _KEPT[name][1]
+
+
+def lean(f, keeps: str | None = None):
+    """``f``, an Arrow function of a group, two groups or batches, with memory trimmed when it has ended.
+
+    Things that the worker keeps for tasks of other kinds are let go before; ``keeps`` names what ``f`` uses again.
+    """
     if sum(p.default is p.empty for p in inspect.signature(f).parameters.values()) == 2:
 
         def run(left, right):
+            _let_go(keeps)
             try:
                 return f(left, right)
             finally:
@@ -247,6 +263,7 @@ def lean(f):
     else:
 
         def run(data):
+            _let_go(keeps)
             out = f(data)
             if isinstance(out, pa.Table):
                 trim()
@@ -256,6 +273,14 @@ def lean(f):
     return run
 
 
+def _let_go(keeps: str | None) -> None:
+    others = [k for k in _KEPT if k != keeps]
+    for k in others:
+        del _KEPT[k]
+    if others:
+        trim()
+
+
 def _drained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     try:
         yield from batches

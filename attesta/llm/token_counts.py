@@ -35,7 +35,7 @@ def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None
             found.update(len(x) // own.dtype.itemsize for x in own.encode_many([x or "" for x in batch.column(0).to_pylist()]))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "n_docs"])
 
-    lengths = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "n_tokens long, n_docs long")
+    lengths = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(run, "encoder"), "n_tokens long, n_docs long")
     return persist(lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))  # suffix_sums reads it twice
 
 

@@ -150,7 +150,7 @@ def write_token_files(
     packed, n = packed_ranges(docs, doc_id, text, block_bytes)
     spark = docs.sparkSession
     tokens = persist(
-        packed.repartition(max(n, 1), "block").groupBy("block").applyInArrow(lean(_tokenise(spec, end_id)), "block long, ids binary, lens binary, body binary, wide boolean, seen binary")
+        packed.repartition(max(n, 1), "block").groupBy("block").applyInArrow(lean(_tokenise(spec, end_id), "encoder"), "block long, ids binary, lens binary, body binary, wide boolean, seen binary")
     )
     seen = tokens.select("seen").mapInArrow(lean(_seen), "id long, times long").groupBy("id").agg(F.sum("times").alias("times")).collect()  # a row per vocabulary entry
     ids_of_ranks = np.array([r["id"] for r in sorted(seen, key=lambda r: (-r["times"], r["id"]))], np.uint32)

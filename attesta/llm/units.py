@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from attesta.llm.common import slices
+from attesta.llm.common import kept, slices
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Longest stretch that is remembered.
@@ -188,13 +188,6 @@ def _joined(parts: list[str]) -> list[str]:
     return [*units, held]
 
 
-_ENCODERS: dict[int, UnitEncoder] = {}
-
-
 def encoder(spec: str) -> UnitEncoder:
-    """One encoder per worker process, so that its memory serves all tasks."""
-    key = hash(spec)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = UnitEncoder(spec)
-    return _ENCODERS[key]
+    """One encoder per worker process, so that its memory serves all tasks that encode (``lean`` with keeps="encoder")."""
+    return kept("encoder", hash(spec), lambda: UnitEncoder(spec))
