@@ -31,7 +31,7 @@ from attesta.llm.units import encoder, tokenizer_json
 
 MAGIC, HEAD, END_ID = b"ATK1", struct.Struct("<4sIQ"), 2
 #: Text that is encoded at once; tasks that read files.
-SLICE_BYTES, MOST_TASKS = 4 << 20, 100_000
+SLICE_BYTES, MOST_TASKS = 2 << 20, 100_000
 #: Lengths that each control byte's four 2-bit fields stand for.
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 

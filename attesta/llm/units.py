@@ -25,7 +25,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Longest stretch that is remembered.
 LONGEST = 48
 #: Words that a worker remembers at most; text that is cut and put together at once.
-MOST, SLICE_CHARS = 300_000, 4 << 20
+MOST, SLICE_CHARS = 300_000, 2 << 20
 _PUNCTUATION = string.punctuation
 _OPEN_END = r"^$|[\s\pZ\x{85}\x{1c}-\x{1f}]$"
 _LATIN = "^[A-Za-z\u00c0-\u024f]+$"
