@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm.class_lm import class_lm_scores
+from attesta.llm.conversations import damaged, repaired
 from attesta.llm.decontamination import contamination
+from attesta.llm.divergence import source_divergence
 from attesta.llm.exact_dedup import mark_exact_duplicates
 from attesta.llm.html_text import extract_text
 from attesta.llm.mixing import mix_sources
+from attesta.llm.pieces import encode_pieces
 from attesta.llm.simhash import near_duplicates
 from attesta.llm.substring_dedup import removal_digest, substring_dedup
 from attesta.llm.token_counts import length_histogram, suffix_sums
@@ -70,8 +73,25 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("text_sha256", F.sha2("text", 256))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")), copies="copies").drop("repaired")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode_pieces(table(spark, sf_dir, "documents"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_substring_dedup, op2_simhash_dedup, op3_decontamination, op4_token_files, op5_class_lm, op6_toxicity, op7_token_counts, op8_exact_dedup, op9_source_mixing, op10_html_text)
+    own = (
+        op1_substring_dedup, op2_simhash_dedup, op3_decontamination, op4_token_files, op5_class_lm, op6_toxicity, op7_token_counts,
+        op8_exact_dedup, op9_source_mixing, op10_html_text, op11_conversation_repair, op12_sentencepiece, op13_source_divergence,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -84,4 +104,27 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
             FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+        "op13_source_divergence": r"""
+            WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+            t AS (
+                SELECT id, lang, source, unnest(regexp_extract_all(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM d),
+            kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+            langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+            f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.lang_n FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+            totals AS (SELECT lang, source, sum(n) AS total FROM f GROUP BY lang, source),
+            p AS (
+                SELECT f.lang, f.source, term, n, 1 + (1000000000 * (n + 5)::HUGEINT) // (total + 5 * v)::HUGEINT AS p,
+                       1 + (1000000000 * (lang_n + 5)::HUGEINT) // (lang_total + 5 * v)::HUGEINT AS q
+                FROM f JOIN totals USING (lang, source) JOIN langs ON langs.lang = f.lang),
+            apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+            rows_ AS (
+                SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+                FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+                UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows_)
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
     }
