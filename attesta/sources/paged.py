@@ -26,14 +26,14 @@ from pyspark.sql.types import ArrayType, StructType
 TRANSIENT = frozenset([408, 429, 500, 502, 503, 504])
 
 
-def fetch(url: str, timeout: float = 30.0, attempts: int = 2, pause: float = 0.2, body: dict | None = None, key: str | None = None, deadline: float = 120.0) -> object:
+def fetch(url: str, timeout: float = 30.0, attempts: int = 2, pause: float = 0.2, body: dict | None = None, key: str | None = None, deadline: float = 120.0, headers: dict[str, str] | None = None) -> object:
     """Decoded JSON of a URL, by POST with a ``body``. Only transient failures are tried again; the last one is raised."""
     end = time.monotonic() + deadline
-    headers = {"Accept": "application/json"} | ({"Content-Type": "application/json"} if body is not None else {}) | ({"ApiKey": key} if key else {})
+    sent = {"Accept": "application/json"} | ({"Content-Type": "application/json"} if body is not None else {}) | ({"ApiKey": key} if key else {}) | (headers or {})
     data = None if body is None else json.dumps(body).encode()
     for left in range(attempts - 1, -1, -1):
         try:
-            asked = urllib.request.Request(url, data, headers if "://" in url and not url.startswith("file:") else {})  # noqa: S310
+            asked = urllib.request.Request(url, data, sent if "://" in url and not url.startswith("file:") else {})  # noqa: S310
             with urllib.request.urlopen(asked, timeout=min(timeout, max(0.001, end - time.monotonic()))) as reply:  # noqa: S310
                 parts = []
                 while part := reply.read(1 << 16):
