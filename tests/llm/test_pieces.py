@@ -86,7 +86,7 @@ def test_rows(spark):
 
 def test_a_wrong_encoding_is_told(monkeypatch):
     check = pieces.verified(RAW)
-    ids = CODER.encode_many(["Hello world"])
+    ids = [x.tolist() for x in CODER.encode_many(["Hello world"])]
     check(["Hello world"], ids, ["Hello world"])
     with pytest.raises(pieces.Differs):
         check(["Hello world"], [ids[0][:-1]], ["Hello world"])
