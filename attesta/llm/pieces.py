@@ -9,7 +9,9 @@ are the stretches). A text is therefore cut before each U+2581 that follows anot
 is encoded once: short ones together, where one round takes the best pair of every stretch from an agenda kept as an
 array of (rank, place) keys; long ones each with a heap. A worker remembers the stretches met lately, a bounded number.
 
-``verified`` compares ids and texts with the sentencepiece library on the same Arrow batch and fails where they differ.
+All is checked against the sentencepiece library in each Arrow batch, which fails where they differ: the ids of every distinct
+stretch as it is encoded, and the decoded text of every document's ids. (That whole texts have the ids of their stretches follows from
+the vocabulary, and tests compare whole texts.)
 
 Defined results: a null text is encoded as empty, so it has no ids and decodes to the empty text; empty texts too; null and
 repeated doc_ids are kept as they are, a row for each; an empty table gives no rows; other columns are ignored; ids outside
@@ -142,10 +144,15 @@ class Vocabulary:
 
 
 class Coder:
-    """encode and decode of texts by one vocabulary; remembers stretches between calls."""
+    """encode and decode of texts by one vocabulary; remembers stretches between calls. ``check``: against the library."""
 
-    def __init__(self, model: bytes, most: int = MOST):
+    def __init__(self, model: bytes, most: int = MOST, check: bool = False):
         self.own = Vocabulary(model)
+        self.library = None
+        if check:
+            from sentencepiece import SentencePieceProcessor
+
+            self.library = SentencePieceProcessor(model_proto=model)
         self.most = most
         self.memory: dict[str, bytes] = {}
         self.stretch = re.compile(f"{SPACE}+[^{SPACE}]*" if self.own.divisible else r"(?s).+")
@@ -163,7 +170,10 @@ class Coder:
             if len(self.memory) + len(new) > self.most:
                 self.memory.clear()
                 new = list(every)
-            self.memory.update(zip(new, self._stretches(new), strict=True))
+            got = self._stretches(new)
+            if self.library:
+                self.check_ids(new, got)
+            self.memory.update(zip(new, got, strict=True))
             out += [np.frombuffer(b"".join(map(self.memory.__getitem__, x)), np.int32) for x in cut]
             if max(map(len, new), default=0) > LONGEST:
                 for x in new:
@@ -273,6 +283,22 @@ class Coder:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def check_ids(self, stretches: list[str], ids: list[bytes]) -> None:
+        """Raises ``Differs`` unless the library gives the same ids. (A lone U+2581 is the piece itself; no text is cut to it alone.)"""
+        at = [k for k, x in enumerate(stretches) if len(x) > 1]
+        theirs = self.library.encode([stretches[k][1:].replace(SPACE, " ") for k in at], num_threads=1)
+        mine = b"".join([ids[k] for k in at])
+        flat = np.fromiter(chain.from_iterable(theirs), np.int32)
+        lengths = np.fromiter(map(len, theirs), np.int64, len(at))
+        if flat.tobytes() != mine or not np.array_equal(4 * lengths, [len(ids[k]) for k in at]):
+            bad = next(stretches[k] for k, x in zip(at, theirs, strict=True) if np.array(x, np.int32).tobytes() != ids[k])
+            raise Differs(f"ids of {bad[:80]!r}")
+
+    def check_texts(self, ids: list[list[int]], texts: list[str]) -> None:
+        for mine, other in zip(texts, self.library.decode(ids, num_threads=1), strict=True):
+            if mine != other:
+                raise Differs(f"decoded text {other[:80]!r}")
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, U+2581 as a space, one leading space gone; bytes that are no UTF-8 become U+FFFD each."""
         own = self.own
@@ -316,30 +342,12 @@ class Differs(ValueError):
     """The library gives other ids or another text."""
 
 
-def verified(model: bytes):
-    """(texts, list of ids of each, decoded texts) -> None; raises ``Differs`` where the library disagrees on a batch."""
-    from sentencepiece import SentencePieceProcessor
-
-    library = SentencePieceProcessor(model_proto=model)
-
-    def check(texts: list[str], ids: list[list[int]], decoded: list[str]) -> None:
-        theirs = library.encode(texts, num_threads=1)
-        for text, mine, other in zip(texts, ids, theirs, strict=True):
-            if mine != other:
-                raise Differs(f"ids of {text[:80]!r}")
-        for mine, other in zip(decoded, library.decode(theirs, num_threads=1), strict=True):
-            if mine != other:
-                raise Differs(f"decoded text {other[:80]!r}")
-
-    return check
-
-
 def encode_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None, check: bool = True) -> DataFrame:
     """One row per input row: doc_id, ids (array of int), decoded (the text that the ids decode to)."""
     raw = model_bytes(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, compare = kept("pieces", hash(raw), lambda: (Coder(raw), verified(raw) if check else None))
+        coder = kept("pieces", (hash(raw), check), lambda: Coder(raw, check=check))
         for batch in batches:
             every = [x or "" for x in batch.column(1).to_pylist()]
             for own in slices(every, SLICE_CHARS):
@@ -347,8 +355,8 @@ def encode_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
                 ids = coder.encode_many(texts)
                 listed = [x.tolist() for x in ids]
                 decoded = [coder.decode(x) for x in listed]
-                if compare:
-                    compare(texts, listed, decoded)
+                if check:
+                    coder.check_texts(listed, decoded)
                 del listed
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
@@ -362,7 +370,7 @@ def decode_pieces(rows: DataFrame, ids: str = "ids", doc_id: str = "doc_id", mod
     raw = model_bytes(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, _ = kept("pieces", hash(raw), lambda: (Coder(raw), None))
+        coder = kept("pieces", (hash(raw), False), lambda: Coder(raw))
         for batch in batches:
             texts = [coder.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

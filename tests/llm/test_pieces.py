@@ -84,14 +84,18 @@ def test_rows(spark):
     assert pieces.encode_pieces(df.limit(0)).collect() == []
 
 
-def test_a_wrong_encoding_is_told(monkeypatch):
-    check = pieces.verified(RAW)
-    ids = [x.tolist() for x in CODER.encode_many(["Hello world"])]
-    check(["Hello world"], ids, ["Hello world"])
+def test_a_wrong_encoding_is_told():
+    own = pieces.Coder(RAW, check=True)
+    assert [x.tolist() for x in own.encode_many(texts(6, 50))] == LIBRARY.encode(texts(6, 50))
+    got = own._stretches(["▁Hello", "▁", "▁▁world"])
+    own.check_ids(["▁Hello", "▁", "▁▁world"], got)
+    ids = LIBRARY.encode("Hello world")
+    own.check_texts([ids], ["Hello world"])
+    for wrong in ([got[0][:-4], *got[1:]], [got[0], got[1], got[2] + got[1]], [got[0] + got[2][:4], got[1], got[2][4:]]):
+        with pytest.raises(pieces.Differs):
+            own.check_ids(["▁Hello", "▁", "▁▁world"], wrong)
     with pytest.raises(pieces.Differs):
-        check(["Hello world"], [ids[0][:-1]], ["Hello world"])
-    with pytest.raises(pieces.Differs):
-        check(["Hello world"], ids, ["Hello worlD"])
+        own.check_texts([ids], ["Hello worlD"])
 
 
 def test_long_stretches_cost_little_more_than_their_length():
