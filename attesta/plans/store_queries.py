@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from attesta.functions import urls
 from attesta.operators import actions, changes, runs, schedule, selection, store, views as display
 from attesta.plans import views
-from attesta.plans.registry import query, quoted, table
+from attesta.plans.registry import query, quoted, shared_folder, table
 from attesta.plans.views import ITEMS, MUTES, RUN_LOG, VISIBLE
 
 _FIELDS = "fingerprint, folder, subject_type, subject_id, summary, state"
@@ -387,13 +387,10 @@ def chunked(spark, sf_dir):
 @query()
 def streamed_proposals(spark, sf_dir):
     """Events recorded as proposals by a stream that ends with what it has; replays change nothing."""
-    import tempfile
+    from attesta.streaming.proposals import items_table, proposals_of, start_recording
 
-    from attesta.streaming.proposals import SnapshotTable, proposals_of, start_recording
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-")
-    folder = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    items = SnapshotTable(spark, f"{folder}/items", store.SCHEMAS["item"])
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    items = items_table(spark, f"{folder}/items", 64)
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(sf_dir)
     none = [spark.createDataFrame([], store.SCHEMAS[name]) for name in ("dismissal", "mute")]
     start_recording(proposals_of(source), items, *none, f"{folder}/checkpoint").awaitTermination()

@@ -1,58 +1,35 @@
-"""Proposals as a stream: each micro-batch is merged into the item snapshot by content id, so replays change nothing.
+"""Proposals as a stream: each micro-batch is merged into the bucketed item table by content id, so replays change nothing.
 
 Also the run log as a stream of the latest run per job.
 """
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attesta.operators import store
 from attesta.operators.runs import latest_per_job
+from attesta.sources.buckets import BucketedTable
 
 
-class SnapshotTable:
-    """A table kept as numbered snapshot folders; a batch writes the next one, so a failed batch leaves the last whole."""
-
-    def __init__(self, spark, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        if not self._fs.exists(self._path(self.folder)):
-            return -1
-        names = [PurePosixPath(s.getPath().toString()) for s in self._fs.listStatus(self._path(self.folder))]
-        done = [int(p.name[1:]) for p in names if p.name[:1] == "v" and p.name[1:].isdigit() and self._fs.exists(self._path(f"{self.folder}/{p.name}/_SUCCESS"))]
-        return max(done, default=-1)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.version() if version is None else version
-        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{v}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        """Writes snapshot ``version``; one that is there already is left as it is (a replayed batch)."""
-        if self._fs.exists(self._path(f"{self.folder}/v{version}/_SUCCESS")):
-            return
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
+def items_table(spark: SparkSession, folder: str, buckets: int = 1024) -> BucketedTable:
+    """The item table in buckets by range of fingerprint."""
+    return BucketedTable(spark, folder, store.SCHEMAS["item"], hex_key=True, buckets=buckets)
 
 
-def merge_proposals(items: SnapshotTable, dismissals: DataFrame, mutes: DataFrame):
-    """foreachBatch function: records a batch of proposals (columns of items)."""
+def merge_proposals(items: BucketedTable, dismissals: DataFrame, mutes: DataFrame, application: str = "proposals"):
+    """foreachBatch function: records a batch of proposals (columns of items) in the buckets it touches, once per batch id."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        before = items.read(batch_id - 1 if batch_id else -1) if items.version() >= batch_id - 1 else items.read()
-        items.write(store.record(before, batch, dismissals, mutes), batch_id)
+        items.merge(batch, lambda rows, new: store.record(rows, new, dismissals, mutes), (application, batch_id))
+        items.vacuum()
 
     return run
 
 
-def start_recording(proposals: DataFrame, items: SnapshotTable, dismissals: DataFrame, mutes: DataFrame, checkpoint: str) -> StreamingQuery:
+def start_recording(proposals: DataFrame, items: BucketedTable, dismissals: DataFrame, mutes: DataFrame, checkpoint: str) -> StreamingQuery:
     """Records everything the stream has now, then ends."""
     return (
         proposals.writeStream.foreachBatch(merge_proposals(items, dismissals, mutes)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -376,15 +376,15 @@ def test_jobs(spark):
 def test_stream_replays_change_nothing(spark, tmp_path):
     events = spark.createDataFrame([(1, datetime(2024, 1, 1), 5, "a"), (2, datetime(2024, 1, 2), 5, "a"), (3, datetime(2024, 1, 3), 6, "b")], "event_id long, ts timestamp, user_id long, event_type string")
     events.write.parquet(str(tmp_path / "in"))
-    table = proposals.SnapshotTable(spark, str(tmp_path / "items"), store.SCHEMAS["item"])
+    table = proposals.items_table(spark, str(tmp_path / "items"), 8)
     none = [spark.createDataFrame([], store.SCHEMAS[n]) for n in ("dismissal", "mute")]
     for _ in range(2):
         source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
         proposals.start_recording(proposals.proposals_of(source), table, *none, str(tmp_path / "check")).awaitTermination()
         assert rows(table.read(), "folder", "subject_id") == [("a", "5"), ("b", "6")]
     before = table.version()
-    proposals.merge_proposals(table, *none)(proposals.proposals_of(events), before)
-    assert table.version() == before
+    proposals.merge_proposals(table, *none)(proposals.proposals_of(events), 0)  # a replay of the first batch
+    assert table.version() == before >= 0
 
 
 def test_display(spark):
