@@ -119,7 +119,7 @@ def routed(items: DataFrame, matches: DataFrame | None = None, scenes: DataFrame
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return whole.select(*ROUTED)
+    return whole.withColumn("edits", F.when(F.col("refused").isNull(), F.col("edits"))).select(*ROUTED)
 
 
 def attempts(routes: DataFrame, outcomes: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
