@@ -18,7 +18,9 @@ the rows of it that have been read: a query that failed goes on where its checkp
 only when the one after it has rows.
 
 Filters: ``pushed``, a JSON object column -> dotted path in the variables, names the columns whose equality the server can test. Such a
-filter is set in the request and not repeated by Spark; a column that the rows lack then holds the value asked for.
+filter is set in the request and not repeated by Spark; a column that the rows lack (named in ``echo``, a JSON list) then holds the
+value asked for. Use ``filtered`` for this, which loads the listing anew: Spark keeps what a loaded table was once asked for, and
+would apply it to a later query of the same DataFrame that has no filter.
 
 ``ask_each`` asks once for each row of a table of keys (URLs, names, boxes), in parallel, and gives the reply's rows or the error.
 """
@@ -32,7 +34,7 @@ import urllib.request
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, IsNotNull, Not, SimpleDataSourceStreamReader
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType, _parse_datatype_string
@@ -223,6 +225,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedSource)
 
 
+def filtered(spark: SparkSession, schema: str, condition: Column, pushed: dict[str, str], echo: tuple[str, ...] = (), **options: object) -> DataFrame:
+    """The rows of a listing that fulfil ``condition``, loaded anew so that its filters hold for this DataFrame alone."""
+    register(spark)
+    return spark.read.format("paged").schema(schema).options(pushed=json.dumps(pushed), echo=json.dumps(echo), **options).load().where(condition)
+
+
 def _filled(value: object, row: dict) -> object:
     """A request with "{column}" texts replaced by a key row's values."""
     if isinstance(value, dict):

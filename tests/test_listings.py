@@ -91,17 +91,18 @@ def test_a_wrong_total_is_not_needed(spark, server):
 
 
 def test_filters_reach_the_server(spark, server):
-    paged.register(spark)
-    pushed = json.dumps({"organized": "s.organized", "tag_id": "s.tags.value"})
-    scenes = spark.read.format("paged").schema(SCHEMA + ", tag_id string").options(**options(server, until="empty", pushed=pushed, echo='["tag_id"]')).load()
-    server.asked.clear()
-    found = scenes.where((F.col("organized") == F.lit(False)) & (F.col("tag_id") == "3-") & F.col("id").endswith("1"))
+    pushed = {"organized": "s.organized", "tag_id": "s.tags.value"}
+
+    def scenes(condition):
+        return paged.filtered(spark, SCHEMA + ", tag_id string", condition, pushed, ("tag_id",), **options(server, until="empty"))
+
+    found = scenes((F.col("organized") == F.lit(False)) & (F.col("tag_id") == "3-") & F.col("id").endswith("1"))
     assert [tuple(r) for r in found.select("id", "tag_id").collect()] == [("3-1", "3-")]
     assert server.asked and all(b["variables"]["s"] == {"organized": False, "tags": {"value": "3-"}} and "tag_id" not in b["query"] for b in server.asked)
     plan = found._jdf.queryExecution().executedPlan().toString()
     filtered = plan.split("Filter", 1)[1].split("BatchScan")[0] if "Filter" in plan else ""
     assert "tag_id" not in filtered and "EndsWith" in plan  # what the server tests Spark does not test again
-    assert ids(scenes.where("organized = false or id = '1-0'")) == sorted([r["id"] for p in server.pages for r in p if not r["organized"]] + ["1-0"])
+    assert ids(scenes(F.expr("organized = false or id = '1-0'"))) == sorted([r["id"] for p in server.pages for r in p if not r["organized"]] + ["1-0"])
 
 
 def run_stream(spark, server, folder, **more):
