@@ -47,6 +47,14 @@ def _marks() -> str:
 
 
 _MARKS = _marks()
+#: The marks of Latin, Greek and Cyrillic letters; all that combine but U+034F, which does not.
+_COMMON_MARKS = r"[\x{300}-\x{34e}\x{350}-\x{36f}]+"
+
+
+def without_marks(text: Column) -> Column:
+    """Without characters that combine with others. The many ranges of rare ones are looked for only where any mark, or a character newer than the JVM, is left."""
+    plain = F.regexp_replace(text, _COMMON_MARKS, "")
+    return F.when(plain.rlike(r"[\p{M}\p{Cn}]"), F.regexp_replace(plain, _MARKS, "")).otherwise(plain)
 
 
 def normalize(text: Column) -> Column:
@@ -55,7 +63,7 @@ def normalize(text: Column) -> Column:
     Where a form is used more than once, put it into a column first: Spark computes it once then.
     """
     text = filled(text)
-    folded = F.regexp_replace(decomposed(text), _MARKS, "")
+    folded = without_marks(decomposed(text))
     for letter, plain in LETTER_FOLD.items():
         folded = F.replace(folded, F.lit(letter), F.lit(plain))
     folded = F.when(F.octet_length(text) > F.length(text), folded).otherwise(text)
