@@ -10,6 +10,7 @@ from attesta.functions.substitutions import decensor
 from attesta.operators import attribution, proposals, selection
 from attesta.operators.claims import resolve_claims
 from attesta.operators.decisions import THRESHOLD, choose_winner, decide
+from attesta.operators.matching import dealt_join
 
 CANDIDATE = ("idx", "title", "url")
 
@@ -18,9 +19,10 @@ def judge(files: DataFrame, candidates: DataFrame, pairs: dict[str, list[str]])
     """Scored candidates: (id, store, resolvable, idx, title, url, value, contained, meaningful).
 
     ``files``: (id, name, folder, artist), ``candidates``: (artist, store, resolvable, idx, title, url). They meet by
-    artist, so each creator's listing is fetched and read once, whatever the number of files.
+    artist, so each creator's listing is fetched and read once, whatever the number of files; a creator with many files
+    is dealt over several tasks.
     """
-    rows = files.select("id", "name", "folder", "artist").join(candidates, "artist").withColumn("plain", decensor(F.col("title"), pairs))
+    rows = dealt_join(files.select("artist", "id", "name", "folder"), candidates, "artist").withColumn("plain", decensor(F.col("title"), pairs))
     rows = with_match_score(rows, "name", "folder", "plain", "artist")
     return rows.select("id", "store", "resolvable", "idx", F.col("plain").alias("title"), "url", F.col("m.value").alias("value"), F.col("m.contained").alias("contained"), F.col("m.meaningful_count").alias("meaningful"))
 

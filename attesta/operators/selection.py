@@ -69,11 +69,19 @@ def completeness(read: DataFrame, reported: int | Column, key: str = "id") -> Da
     )
 
 
-def gone_sweep(stored: DataFrame, present: DataFrame, reported: int, key: str = "id") -> DataFrame:
-    """Stored keys that a complete read no longer has; none if the read is empty, partial or repeats keys."""
-    check = completeness(present, F.lit(reported), key).select("complete")
-    missing = stored.select(key).distinct().join(present.select(key), key, "left_anti")
-    return missing.crossJoin(F.broadcast(check)).where("complete").drop("complete")  # one row
+def gone_sweep(stored: DataFrame, present: DataFrame, reported: int | DataFrame, key: str = "id") -> DataFrame:
+    """Stored keys that a complete read no longer has; none if the read is empty, partial or repeats keys.
+
+    ``reported``: how many the source says it has, or a table of one row with it. Keys of both tables are counted in one aggregate, from
+    which both the missing ones and the read's completeness follow, so ``present`` is read once, in the same pass.
+    """
+    both = present.select(F.col(key), F.lit(1).alias("__read"), F.lit(0).alias("__kept")).unionByName(stored.select(F.col(key), F.lit(0).alias("__read"), F.lit(1).alias("__kept")))
+    counted = both.groupBy(key).agg(F.sum("__read").alias("__read"), F.max("__kept").alias("__kept"))
+    told = stored.sparkSession.range(1).select(F.lit(reported).cast("long").alias("__told")) if isinstance(reported, int) else reported.select(F.col(reported.columns[0]).cast("long").alias("__told"))
+    seen = counted.agg(F.sum("__read").alias("__rows"), F.max("__read").alias("__most"))
+    check = seen.crossJoin(told).where("__rows > 0 and __most = 1 and __rows = __told").select("__told")  # one row or none
+    missing = counted.where("__kept = 1 and __read = 0").select(key)
+    return missing.crossJoin(F.broadcast(check)).drop("__told")
 
 
 def release_mutes(mutes: DataFrame, retired_reason: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import similarity
 from attesta.functions.text import normalize, tokens
-from attesta.operators import adapters, attribution, claims, decisions, linkage, listings, selection
+from attesta.operators import adapters, attribution, claims, decisions, linkage, listings, matching, selection
 from attesta.plans import views
 from attesta.plans.registry import key_sql, query, table, tokens_sql
 from attesta.plans.views import CANDIDATES, CLAIMS, PEOPLE
@@ -201,43 +201,30 @@ def alias_pooled(spark, sf_dir):
     return attribution.pooled_aliases(_configured(spark, sf_dir), attribution.library_aliases(views.people(spark, sf_dir)))
 
 
-RAREST = 3
-
-
-def _rare_pairs(spark, sf_dir):
-    """(item_id, doc_id, item words, document words) that share one of the item's RAREST words in the documents, however frequent these are."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("d"))
-    words = docs.select("doc_id", F.explode(F.array_distinct("d")).alias("w"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("i"))
-    wanted = items.select("item_id", F.explode(F.array_distinct("i")).alias("w"))
-    counted = words.join(wanted.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ranked = wanted.join(counted, "w").groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "w"))), 1, RAREST).alias("r"))  # an item's words
-    pairs = ranked.select("item_id", F.explode("r.w").alias("w")).join(words, "w").select("item_id", "doc_id").distinct()
-    return pairs.join(items, "item_id").join(docs, "doc_id")
+def _words(spark, sf_dir):
+    """(items, documents) by their words."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("words"))
+    return items, table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("words"))
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {tokens_sql("text")} AS d FROM documents), w AS (SELECT DISTINCT doc_id, unnest(d) AS w FROM d),
-        i AS (SELECT item_id, {tokens_sql("text")} AS i FROM benchmark), iw AS (SELECT DISTINCT item_id, unnest(i) AS w FROM i),
-        n AS (SELECT w, count(*) AS n FROM w WHERE w IN (SELECT w FROM iw) GROUP BY w),
-        rare AS (SELECT item_id, w FROM (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY n, w) AS r FROM iw JOIN n USING (w)) WHERE r <= {RAREST}),
-        p AS (SELECT DISTINCT item_id, doc_id FROM rare JOIN w USING (w))
-        SELECT item_id, doc_id, round(len(list_filter(i, lambda x: list_contains(d, x))) / len(i), 6) AS recall, len(list_filter(i, lambda x: NOT list_contains(d, x))) = 0 AS contained
-        FROM p JOIN i USING (item_id) JOIN d USING (doc_id)"""
+    f"""WITH d AS (SELECT DISTINCT doc_id, unnest({tokens_sql("text")}) AS w FROM documents),
+        i AS (SELECT item_id, unnest({tokens_sql("text")}) AS w FROM benchmark),
+        n AS (SELECT item_id, count(*) AS size FROM i GROUP BY 1)
+        SELECT item_id, doc_id, round(count(*) / size, 6) AS recall, count(*) = size AS contained
+        FROM i JOIN d USING (w) JOIN n USING (item_id) GROUP BY item_id, doc_id, size HAVING count(*) >= 0.8 * size"""
 )
 def token_recall(spark, sf_dir):
-    rows = _rare_pairs(spark, sf_dir)
-    return rows.select("item_id", "doc_id", F.round(similarity.recall(F.col("i"), F.col("d")), 6).alias("recall"), (F.size(F.array_except("i", "d")) == 0).alias("contained"))
+    """All documents with four fifths of a benchmark item's words."""
+    rows = matching.recall_pairs(*_words(spark, sf_dir), 0.8)
+    return rows.select("item_id", "doc_id", F.round("recall", 6).alias("recall"), (F.col("recall") == 1).alias("contained"))
 
 
 @query()
 def ratio_similarity(spark, sf_dir):
-    """Matching-blocks ratio of benchmark items against whole documents with a rare word in common."""
-    pairs = _rare_pairs(spark, sf_dir).select("item_id", "doc_id")
-    items = table(spark, sf_dir, "benchmark").select("item_id", normalize(F.col("text")).alias("i"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("d"))
-    rows = pairs.join(items, "item_id").join(docs, "doc_id").repartition(spark.sparkContext.defaultParallelism, "doc_id")  # the ratio takes nearly all of the time
-    return rows.select("item_id", "doc_id", similarity.rounded(similarity.ratio(F.col("i"), F.col("d"))).alias("ratio"))
+    """All documents whose matching-blocks ratio to a benchmark item is 0.6 or more, whole texts compared."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", normalize(F.col("text")).alias("text"))
+    return matching.ratio_pairs(items, table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("text")), 0.6)
 
 
 @query()
@@ -294,12 +281,16 @@ def select_counts(spark, sf_dir):
     return selection.tally(selection.classify(rows, "doc_id", labels.where("toxic = 1").select("doc_id"), labels.where("quality = 0").select("doc_id"), F.col("lang") == "en"))
 
 
-@query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 4)")
+@query("SELECT DISTINCT o_custkey AS id, 'whole' AS read FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def gone_sweep(spark, sf_dir):
-    present = table(spark, sf_dir, "customer").where("c_custkey % 9 <> 4").select(F.col("c_custkey").alias("id"))
+    """Customers of orders that a listing lacks: swept by a whole listing, not by one that is short by a row or repeats one."""
+    customers = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     stored = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
-    reported = present.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return selection.gone_sweep(stored, present, reported)
+    told = customers.agg(F.count(F.lit(1)).alias("n"))
+    last = customers.agg(F.max("id").alias("id"))
+    reads = {"whole": customers, "short": customers.join(last, "id", "left_anti"), "repeated": customers.join(last, "id", "left_anti").union(customers.agg(F.min("id")))}
+    swept = [selection.gone_sweep(stored, present, told).withColumn("read", F.lit(name)) for name, present in reads.items()]
+    return swept[0].union(swept[1]).union(swept[2])
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus <> 'O' AS added FROM orders WHERE o_orderstatus = 'O' OR o_orderpriority = '1-URGENT'")

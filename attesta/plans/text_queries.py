@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import dates, substitutions, text, urls
 from attesta.functions.vocab import CONTAINER_EXTS, CONTAINER_NAMES, ENCODE_MARKERS, MONTH_PATTERN
-from attesta.operators import attribution
+from attesta.operators import attribution, matching
 from attesta.plans.registry import key_sql, normal_sql, query, quoted, table, tokens_sql
 from attesta.plans.views import FILES, files
 
@@ -44,11 +44,7 @@ def slug_pairs(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     names = part.select(text.spaceless(F.col("p_name")).alias("a")).distinct()
     words = part.select(text.spaceless(F.split("p_name", " ")[1]).alias("b")).union(part.select(text.spaceless(F.col("p_brand")).alias("b"))).distinct()
-    # a key that contains another shares its first trigram at some place: an equality that the join can hash
-    grams = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3)))
-    left = names.select("a", F.explode(F.array_distinct(grams(F.col("a")))).alias("g"))
-    right = words.select("b", F.explode(F.array_distinct(grams(F.col("b")))).alias("g"))
-    return left.join(right, "g").select("a", "b").distinct().where(text.slug_match(F.col("a"), F.col("b")))
+    return matching.containment_pairs(names, words)
 
 
 _STRIPPED = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
