@@ -11,6 +11,7 @@ from attesta.operators import attribution, proposals, selection
 from attesta.operators.claims import resolve_claims
 from attesta.operators.decisions import THRESHOLD, choose_winner, decide
 from attesta.operators.matching import dealt_join
+from attesta.session import written_once
 
 CANDIDATE = ("idx", "title", "url")
 
@@ -52,12 +53,13 @@ def examine(files: DataFrame, resolutions: DataFrame, candidates: DataFrame, fal
     per-title searches, by id, used for files without a winner whose name has evidence; ``stores``: (store, error).
     No rows anywhere mutes a file, unless a store failed: then it is an error and nothing is recorded.
     """
-    known = files.select("id", "name", "folder").join(unresolved_reason(resolutions).select("id", F.col("name").alias("artist"), "reason"), "id")
+    # creators are found and names compared once each; what follows reads the written tables
+    known = written_once(files.select("id", "name", "folder").join(unresolved_reason(resolutions).select("id", F.col("name").alias("artist"), "reason"), "id"))
     refused = known.where("artist is null").select("id", F.lit("refusal").alias("outcome"), "reason")
     ready = known.where("artist is not null")
     usable = candidates.join(stores.where("error is not null").select("store"), "store", "left_anti")
     scored = judge(ready, usable, pairs)
-    first = winners(scored, threshold)
+    first = written_once(winners(scored, threshold))
     won = first.where("outcome = 'chosen'").select("id").distinct()
     _, narrow = evidence(F.col("name"), F.col("folder"), F.col("artist"))
     retry = ready.join(won, "id", "left_anti").where(F.size(narrow) > 0)
@@ -67,6 +69,7 @@ def examine(files: DataFrame, resolutions: DataFrame, candidates: DataFrame, fal
         rescored.select("id", "store", "resolvable", "idx", F.col("plain").alias("title"), "url", F.col("m.value").alias("value"), F.col("m.contained").alias("contained"), F.col("m.meaningful_count").alias("meaningful")),
         threshold,
     )
+    second = written_once(second)
     made = first.join(second.select("id", "store"), ["id", "store"], "left_anti").unionByName(second)
     picked = choose_winner(made.where("outcome = 'chosen'").select(F.col("id").alias("subject"), "store", "resolvable", "value", "title"))
     seen = made.groupBy("id").agg(F.count(F.lit(1)).alias("answers"), F.max_by("outcome", F.col("outcome") == "ambiguous").alias("kind"))

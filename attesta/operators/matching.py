@@ -71,12 +71,46 @@ def character_bag(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: np.bincount(np.frombuffer((x or "").encode("utf-32-le"), np.uint32) % CLASSES, minlength=CLASSES).tolist())
 
 
+def common_length(a: str, masks: dict[str, int], b: str) -> int:
+    """Length of the longest common subsequence of a and b, a bit for each place of a; ``masks``: the places of each character of a."""
+    whole = (1 << len(a)) - 1
+    row = whole
+    for c in b:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(a) - row.bit_count()
+
+
+def ratio_at_least(least: float):
+    """Arrow function of (a, b): their matching-blocks ratio, or null where it is surely less than ``least``.
+
+    Matched blocks are a common subsequence, so its greatest length, found by bits in a word for some sixty places, bounds them.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        last, masks, ask = None, {}, []
+        for x, y in zip(a, b, strict=True):
+            if x != last:
+                last, masks = x, {}
+                for k, c in enumerate(x):
+                    masks[c] = masks.get(c, 0) | 1 << k
+            ask.append(2 * common_length(x, masks, y) >= least * (len(x) + len(y)) - 1e-6)
+        keep = pd.Series(ask, index=a.index, dtype=bool)
+        out = pd.Series(np.nan, index=a.index, dtype="float64")
+        if keep.any():
+            out[keep] = ratio.func(a[keep], b[keep]).to_numpy()
+        return out
+
+    return run
+
+
 def ratio_pairs(items: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """(item_id, doc_id, ratio): all pairs of texts whose matching-blocks ratio is at least ``least``.
 
     ``items``, the query set, and ``docs``: (id, text). The matched characters are no more than the shorter text has, nor than the
-    two have in common by class; only pairs that pass both bounds are compared. Pairs meet by ranges of length within which
-    the first bound can hold; texts join them only after the bounds.
+    two have in common by class, nor than their longest common subsequence; only pairs that pass these bounds are compared. Pairs
+    meet by ranges of length within which the first bound can hold; texts join them only after the first two.
     """
     if not 0 < least < 1:
         raise ValueError("the least ratio lies between 0 and 1")
@@ -90,8 +124,9 @@ def ratio_pairs(items: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     common = F.aggregate(F.zip_with("bag_a", "bag_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     pairs = left.join(right, "room").where((F.least("a", "b") >= bound) & (common >= bound)).select("item_id", "doc_id")
     texts = pairs.join(items.select("item_id", F.col("text").alias("i")), "item_id").join(docs.select("doc_id", F.col("text").alias("d")), "doc_id")
-    dealt = texts.repartition(F.col("item_id"), F.col("doc_id"))  # the ratio takes nearly all of the time
-    return dealt.select("item_id", "doc_id", ratio(F.col("i"), F.col("d")).alias("exact")).where(F.col("exact") >= least).select("item_id", "doc_id", rounded(F.col("exact")).alias("ratio"))
+    # the comparison takes nearly all of the time; an item's pairs lie together in each task
+    dealt = texts.repartition(F.col("item_id"), F.col("doc_id")).sortWithinPartitions("item_id")
+    return dealt.select("item_id", "doc_id", ratio_at_least(least)(F.col("i"), F.col("d")).alias("exact")).where(F.col("exact") >= least).select("item_id", "doc_id", rounded(F.col("exact")).alias("ratio"))
 
 
 def dealt_join(left: DataFrame, right: DataFrame, key: str, rows: int = 50_000) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -27,6 +28,29 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all tasks share: spark.checkpoint.dir, or the folder the session has set.
+
+    Only a session within one process, as in tests, gets one of its own where none is set.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = own.get() if own.isDefined() else None
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all tasks share")
+        found = tempfile.mkdtemp(prefix="attesta-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """A table that several later steps read, computed now and kept in the shared folder (a reliable checkpoint: a lost executor loses nothing)."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g", name: str = "attesta") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
