@@ -6,8 +6,10 @@ with their spacing, lists with markers and indentation, and tables with aligned
 
 Visibility: elements that are never displayed, ``hidden``, closed ``details`` but for their summary, ``dialog`` that is
 not open, and ``display: none`` hide all below them; ``visibility: hidden`` hides what below does not say ``visible``.
-Both are read from ``style`` attributes and from rules of ``style`` elements whose selectors are compounds of tag,
-id and classes; rules with combinators or other conditions, and those inside at-rules, are not applied. Form fields
+Both are read from ``style`` attributes and from the style sheets that apply to a screen (no other type or medium, not inside
+``noscript`` or ``template``), there from rules whose selectors are compounds of tag, id and classes. Other rules (combinators,
+attributes, pseudo-classes, nesting, conditional groups) hide nothing; where one of them may show an element, no
+sheet hides that element, since whether it does is not known and text must not be lost. Form fields
 show their value, else their placeholder; lists of choices show what is chosen, or all choices where several show.
 
 Defined results: a null or empty page has empty text; text outside any tag is kept; elements deeper than ``DEEPEST``
@@ -23,6 +25,7 @@ import sys
 from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from unicodedata import east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,11 +40,11 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 NO_VALUE = frozenset("hidden checkbox radio file image range color password".split())
 HIDDEN = frozenset("area audio base canvas datalist embed head iframe link map meta meter noembed noframes noscript object param progress rp script source style template title track video".split())
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp plaintext".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp plaintext listing".split()
 )
-SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp dir fieldset".split())
+SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp dir fieldset listing".split())
 CLOSES_P = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre search section summary table ul xmp".split()
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre search section summary table ul xmp listing".split()
 )
 #: start tag -> (open elements that it ends, elements beyond which it does not look)
 ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
@@ -68,6 +71,14 @@ _NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?\d{1,18})")
 _NO_ATTRS: dict[str, str] = {}
 _CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _COMPOUND = re.compile(r"(?P<tag>\*|[A-Za-z][\w-]*)?(?P<rest>(?:[.#][A-Za-z_-][\w-]*)*)")
+_CSS_SIGN = re.compile(r"""[{};]|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""")
+_LOOSE = re.compile(r"(?P<tag>\*|[A-Za-z][\w-]*)?(?P<rest>(?:[.#](?:[\w-]|\\.|[^\x00-\x7f])+|:[\w-]+)*)")
+_BRACKETS = re.compile(r"\[[^\[\]]*\]|\([^()]*\)")
+_PSEUDO_ELEMENT = re.compile(r"::|:(?:before|after|first-line|first-letter)\b", re.I)
+_HEX_ESCAPE, _ESCAPED = re.compile(r"\\[0-9A-Fa-f]"), re.compile(r"\\(.)")
+_MEDIA_ONLY = re.compile(r"^only\s+")
+OTHER_MEDIA = frozenset("print speech aural braille embossed handheld projection tty tv".split())
+GROUPS = frozenset("supports layer container scope document starting-style -moz-document".split())
 _SAYS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
 
 
@@ -184,56 +195,136 @@ def parse(page: str) -> Node:
     return root
 
 
-def _rules(css: str) -> list[tuple]:
-    """(rank, tag, id, classes, property, value) of a style sheet's rules on display and visibility."""
-    css, out, at, depth, brace = _CSS_COMMENT.sub("", css), [], 0, 0, 0
-    for sign in re.finditer("[{}]", css + "}"):
-        if sign.group() == "{":
+def _medium(query: str) -> bool | None:
+    """Whether a list of media applies to a screen; None where it depends on more than the kind of medium."""
+    found = {_MEDIA_ONLY.sub("", x.strip().lower()) for x in query.split(",")}
+    if found & {"", "all", "screen"}:
+        return True
+    return False if found <= OTHER_MEDIA else None
+
+
+def _outside(text: str, sign: str) -> list[str]:
+    """``text`` cut at ``sign`` outside of brackets."""
+    out, depth, at = [], 0, 0
+    for found in re.finditer(rf"[()\[\]{sign}]", text):
+        if found.group() in "([":
             depth += 1
-            brace = sign.start() if depth == 1 else brace
-            continue
-        depth = max(0, depth - 1)
-        if depth:
-            continue
-        selector, body = css[at:brace].rsplit(";", 1)[-1].strip(), css[brace + 1 : sign.start()]  # statements such as @import end in a semicolon
-        at = sign.end()
-        if brace < sign.start() and "{" in body:
-            continue
-        if selector.startswith("@"):
-            continue
-        for says in _SAYS.finditer(body):
-            for one in selector.split(","):
-                found = _COMPOUND.fullmatch(one.strip())
+        elif found.group() in ")]":
+            depth = max(0, depth - 1)
+        elif not depth:
+            out.append(text[at : found.start()])
+            at = found.end()
+    return [*out, text[at:]]
+
+
+def _subject(selector: str) -> tuple[str, set[str], frozenset[str]] | None:
+    """(tag, ids, classes) that the elements of any selector have at least; None if it selects no element."""
+    if _PSEUDO_ELEMENT.search(selector):
+        return None
+    while selector != (shorter := _BRACKETS.sub("", selector)):
+        selector = shorter
+    parts = [x for x in re.split(r"(?<!\\)[\s>+~&]+", selector) if x]
+    found = _LOOSE.fullmatch(parts[-1]) if parts and not selector.rstrip().endswith("&") else None
+    if not found or _HEX_ESCAPE.search(parts[-1]):
+        return "*", set(), frozenset()
+    names = [_ESCAPED.sub(r"\1", x) for x in re.findall(r"[.#](?:[\w-]|\\.|[^\x00-\x7f])+", found["rest"])]
+    return (found["tag"] or "*").lower(), {x[1:] for x in names if x[0] == "#"}, frozenset(x[1:] for x in names if x[0] == ".")
+
+
+def _rules(css: str, rules: list[tuple], lifts: list[tuple], sure: bool) -> None:
+    """Adds a sheet's rules on display and visibility.
+
+    ``rules``: (rank, tag, ids, classes, property, value) of those that are understood. ``lifts``: (tag, ids, classes, property) of those that may
+    show an element. ``sure``: whether the sheet surely applies.
+    """
+    css = _CSS_COMMENT.sub("", css)
+    groups: list[tuple] = [("group", sure)]  # open blocks: a group of rules, a rule (selector, sure, declarations), or one to skip
+    at = 0
+
+    def end(block: tuple) -> None:
+        if block[0] != "rule":
+            return
+        _, known, selectors, body = block
+        for says in _SAYS.finditer(";".join(body)):
+            what, value = says[1].lower(), says[2].lower()
+            shows = value not in ("none", "hidden", "collapse")
+            for one in _outside(selectors, ","):
+                found = _COMPOUND.fullmatch(one.strip()) if known else None
                 if found and found.group():
                     parts = re.findall(r"[.#][^.#]+", found["rest"])
                     ids, classes = {x[1:] for x in parts if x[0] == "#"}, frozenset(x[1:] for x in parts if x[0] == ".")
                     tag = (found["tag"] or "*").lower()
-                    rank = (bool(says[3]), False, len(ids), len(classes), tag != "*", len(out))
-                    out.append((rank, tag, ids, classes, says[1].lower(), says[2].lower()))
+                    rules.append(((bool(says[3]), False, len(ids), len(classes), tag != "*", len(rules)), tag, ids, classes, what, value))
+                elif shows and (subject := _subject(one)):
+                    lifts.append((*subject, what))
+
+    for sign in _CSS_SIGN.finditer(css):
+        if sign.group() not in "{};":
+            continue
+        text, at = css[at : sign.start()].strip(), sign.end()
+        kind = groups[-1][0]
+        if kind == "rule" and sign.group() != "{":
+            groups[-1][3].append(text)
+        if sign.group() == "{":
+            known = groups[-1][1]
+            if kind == "skip":
+                groups.append(("skip", False))
+            elif text.startswith("@"):
+                name, _, rest = text[1:].partition(" ")
+                name = name.partition("(")[0].lower()
+                if name == "media":
+                    applies = _medium(rest)
+                    groups.append(("skip", False) if applies is False else ("group", known and applies is True and kind == "group"))
+                else:
+                    groups.append(("group", False) if name in GROUPS else ("skip", False))
+            else:
+                groups.append(("rule", known and kind == "group", text, []))
+        elif sign.group() == "}" and len(groups) > 1:
+            end(groups.pop())
+    if groups[-1][0] == "rule":  # the page ends in a rule
+        groups[-1][3].append(css[at:].strip())
+    while groups:
+        end(groups.pop())
+
+
+def _by_key(rules: list[tuple], tag: int) -> dict[str, list[tuple]]:
+    """Rules by an id, else a class, else the tag that their elements have; ``tag``: place of (tag, ids, classes) in a rule."""
+    out: dict[str, list[tuple]] = {}
+    for rule in rules:
+        own, ids, classes = rule[tag : tag + 3]
+        out.setdefault(next((f"#{i}" for i in sorted(ids)), None) or next((f".{c}" for c in sorted(classes)), None) or own, []).append(rule)
     return out
 
 
 def _mark(root: Node) -> None:
     """Sets what each node of a tree says of its own visibility."""
-    nodes, todo, sheets = [], [root], []
+    nodes, todo = [], [(root, False)]
+    rules: list[tuple] = []
+    lifts: list[tuple] = []
     while todo:
-        node = todo.pop()
+        node, inert = todo.pop()
         nodes.append(node)
-        if node.tag == "style":
-            sheets.append("".join(x for x in node.kids if isinstance(x, str)))
-        todo += [x for x in reversed(node.kids) if isinstance(x, Node)]
-    by_key: dict[str, list[tuple]] = {}
-    for rule in _rules("\n".join(sheets)) if sheets else ():
-        by_key.setdefault(next((f"#{i}" for i in rule[2]), None) or next((f".{c}" for c in sorted(rule[3])), None) or rule[1], []).append(rule)
+        inert = inert or node.tag in ("noscript", "template")
+        if node.tag == "style" and not inert and node.attrs.get("type", "").strip().lower() in ("", "text/css"):
+            applies = _medium(node.attrs.get("media", ""))
+            if applies is not False:
+                _rules("".join(x for x in node.kids if isinstance(x, str)), rules, lifts, applies is True)
+        todo += [(x, inert) for x in reversed(node.kids) if isinstance(x, Node)]
+    by_key, lifting = _by_key(rules, 1), _by_key(lifts, 0)
     for node in nodes:
         attrs, said = node.attrs, {}
         node.gone = node.tag in HIDDEN or "hidden" in attrs or node.tag == "dialog" and "open" not in attrs
         if by_key:
             classes, own_id = set(attrs.get("class", "").split()), attrs.get("id")
-            for key in (node.tag, "*", f"#{own_id}", *(f".{c}" for c in classes)):
+            keys = (node.tag, "*", f"#{own_id}", *(f".{c}" for c in classes))
+            for key in keys:
                 for rank, tag, ids, needs, what, value in by_key.get(key, ()):
                     if tag in ("*", node.tag) and ids <= {own_id} and needs <= classes and rank > said.get(what, ((),))[0]:
                         said[what] = (rank, value)
+            if lifting:
+                for what in [k for k, (_, value) in said.items() if value in ("none", "hidden", "collapse")]:
+                    if any(prop == what and tag in ("*", node.tag) and ids <= {own_id} and needs <= classes for key in keys for tag, ids, needs, prop in lifting.get(key, ())):
+                        del said[what]
         if "style" in attrs:
             for k, says in enumerate(_SAYS.finditer(attrs["style"])):
                 rank, what = (bool(says[3]), True, k), says[1].lower()
@@ -410,7 +501,7 @@ def _shown(node: Node, flow: Flow, pre: bool) -> None:
             flow.add(_list(node, flow.seen))
         elif tag == "blockquote" or tag == "dd":
             flow.add(["  " + x if x else "" for x in _inside(node, pre, flow.seen)])
-        elif tag in ("pre", "xmp", "plaintext"):
+        elif tag in ("pre", "listing", "xmp", "plaintext"):
             flow.add(_inside(node, True, flow.seen))
         elif tag == "li":
             flow.add(_item(_inside(node, pre, flow.seen), "- " if flow.seen else ""))
@@ -564,6 +655,11 @@ def _cells(rows: list[tuple[Node, bool]], captions: list[list[str]]) -> list[lis
     return grid
 
 
+def _columns(text: str) -> int:
+    """Columns that a line takes: two for a wide East Asian character."""
+    return len(text) if text.isascii() else len(text) + sum(east_asian_width(c) in "WF" for c in text)
+
+
 def _table(node: Node, seen: bool = True) -> list[str]:
     rows: list[tuple[Node, bool]] = []
     captions: list[list[str]] = []
@@ -575,18 +671,19 @@ def _table(node: Node, seen: bool = True) -> list[str]:
     for cells in place:
         for a, b, lines in cells:
             if b == a + 1:
-                widths[a] = max([widths[a], *map(len, lines)])
+                widths[a] = max([widths[a], *map(_columns, lines)])
     for cells in place:
         for a, b, lines in cells:
             if b > a + 1:
-                widths[b - 1] += max(0, max([0, *map(len, lines)]) - sum(widths[a:b]) - 3 * (b - a - 1))
+                widths[b - 1] += max(0, max([0, *map(_columns, lines)]) - sum(widths[a:b]) - 3 * (b - a - 1))
     out = [x for lines in captions for x in lines]
     for cells in place:
         for y in range(max([0, *(len(lines) for _, _, lines in cells)])):
             line, at = [], 0
             for a, b, lines in cells:
                 line += [" " * widths[k] for k in range(at, a)]
-                line.append((lines[y] if y < len(lines) else "").ljust(sum(widths[a:b]) + 3 * (b - a - 1)))
+                text = lines[y] if y < len(lines) else ""
+                line.append(text + " " * (sum(widths[a:b]) + 3 * (b - a - 1) - _columns(text)))
                 at = b
             out.append(" | ".join(line).rstrip())
     return out

@@ -428,13 +428,30 @@ def test_html_tables_of_spanned_cells(page, text):
         ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
         ("<ol start=12345678><li>a</ol><ol reversed><li>b<li hidden>x<li>c</ol>", "12345678. a\n\n2. b\n1. c"),
         ("<ul>" * 300 + "<li>deep", "  " * 299 + "- deep"),
+        ("<style media=print>p{display:none}</style><p>vis", "vis"),
+        ("<noscript><style>p{display:none}</style></noscript><p>vis", "vis"),
+        ("<template><style>p{display:none}</style></template><p>vis", "vis"),
+        ("<style type='text/x'>p{display:none}</style><p>vis", "vis"),
+        ("<style>p{display:none} @media screen{p{display:block}}</style><p>vis", "vis"),
+        ("<style>p{display:none} div p{display:block}</style><div><p>vis</div>", "vis"),
+        ("<style>.js .x{display:block} .x{display:none}</style><p class=x>vis", "vis"),
+        ("<style media='screen, print'>p{display:none} b{display:none}</style><p>gone<i>vis</i>", ""),
+        ("<style media='(min-width: 9px)'>p{display:none}</style><p>vis", "vis"),
+        ("<style>@media print{p{display:none}} @media all{i{display:none}} @supports (x:y){b{display:inline}} b{display:none}</style><p>a <i>gone</i> <b>vis</b>", "a vis"),
+        (r"<style>.hidden{display:none} @media (min-width:768px){.md\:block{display:block}}</style><p class='hidden md:block'>vis<p class=hidden>gone", "vis"),
+        ("<style>p:not(.y,.z){display:none} q{display:none} q:is(.a, .b){display:block} i{content:'}';display:none}</style><p>a <q>vis</q> <i>gone</i>", "a vis"),
+        ("<style>b{display:none;&.on{display:inline}} i{visibility:hidden} p>i[x]{visibility:visible} u{display:none} u::after{display:block}</style><p>a<b class=on>vis</b><b>gone</b><i>is</i><u>gone</u>", "avisis"),
+        ("<style>@keyframes k{from{display:block} to{display:none}} p{display:none}</style><p>gone", ""),
+        ("<style>p{display:none</style><p>gone", ""),
+        ("<listing> a\n  b</listing>c", " a\n  b\n\nc"),
+        ("<table><tr><td>日本<td>x<tr><td>abcde<td>y</table>", "日本  | x\nabcde | y"),
     ],
 )
 def test_html_visibility_and_odd_markup(page, text):
     assert html_text.visible_text(page).strip() == text.strip()
 
 
-@pytest.mark.parametrize("unit", ["<a ", "<p>x<b>", "<", "<div>a", '<a b="', "<li>x", "<!--", "</", "<td colspan=3>y", "<tr><td rowspan=65534 colspan=1000>x", "<style>a{", "&amp"])
+@pytest.mark.parametrize("unit", ["<a ", "<p>x<b>", "<", "<div>a", '<a b="', "<li>x", "<!--", "</", "<td colspan=3>y", "<tr><td rowspan=65534 colspan=1000>x", "<style>a{", "&amp", "<style>p .x:not(", "<style>@media x{p q,"])
 def test_html_costs_in_proportion_to_the_page(unit):
     page, began = unit * (300_000 // len(unit)), time.process_time()
     html_text.visible_text(page)
