@@ -2,8 +2,8 @@
 
 Both sides keep the smallest hash of every ``window`` consecutive ``k``-word grams, so any span of
 ``k + window - 1`` words that they share has a fingerprint in common. Training fingerprints are joined to the
-test fingerprints, and every hit is extended word by word to the maximal shared span; spans of at least that
-length are exactly the occurrences of test windows. Items shorter than a window are one window of their own
+test fingerprints, and every hit is extended to the windows of that length around it, each compared word by word; those
+that match are exactly the occurrences of test windows. Items shorter than a window are one window of their own
 length and are looked up by the hash of that many words.
 
 The test fingerprints are broadcast in blocks of at most ``TEST_BYTES`` of item text, a checked bound: a
@@ -39,7 +39,7 @@ _KEEP = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in
 _BETWEEN = b"\x00"  # not a word, so no span crosses documents
 _BASE = 0x9E3779B97F4A7C15
 
-SPANS = "doc_id long, text_hash long, n_words long, spans array<struct<first: long, last: long>>, item_ids array<string>"
+SPANS = "doc_id long, text_hash binary, n_words long, spans array<struct<first: long, last: long>>, item_ids array<string>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -81,7 +81,7 @@ class TestIndex:
     def __init__(self, items: list[tuple[str, bytes]], k: int = K, window: int = WINDOW):
         self.k, self.window, self.least = k, window, k + window - 1
         self.ids, self.words = [], []
-        self.long: dict[int, list[tuple[int, int]]] = {}
+        keys, full, places = [], [], []
         self.short: dict[int, dict[int, list[int]]] = {}
         hashes = Hashes()
         for item_id, text in items:
@@ -95,9 +95,15 @@ class TestIndex:
                 self.short.setdefault(len(words), {}).setdefault(int(grams(h, len(words))[0]), []).append(at)
             else:
                 g = grams(h, k)
-                for p in winnow(g, window).tolist():
-                    self.long.setdefault(int(g[p]), []).append((at, p))
-        self.keys = np.array(sorted(self.long), np.uint64)
+                keys.append(np.unique(g[winnow(g, window)]))
+                # every window of 13 words, the first of equal ones of an item
+                own, first = np.unique(grams(h, self.least), return_index=True)
+                full.append(own)
+                places.append(np.stack([np.full(len(own), at), first]).astype(np.int32))
+        self.keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        every, at = (np.concatenate(full), np.concatenate(places, axis=1)) if full else (np.zeros(0, np.uint64), np.zeros((2, 0), np.int32))
+        order = np.argsort(every, kind="stable")
+        self.full, self.places = every[order], at[:, order]
         self.short_keys = {n: np.array(sorted(x), np.uint64) for n, x in self.short.items()}
 
     @staticmethod
@@ -109,24 +115,25 @@ class TestIndex:
         return np.flatnonzero(keys[at] == values)
 
     def spans(self, words: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(first, end, item) of every maximal shared span in a run of words."""
+        """(first, end, item) of every window of an item that occurs in a run of words.
+
+        A window that is shared has a winnowed gram in common, so only those around a hit are looked at: each start once, whatever
+        the number of equal grams on either side.
+        """
         g = grams(hashes, self.k)
         chosen = winnow(g, self.window)
-        done: dict[tuple[int, int], int] = {}
-        for p in chosen[self._found(g[chosen], self.keys)].tolist():
-            for item, q in self.long[int(g[p])]:
-                if done.get((item, p - q), -1) > p:
-                    continue
-                own = self.words[item]
-                a = 0
-                while a < min(p, q) and words[p - a - 1] == own[q - a - 1]:
-                    a += 1
-                b, most = 0, min(len(words) - p, len(own) - q)
-                while b < most and words[p + b] == own[q + b]:
-                    b += 1
-                done[item, p - q] = p + b
-                if a + b >= self.least:
-                    yield p - a, p + b, item
+        hits = chosen[self._found(g[chosen], self.keys)]
+        if len(hits):
+            starts = np.unique((hits[:, None] - np.arange(self.least - self.k + 1)).ravel())
+            starts = starts[(starts >= 0) & (starts <= len(words) - self.least)]
+            asked = grams(hashes, self.least)[starts]
+            low, high = (np.searchsorted(self.full, asked, side) for side in ("left", "right"))
+            for s in np.flatnonzero(high > low).tolist():
+                p = int(starts[s])
+                own = words[p : p + self.least]
+                for item, q in self.places[:, low[s] : high[s]].T.tolist():
+                    if self.words[item][q : q + self.least] == own:
+                        yield p, p + self.least, item
         for n, keys in self.short_keys.items():
             g = grams(hashes, n)
             for p in self._found(g, keys).tolist():
@@ -168,11 +175,15 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
 
 
+def _block_numbers(benchmark: DataFrame, item_id: str, text: str, most: int) -> range:
+    size = _items(benchmark, item_id, text).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return range(max(1, -(-size // most)))
+
+
 def test_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = TEST_BYTES) -> Iterator[TestIndex]:
     """Indexes over all items, each of about ``most`` bytes of text at most (a single larger item apart)."""
     items = _items(benchmark, item_id, text)
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // most))
+    n = len(_block_numbers(benchmark, item_id, text, most))
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
         yield TestIndex(sorted((r["id"], encode(r["text"])) for r in own.collect()))
@@ -185,6 +196,7 @@ def benchmark_spans(
     """One row per input row: doc_id, n_words, spans (word positions, both ends included), item_ids."""
     spark = docs.sparkSession
     passes = []
+    apart = keep_hash or len(_block_numbers(benchmark, item_id, item_text, test_bytes)) > 1
     for index in test_blocks(benchmark, item_id, item_text, test_bytes):
         sent = spark.sparkContext.broadcast(index)
 
@@ -203,7 +215,8 @@ def benchmark_spans(
                         ["doc_id", "text_hash", "n_words", "spans", "item_ids"],
                     )
 
-        rows = small_batches(docs, doc_id, text).withColumn("text_hash", F.xxhash64("text"))
+        # the digest tells texts apart where passes are merged or rows are dropped by it
+        rows = small_batches(docs, doc_id, text).withColumn("text_hash", F.unhex(F.sha2("text", 256)) if apart else F.lit(None).cast("binary"))
         passes.append(rows.mapInArrow(lean(run), SPANS))
     if len(passes) == 1:
         return passes[0] if keep_hash else passes[0].drop("text_hash")
@@ -244,8 +257,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     blocks = list(islice(test_blocks(benchmark, item_id, item_text, test_bytes), 2))
     if len(blocks) > 1:
         judged = contamination(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")).distinct(), benchmark, item_id=item_id, item_text=item_text, test_bytes=test_bytes, keep_hash=True)
-        bad = judged.where("contaminated").select(F.col("text_hash").alias("__bad")).distinct()
-        return docs.join(bad, F.xxhash64(docs[text].cast("string")) == bad["__bad"], "left_anti")
+        bad = judged.where("contaminated").select(F.col("text_hash").alias("bad_text")).distinct()
+        return docs.join(bad, F.unhex(F.sha2(docs[text].cast("string"), 256)) == bad["bad_text"], "left_anti")
     at, sent = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(blocks[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

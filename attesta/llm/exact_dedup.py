@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import ascii_lower, persist
+from attesta.llm.common import ascii_lower, fresh, persist
 
 #: Digests proposed by the sketch, and counters it keeps.
 HEAVY, COUNTERS = 128, 8192
@@ -42,7 +42,8 @@ def mark_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat the kept doc_id and text, one."""
-    kept = mark_exact_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__keep"), F.unhex("text_sha256").alias("__digest")).distinct()
-    digest = F.unhex(F.sha2(ascii_lower(F.coalesce(docs[text], F.lit(""))), 256))
-    joined = docs.join(kept, docs[doc_id].eqNullSafe(kept["__keep"]) & (digest == kept["__digest"]), "inner")
-    return joined.dropDuplicates(["__keep", "__digest"]).drop("__keep", "__digest")
+    keep, digest = fresh(docs, "__keep", "__digest")
+    kept = mark_exact_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias(keep), F.unhex("text_sha256").alias(digest)).distinct()
+    own = F.unhex(F.sha2(ascii_lower(F.coalesce(docs[text], F.lit(""))), 256))
+    joined = docs.join(kept, docs[doc_id].eqNullSafe(kept[keep]) & (own == kept[digest]), "inner")
+    return joined.dropDuplicates([keep, digest]).drop(keep, digest)

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import grouped, persist, running_total, word_count
+from attesta.llm.common import fresh, grouped, persist, running_total, word_count
 
 #: Times a document may be taken; documents of one bucket of the prefix sum; seed of the order.
 MOST_EPOCHS, BUCKET_DOCS, SEED = 3, 500, 20240607
@@ -165,14 +165,15 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """The rows of ``docs`` as often as the mix takes them, with all their columns.
 
     Copies are found by doc_id; rows that repeat a doc_id share their number of copies evenly, rounded down, the
-    rest going to the first of them by text.
+    rest going to the first of them by text. Columns may have any names.
     """
-    copies = mix_sources(docs, doc_id, text, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    own, count, rows, times, copy = fresh(docs, "__id", "__copies", "__rows", "__times", "__copy")
+    copies = mix_sources(docs, doc_id, text, **options).groupBy(F.col("doc_id").alias(own)).agg(F.sum("copies").alias(count), F.count(F.lit(1)).alias(rows))
     copies = persist(grouped(copies, docs))
-    taken = docs.join(copies.where("__copies > 0"), docs[doc_id].eqNullSafe(F.col("__id")), "inner")
-    once = taken.where("__rows = 1").withColumn("__times", F.col("__copies"))
-    place = F.row_number().over(Window.partitionBy("__id").orderBy(text))
-    more = taken.where("__rows > 1").withColumn("__times", F.floor(F.col("__copies") / F.col("__rows")) + F.when(place <= F.col("__copies") % F.col("__rows"), 1).otherwise(0))
-    every = once.unionByName(more) if copies.where("__rows > 1").limit(1).count() else once
-    spread = every.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    taken = docs.join(copies.where(F.col(count) > 0), docs[doc_id].eqNullSafe(F.col(own)), "inner")
+    once = taken.where(F.col(rows) == 1).withColumn(times, F.col(count))
+    place = F.row_number().over(Window.partitionBy(own).orderBy(text))
+    more = taken.where(F.col(rows) > 1).withColumn(times, F.floor(F.col(count) / F.col(rows)) + F.when(place <= F.col(count) % F.col(rows), 1).otherwise(0))
+    every = once.unionByName(more) if copies.where(F.col(rows) > 1).limit(1).count() else once
+    spread = every.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
     return grouped(spread.select(*[spread[c] for c in docs.columns]), docs)

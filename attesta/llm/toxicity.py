@@ -7,12 +7,11 @@ training texts: log-odds of a word's (and of 4 to 6 leading letters') rate in to
 of training texts use a lexicon learnt from the other folds, so trees do not trust it too much, and calibration uses
 held-out margins of the same folds.
 
-Learning reads at most ``TRAIN_DOCS`` labelled texts, those with the smallest hash of doc_id, and keeps at most
-``TERMS`` lexicon terms, those most in excess of their chance count in toxic texts (in standard deviations); every
-document is scored, over its whole text.
+Learning reads at most ``TRAIN_DOCS`` labelled texts, those with the smallest hash of doc_id, one row each, and takes every term
+that stands four times at least in toxic ones; every document is scored, over its whole text.
 
 Defined results: a null or empty text has all features zero and the score of such a text; labels that are null are
-left out, of labels that repeat a doc_id the largest counts; without labels of both kinds the score is the share of
+left out, of labels that repeat a doc_id the largest counts, of texts that repeat one the least; without labels of both kinds the score is the share of
 toxic labels (0 without labels); a null doc_id counts as the empty text in the held-out rule; other columns are ignored.
 """
 
@@ -33,8 +32,8 @@ from pyspark.sql import functions as F
 from attesta.llm.boosting import BoostedTrees, Isotonic
 from attesta.llm.common import bounded, crc_mod, encode, grouped, lean, persist, slices, small_batches, texts_of
 
-#: Labelled texts that learning reads; lexicon terms; folds; rows of the held-out rule; alarm threshold.
-TRAIN_DOCS, TERMS, FOLDS, HELD_OUT, ALARM = 20_000, 20_000, 4, (4, 2), 0.3
+#: Labelled texts that learning reads; folds; rows of the held-out rule; alarm threshold.
+TRAIN_DOCS, FOLDS, HELD_OUT, ALARM = 20_000, 4, (4, 2), 0.3
 #: Distinct tokens that a task counts at once.
 HELD = 300_000
 #: Second-person pronouns (English, French, German, Spanish).
@@ -255,17 +254,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .limit(most)
     )
     texts = small_batches(docs, doc_id, text).where(F.col("doc_id").isNotNull())
-    sample = persist(texts.join(F.broadcast(known), "doc_id"))  # at most ``most`` rows are broadcast
+    # at most ``most`` rows are broadcast; of rows that repeat a doc_id the least text counts
+    sample = persist(texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic")))
     counted = sample.mapInArrow(lean(_count_terms), "term string, fold int, toxic int, times long").groupBy("term", "fold", "toxic").agg(F.sum("times").alias("times"))
     ranked = counted.groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("times")).otherwise(0)).alias("t"),
         F.sum("times").alias("n"),
         F.collect_list(F.struct("fold", "toxic", "times")).alias("cells"),  # at most FOLDS x 2
     )
-    every = F.broadcast(ranked.where("term = ''").select((F.col("t") / F.col("n")).alias("share")))  # one row: the share of toxic texts' words
-    evidence = (F.col("t") - F.col("n") * F.col("share")) / F.sqrt(F.col("n") * F.col("share") + 1)
-    best = ranked.where("t >= 4 or term = ''").crossJoin(every)
-    chosen = best.orderBy(F.expr("case when term = '' then 0 else 1 end"), F.desc(evidence), F.desc("t"), "term").limit(TERMS)
+    chosen = ranked.where("t >= 4 or term = ''").select("term", "cells").orderBy("term")  # bounded by the labelled texts, of which there are at most ``most``
     counts = [(r["term"], c["fold"], c["toxic"], c["times"]) for r in chosen.collect() for c in r["cells"]]
     lexicons = [Lexicon(learn_weights(counts, fold)) for fold in range(FOLDS)]
 

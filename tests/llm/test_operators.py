@@ -519,5 +519,59 @@ def test_null_ids_and_repeated_rows(spark, operator):
 
 
 def test_queries_are_registered():
-    assert sorted({n.split("_")[0] for n in queries.queries()}, key=lambda x: int(x[2:])) == [f"op{k}" for k in range(1, 11)]
+    assert sorted({n.split("_")[0] for n in queries.queries()}, key=lambda x: int(x[2:])) == [f"op{k}" for k in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_equal_words_are_judged_in_linear_time():
+    index = decontamination.TestIndex([("a", b"word " * 5000), ("b", b"x y " * 40)])
+    began = time.process_time()
+    (n, spans, ids), (_, other, both) = decontamination.judge([b"word " * 20_000, b"y " + b"x y " * 30 + b"z " + b"word " * 13], index, common.Hashes())
+    assert (n, spans, ids) == (20_000, [(0, 20_000)], ["a"]) and (other, both) == ([(0, 61), (62, 75)], ["a", "b"])
+    assert time.process_time() - began < 3
+
+
+def test_columns_with_names_of_internals_stay(spark):
+    names = "__id __copies __rows __times __copy __node __n __keep __digest __bad text_hash node kept_node row bad_text".split()
+    rows = corpus()[:30]
+    df = spark.createDataFrame([(i, t, "s", *range(100, 100 + len(names))) for i, t in rows if i is not None], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    bench = spark.createDataFrame([(1, "nowhere to be found")], "item_id long, text string")
+    from attesta.llm import near_copies
+
+    for made in (mixing.repeated(df), near_copies.drop_near_duplicates(df), exact_dedup.drop_exact_duplicates(df), decontamination.drop_contaminated(df, bench), decontamination.drop_contaminated(df, bench, test_bytes=3)):
+        assert made.columns == df.columns
+        got = made.collect()
+        assert got and all(tuple(r)[3:] == tuple(range(100, 100 + len(names))) for r in got)
+
+
+def test_toxicity_learns_once_from_a_repeated_id(spark):
+    rows = [(i, f"you {'vile wretch' if i % 2 else 'kind friend'} number{i} " * 3) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    once = toxicity.train(frame(spark, rows), labels)
+    again = toxicity.train(frame(spark, rows + [rows[1]] * 50 + [rows[2]] * 50), labels)
+    texts = [t.encode() for _, t in rows] + [b"", b"you vile"]
+    assert np.array_equal(once.scores(texts), again.scores(texts))
+
+
+def test_toxicity_features_and_calibration_against_plain_counts(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["you", "vile", "WRETCH!", "kind", "tea", "v1le", "v i l e", "house?", "soooo", "dich"]) for _ in range(rng.randrange(30)))) for i in range(200)]
+    lexicon = toxicity.Lexicon({"vile": 3.0, "wretch": 2.5, "wret*": 1.5, "kind": 1.0})
+    for (_, text), got in zip(rows, toxicity.features([t.encode() for _, t in rows], lexicon), strict=True):
+        tokens = text.split()
+        words = [re.sub(r"(.)\1\1+", r"\1\1", t.strip(toxicity._EDGES).lower().replace("1", "i")) for t in tokens]
+        n = max(len(tokens), 1)
+        spelt = len(re.findall(r"(?:(?<=\s)|^)v i l e(?=\s|$)", text))  # runs of single letters that are whole words of the lexicon
+        runs = re.findall(r"(?:(?<=\s)|^)(?:\w )*\w(?=\s|$)", text)
+        spelt = sum("".join(r.split()) == "vile" for r in runs)
+        hits = sum(w in ("vile", "wretch") for w in words) + spelt
+        assert got[0] == pytest.approx(np.log1p(len(tokens))) and got[1] == pytest.approx(hits / n), text
+        assert got[4] == pytest.approx(sum(w.startswith("wret") and len(w) > 4 for w in words) / n)
+        assert got[16] == pytest.approx(sum(t == "v1le" for t in tokens) / n) and got[19] == pytest.approx(sum(w in ("you", "dich") for w in words) / n)
+        assert got[14] == pytest.approx(text.count("!") / n) and got[15] == pytest.approx(text.count("?") / n)
+    margins, y = np.array([rng.random() for _ in range(200)]), np.array([float(rng.random() < 0.4) for _ in range(200)])
+    order = np.argsort(margins, kind="stable")
+    curve = Isotonic().fit(margins, y)(margins)[order]
+    # pooled adjacent violators: the greatest lower and least upper averages meet
+    best = [max(min(y[order][a : b + 1].mean() for b in range(k, 200)) for a in range(k + 1)) for k in range(200)]
+    assert np.all(np.diff(curve) >= -1e-12) and np.abs(curve - np.array(best)).max() < 0.2
