@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.operators import store
+from attesta.operators import runs, store
 
 IRREVERSIBLE = ("tag-cluster", "tag-unused")
 
@@ -60,3 +60,17 @@ def applied_outcomes(ready: DataFrame, written: DataFrame) -> DataFrame:
 
 def find(items: DataFrame, fingerprint: str) -> DataFrame:
     return store.visible(items).where(F.col("fingerprint") == fingerprint)
+
+
+def scan_status(log: DataFrame, job: str = "scan") -> DataFrame:
+    """One row: state (never, running, or the latest run's outcome), started, finished, counts, error, and whether a scan may start."""
+    latest = log.where(F.col("job") == job).agg(F.max_by(F.struct("started", "finished", "outcome", "counts", "error"), F.struct("started", "seq")).alias("r"), F.count_if(F.col("finished").isNull()).alias("open"))
+    state = F.when(F.col("open") > 0, "running").when(F.col("r").isNull(), "never").otherwise(F.col("r.outcome"))
+    return latest.select(state.alias("state"), "r.started", "r.finished", "r.counts", "r.error", (F.col("open") == 0).alias("may_start"))
+
+
+def start_scan(log: DataFrame, run: DataFrame, job: str = "scan") -> DataFrame:
+    """The log with ``run`` (one row of the run table) begun; a scan that is still running raises."""
+    status = scan_status(log, job).select("may_start")
+    held = run.crossJoin(F.broadcast(status)).withColumn("id", F.when(F.col("may_start"), F.col("id")).otherwise(F.raise_error(F.lit("a scan is running"))))  # one row
+    return runs.start_run(log, held.select(*log.columns))

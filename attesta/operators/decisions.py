@@ -50,10 +50,10 @@ def decide(candidates: DataFrame, subject: str = "subject", threshold: float = T
 
 
 def runners_up(candidates: DataFrame, decisions: DataFrame, subject: str = "subject", most: int = 3) -> DataFrame:
-    """The best losers of each decided subject, by falling value, then title."""
+    """The best losers of each decided subject, by falling value, then title; each with its own ``url`` if candidates have one."""
     losers = candidates.join(decisions.where("outcome = 'chosen'").select(subject, F.col("idx").alias("won")), subject).where("idx <> won").drop("won")
     rank = F.row_number().over(Window.partitionBy(subject).orderBy(F.desc("value"), "title", "idx"))
-    return losers.withColumn("place", rank).where(F.col("place") <= most).select(subject, "idx", "value", "title", "place")
+    return losers.withColumn("place", rank).where(F.col("place") <= most).select(subject, "idx", "value", "title", "place", *(["url"] if "url" in candidates.columns else []))
 
 
 def choose_winner(winners: DataFrame, subject: str = "subject", normal=normalize) -> DataFrame:

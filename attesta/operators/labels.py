@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.text import filled, normalize
+from attesta.session import written_once
 
 
 def key_of(name: Column, normal=normalize) -> Column:
@@ -53,6 +54,21 @@ def description_index(rows: DataFrame, normal=normalize) -> DataFrame:
     return grouped.select("key", F.when(F.col("n") == 1, F.col("description")).alias("description"), (F.col("n") > 1).alias("ambiguous"))
 
 
+def source_indexes(listings: DataFrame, errors: DataFrame, normal=normalize) -> tuple[DataFrame, DataFrame]:
+    """(indexes, unread): description indexes of the sources whose listings were read, and one row with how many were not.
+
+    ``listings``: (source, ord, name, aliases, description); ``errors``: (source, error) of sources whose read failed or ended early. A
+    source with an error is left out as a whole: half a listing can't show that a text is the only one.
+    """
+    bad = errors.where("error is not null").select("source").distinct()
+    usable = listings.join(bad, "source", "left_anti").where(has_description(F.col("description")))
+    names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    keyed = usable.select("source", "ord", F.explode(names).alias("name"), F.trim("description").alias("description")).withColumn("key", key_of(F.col("name"), normal)).where("key <> ''")
+    grouped = keyed.groupBy("source", "ord", "key").agg(F.min("description").alias("description"), F.count_distinct("description").alias("n"))
+    indexes = grouped.select("key", F.when(F.col("n") == 1, F.col("description")).alias("description"), (F.col("n") > 1).alias("ambiguous"), "source", "ord")
+    return indexes, bad.agg(F.count(F.lit(1)).alias("unread"))
+
+
 def find_descriptions(labels: DataFrame, indexes: DataFrame, normal=normalize) -> DataFrame:
     """The first source, by ordinal, whose index holds a label's key: (id, description, source).
 
@@ -117,9 +133,9 @@ def hygiene(labels: DataFrame, sourced: DataFrame, clustered: DataFrame, reconci
 def label_pass(labels: DataFrame, people: DataFrame, indexes: DataFrame, muted: DataFrame, proposed: DataFrame, unread: int = 0, normal=normalize) -> dict[str, DataFrame]:
     """The four passes over one read of labels: merge, describe, reconcile, hygiene; later ones skip ids of earlier ones.
 
-    ``labels`` is cached for them (memory, then disk); the caller may unpersist it once the passes are written.
+    ``labels`` is written once for them.
     """
-    labels = labels.persist()
+    labels = written_once(labels)
     clusters = cluster_labels(labels, normal)
     in_cluster = clusters.select(F.explode("members.id").alias("id"))
     bare = labels.where(~has_description(F.col("description"))).join(in_cluster, "id", "left_anti")

@@ -156,6 +156,27 @@ def assess(texts: pd.Series) -> pd.DataFrame:
 
 def description_outcomes(rows: DataFrame, text: str = "description") -> DataFrame:
     """Rows with faults, cleaned, reason and outcome: clean, proposed or refused."""
-    found = rows.withColumn("__c", assess(F.col(text)))
+    # only texts with a fault go to Python; the rest are told in the JVM
+    found = rows.withColumn("__c", assess(F.when(F.size(faults(filled(F.col(text)))) > 0, F.col(text))))
     outcome = F.when(F.col("__c.faults").isNull(), "clean").when(F.col("__c.cleaned").isNull(), "refused").otherwise("proposed")
     return found.select(*rows.columns, "__c.faults", "__c.cleaned", "__c.reason", outcome.alias("outcome"))
+
+
+def enrichment_pass(people: DataFrame, offers: DataFrame, errors: DataFrame, limit: int | None = None) -> dict[str, DataFrame]:
+    """What a pass proposes: ``fields`` (id, fields) to fill, ``conflicts`` (id, field, conflict), ``errors`` (id, error), ``tally`` (outcome, n).
+
+    ``people``: (id, missing fields); ``offers``: (id, field, ord, source, value) of what sources say; ``errors``: (id, error) of
+    requests that failed. A person with a failed request proposes nothing, as what is not known there might conflict; the others go on.
+    Only missing fields are offered, and a budget of ``limit`` people is spent by id.
+    """
+    chosen = people.where(F.size("missing") > 0) if limit is None else enrichment_budget(people, limit)
+    chosen = chosen.select("id", "missing")
+    failed = errors.join(chosen.select("id"), "id").groupBy("id").agg(F.min("error").alias("error"))
+    open_ = chosen.join(failed.select("id"), "id", "left_anti")
+    wanted = offers.join(open_, "id").where(F.array_contains("missing", F.col("field"))).drop("missing")
+    merged = merge_offers(wanted)
+    fields = fields_map(merged)
+    outcome = F.when(F.col("error").isNotNull(), "error").when(F.col("fields").isNotNull(), "proposed").when(F.col("clash"), "conflict").otherwise("nothing found")
+    clash = merged.where("not agreed").select("id").distinct().withColumn("clash", F.lit(True))
+    told = chosen.select("id").join(failed, "id", "left").join(fields, "id", "left").join(clash, "id", "left").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return {"fields": fields, "conflicts": merged.where("not agreed").select("id", "field", "conflict"), "errors": failed, "tally": told}

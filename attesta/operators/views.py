@@ -38,6 +38,13 @@ def carries_cover(match: Column) -> Column:
     return filled(match["image"]) != ""
 
 
+def runner_up_view(losers: DataFrame, subject: str = "subject") -> DataFrame:
+    """(subject, runners_up): what the "also considered" column shows of decisions.runners_up, the best first, each with its own address."""
+    shown = F.struct("place", "title", F.col("value").alias("score"), "url")
+    every = F.array_sort(F.collect_list(shown))
+    return losers.groupBy(subject).agg(F.transform(every, lambda x: x.dropFields("place")).alias("runners_up"))
+
+
 def rows_of(items: DataFrame, subject_type: str, base_url: str | None = None) -> DataFrame:
     """Display rows of one subject type, its payload decoded."""
     rows = items.where(F.col("subject_type") == subject_type).withColumn("p", F.from_json("payload", PAYLOADS[subject_type]))

@@ -9,6 +9,7 @@ from attesta.operators import labels, profiles
 from attesta.plans import views
 from attesta.plans.registry import key_sql, query, table
 from attesta.plans.views import CLUSTERS, PEOPLE, SURFACES
+from attesta.session import written_once
 
 
 @query(f"WITH {CLUSTERS} SELECT key, n, array_to_string(names, '|') AS names, canonical, undecided FROM decided")
@@ -61,7 +62,7 @@ _BOTH = f"""{_INDEX}, {SURFACES}, widx AS (SELECT {key_sql("name")} AS key, min(
 
 @query(f"WITH {_BOTH} SELECT s.id, f.description, f.source FROM surfaces s JOIN firsts f ON f.key = {key_sql('s.name')}")
 def describe_first(spark, sf_dir):
-    words = views.surfaces(spark, sf_dir).persist()  # read once for all branches
+    words = written_once(views.surfaces(spark, sf_dir))  # read once for all branches
     return labels.find_descriptions(words, _indexes(spark, sf_dir, words))
 
 
@@ -79,7 +80,7 @@ _HYGIENE = f"""{_BOTH}, ks AS (SELECT *, {key_sql("name")} AS key FROM surfaces)
 
 @query(f"WITH {_HYGIENE} SELECT reason, count(*) AS n FROM judged GROUP BY 1")
 def hygiene_counts(spark, sf_dir):
-    words = views.surfaces(spark, sf_dir).persist()  # read once for all branches
+    words = written_once(views.surfaces(spark, sf_dir))  # read once for all branches
     starts = lambda letter: words.where(F.substring("id", 1, 1) == letter).select("id")
     clustered = labels.cluster_labels(words).select(F.explode("members.id").alias("id"))
     sourced = labels.find_descriptions(words, _indexes(spark, sf_dir, words)).select("id")
