@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from attesta.plans import detail_queries, label_queries, linkage_queries, outgoing_queries, store_queries, text_queries  # noqa: F401
+from attesta.plans import detail_queries, label_queries, linkage_queries, outgoing_queries, pass_queries, store_queries, text_queries  # noqa: F401
 from attesta.plans.registry import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
