@@ -340,3 +340,37 @@ def creators(spark, sf_dir):
     return attribution.resolved_creators(attribution.resolve(rows, spark.createDataFrame([], "key string, full string")))
 
 
+
+
+@query(
+    """WITH lines AS (SELECT l_orderkey, max(l_linestatus) AS seen FROM lineitem GROUP BY 1)
+        SELECT o_orderkey AS id, CASE WHEN seen IS DISTINCT FROM o_orderstatus THEN o_orderstatus ELSE o_orderpriority END AS new, o_orderstatus AS prior,
+               CASE WHEN seen IS DISTINCT FROM o_orderstatus THEN 'changed meanwhile' END AS refused
+        FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey"""
+)
+def observed_changes(spark, sf_dir):
+    """Orders whose status is still the one that their lines say get another value; the others are refused."""
+    orders = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linestatus").alias("expected"))
+    wanted = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("value"), "expected")
+    return changes.compare_and_set(orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), wanted, "status")
+
+
+@query("SELECT l_suppkey AS id, min(year(l_shipdate)) || '-' || CASE WHEN max(l_linestatus) = 'F' THEN CAST(max(year(l_shipdate)) AS VARCHAR) ELSE '' END AS career FROM lineitem GROUP BY 1")
+def shipping_careers(spark, sf_dir):
+    """Suppliers' first and last years, open where a line is."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.min(F.year("l_shipdate")).alias("first"), F.max(F.year("l_shipdate")).alias("last"), F.max("l_linestatus").alias("status"))
+    return rows.select("id", changes.career_length(F.col("first"), F.when(F.col("status") == "F", F.col("last"))).alias("career"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT l_orderkey, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS place, CASE WHEN l_discount > 0.05 THEN l_linestatus ELSE '' END AS what FROM lineitem),
+        t AS (SELECT *, place || CASE WHEN place <> '' AND what <> '' THEN ': ' ELSE '' END || what AS told FROM d)
+        SELECT l_orderkey AS id, string_agg(told, '; ' ORDER BY place, what) FILTER (WHERE told <> '') AS told FROM t GROUP BY 1"""
+)
+def told_lines(spark, sf_dir):
+    """Distinct flags and states of an order's lines as places and descriptions, either of which may be missing."""
+    place = F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag"))
+    what = F.when(F.col("l_discount") > 0.05, F.col("l_linestatus")).otherwise("")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.struct(place.alias("location"), what.alias("description")))).alias("items"))
+    return rows.select("id", changes.joined_modifications(F.col("items")).alias("told"))
