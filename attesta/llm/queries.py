@@ -104,6 +104,48 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
             FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+        "op11_conversation_repair": r"""
+            WITH RECURSIVE crc AS (
+                SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+            dealt AS (
+                SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                       xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS fate
+                FROM conversations, crc),
+            damaged AS (
+                SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                       unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM dealt),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+            judged AS (
+                SELECT *, substr(role, 1, 1) AS initial, substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) || substr(role, 1, 1) AS pair,
+                       CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                            WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+            facts AS (
+                SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                       count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id),
+            ins(q, q1, k, said) AS (
+                VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 1, chr(10) || 'user:'), (1, 2, 1, chr(10) || 'user:'), (3, 2, 1, chr(10) || 'user:'), (2, 3, 1, chr(10) || 'assistant:'),
+                       (0, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'), (3, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 2, chr(10) || 'assistant:' || chr(10) || 'user:')),
+            ops(q1, q2, edit, price, initial, as_role) AS (
+                VALUES (0, 0, 'D', 4, '', ''), (1, 1, 'D', 4, '', ''), (2, 2, 'D', 4, '', ''), (3, 3, 'D', 4, '', ''), (0, 1, 'K', 0, 's', ''), (0, 2, 'K', 0, 'u', ''), (1, 2, 'K', 0, 'u', ''), (3, 2, 'K', 0, 'u', ''), (2, 3, 'K', 0, 'a', ''),
+                       (0, 2, 'R', 3, '', 'user'), (1, 2, 'R', 3, '', 'user'), (3, 2, 'R', 3, '', 'user'), (2, 3, 'R', 3, '', 'assistant')),
+            best(conv_id, i, q, cost, audit, lines) AS (
+                SELECT conv_id, 0::BIGINT, 0, 0, '', '' FROM (SELECT DISTINCT conv_id FROM conversations)
+                UNION ALL
+                SELECT conv_id, i, q, cost, audit, lines FROM (
+                    SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) AS place FROM (
+                        SELECT b.conv_id, j.i, o.q2 AS q, b.cost + 3 * s.k + o.price + CASE WHEN j.fault = 'truncated' AND o.edit <> 'D' THEN 3 ELSE 0 END AS cost,
+                               b.audit || repeat('I', s.k) || o.edit AS audit,
+                               b.lines || s.said || CASE o.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || j.role || ':' || j.text ELSE chr(10) || o.as_role || ':' || j.text END AS lines
+                        FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.i = b.i + 1 JOIN ins s ON s.q = b.q JOIN ops o ON o.q1 = s.q1
+                        WHERE (o.edit = 'D' OR j.fault NOT IN ('blank', 'duplicate')) AND (o.edit <> 'K' OR o.initial = j.initial))) WHERE place = 1),
+            ended AS (
+                SELECT b.conv_id, b.cost + 3 * s.k AS cost, b.audit || repeat('I', s.k) AS audit, substr(b.lines || s.said, 2) AS lines,
+                       row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + 3 * s.k, b.audit || repeat('I', s.k)) AS place
+                FROM best b JOIN ins s ON s.q = b.q AND s.q1 IN (0, 3) LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM b.conv_id WHERE b.i = coalesce(f.n, 0))
+            SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+                   CAST(cost AS BIGINT) AS cost, audit, sha256(lines) AS repaired_sha256
+            FROM ended e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id WHERE place = 1""",
         "op13_source_divergence": r"""
             WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
             t AS (

@@ -7,9 +7,12 @@ import random
 import re
 from zlib import crc32
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from attesta.llm import conversations
+from attesta.llm import conversations, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string, copies string, part int"
 STEPS = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
@@ -139,6 +142,15 @@ def test_one_conversation_over_many_tasks_and_hot_rows(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_statement(spark, tmp_path):
+    rows = conversations_(11, 80, 14)
+    pq.write_table(pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())))}), tmp_path / "conversations.parquet")
+    got = sorted((tuple(r) for r in queries.op11_conversation_repair(spark, str(tmp_path)).collect()), key=str)
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+        assert got == sorted(c.execute(queries.oracle_sql()["op11_conversation_repair"]).fetchall(), key=str)
+
+
 def test_dropped_empty_and_missing(spark):
     gone = next(c for c in range(10_000) if crc32(f"{c}:0".encode()) % 20 == 0)
     assert repaired(frame(spark, [(gone, 0, "user", "a.")])) == [(gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest(), "")]
