@@ -232,9 +232,11 @@ def ratio_similarity(spark, sf_dir):
 
 @query()
 def close_texts(spark, sf_dir):
-    """All documents whose matching-blocks ratio to a benchmark item is 0.7 or more, whatever words they share."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", normalize(F.col("text")).alias("text"))
-    return matching.ratio_pairs(items, table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("text")), 0.7)
+    """All titles, and benchmark items, whose matching-blocks ratio to a part's name and brand is 0.7 or more, whatever words they share."""
+    part = table(spark, sf_dir, "part")
+    items = part.select(normalize(F.concat_ws(" ", "p_name", "p_brand")).alias("text")).distinct().select(F.xxhash64("text").alias("item_id"), "text")
+    titles = part.select(normalize(F.concat_ws(" ", "p_name", "p_type")).alias("text")).union(table(spark, sf_dir, "benchmark").select(normalize(F.col("text")).alias("text"))).distinct()
+    return matching.ratio_pairs(items, titles.select(F.xxhash64("text").alias("doc_id"), "text"), 0.7)
 
 
 @query()
