@@ -171,7 +171,7 @@ def _label_pass(spark, sf_dir):
 
 # Evidence of a match
 
-_NAMED = """named AS (SELECT p_partkey, p_brand, p_type, p_name, p_brand || ' - ' || p_name || CASE WHEN p_size % 2 = 1 THEN '.rev' || (p_size % 9 + 1) ELSE '' END AS stem, p_brand || ' - ' || p_name AS bare FROM part)"""
+_NAMED = """named AS (SELECT p_partkey, p_brand, p_size, p_type, p_name, p_brand || ' - ' || p_name || CASE WHEN p_size % 2 = 1 THEN '.rev' || (p_size % 9 + 1) ELSE '' END AS stem, p_brand || ' - ' || p_name AS bare FROM part)"""
 
 
 def _named(spark, sf_dir):
@@ -198,15 +198,15 @@ def match_evidence(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_NAMED}, {_WORDS}, titles AS (SELECT DISTINCT p_brand AS brand, p_type || ' ' || p_name AS title, {tokens_sql("p_type || ' ' || p_name")} AS t FROM part)
+    f"""WITH {_NAMED}, {_WORDS}, titles AS (SELECT DISTINCT p_brand AS brand, p_size AS size, p_type || ' ' || p_name AS title, {tokens_sql("p_type || ' ' || p_name")} AS t FROM part)
         SELECT p_partkey, title, len(narrow) >= 2 AND len(list_filter(wide, lambda x: NOT list_contains(t, x))) = 0 AS contained, CAST(len(narrow) AS BIGINT) AS telling
-        FROM sets JOIN titles ON brand = p_brand"""
+        FROM sets JOIN titles ON brand = p_brand AND size = p_size"""
 )
 def match_flags(spark, sf_dir):
-    """Which candidate titles of a brand hold all evidence of a file: the part of a score that decides without a ratio."""
+    """Which candidate titles of a brand and size hold all evidence of a file: the part of a score that decides without a ratio."""
     rows = _named(spark, sf_dir)
-    titles = rows.select("p_brand", F.concat("p_type", F.lit(" "), "p_name").alias("title")).distinct()
-    scored = similarity.with_match_score(rows.join(titles, "p_brand"), "file", "p_type", "title", "p_brand")
+    titles = rows.select("p_brand", "p_size", F.concat("p_type", F.lit(" "), "p_name").alias("title")).distinct()
+    scored = similarity.with_match_score(rows.join(titles, ["p_brand", "p_size"]), "file", "p_type", "title", "p_brand")
     return scored.select("p_partkey", "title", "m.contained", F.col("m.meaningful_count").cast("long").alias("telling"))
 
 
