@@ -106,18 +106,17 @@ def unmute_items(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ITEMS} SELECT fingerprint, CASE WHEN right(fingerprint, 1) = '7' THEN 'gone' WHEN right(fingerprint, 1) = '5' AND state <> 'applied' THEN 'superseded'
+    f"""WITH {ITEMS} SELECT fingerprint, CASE WHEN right(subject_id, 1) = '7' THEN 'gone' WHEN right(fingerprint, 1) = '5' AND state <> 'applied' THEN 'superseded'
         WHEN right(fingerprint, 1) = '2' AND state <> 'applied' THEN 'dismissed' WHEN state = 'dismissed' THEN 'new' ELSE state END AS state
-        FROM items WHERE subject_type = 'scene'"""
+        FROM items"""
 )
 def state_moves(spark, sf_dir):
-    items = views.items(spark, sf_dir).where("subject_type = 'scene'")
-    ending = lambda d: items.where(F.substring("fingerprint", -1, 1) == d)
+    items = views.items(spark, sf_dir)
+    ending = lambda d, c="fingerprint": items.where(F.substring(c, -1, 1) == d)
     now = F.current_timestamp()
     back = store.undismiss(items, items)
     moved = store.supersede(store.dismiss(back, ending("2"), now), ending("5"))
-    # subjects are shared by items, so ids stand in for them here
-    return moved.select("fingerprint", F.when(F.substring("fingerprint", -1, 1) == "7", "gone").otherwise(F.col("state")).alias("state"))
+    return store.mark_gone(moved, ending("7", "subject_id")).select("fingerprint", "state")
 
 
 @query(f"WITH {ITEMS}, g AS (SELECT DISTINCT subject_type, subject_id FROM items WHERE CAST(subject_id AS BIGINT) % 5 = 0) SELECT state, count(*) AS n FROM (SELECT CASE WHEN (subject_type, subject_id) IN (SELECT subject_type, subject_id FROM g) THEN 'gone' ELSE state END AS state FROM items) GROUP BY 1")

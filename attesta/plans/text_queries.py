@@ -148,12 +148,16 @@ def local_times_in_text(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", dates.local_times("Europe/Paris")(F.concat(F.lit("ran at "), iso, F.lit(" and ended"))).alias("told"))
 
 
+#: What the statements take PAIRS to mean: each spelling of each word; and back, longest first, without the one that two words claim.
+_FORWARD = (("ring", "rng"), ("ring", "r1ng"), ("small widget", "sml wdgt"), ("red", "rd"), ("red", "crimson"), ("blue", "crimson"), ("blue", "bl"))
+_REVERSE = (("sml wdgt", "small widget"), ("r1ng", "ring"), ("rng", "ring"), ("bl", "blue"), ("rd", "red"))
+
+
 def _variants_sql(name: str) -> str:
     n = normal_sql(name)
     swaps = [
         f"CASE WHEN contains(' ' || {n} || ' ', ' {c} ') THEN trim(replace(' ' || {n} || ' ', ' {c} ', ' {v} ')) END"
-        for c, vs in substitutions.forward_map(PAIRS).items()
-        for v in vs
+        for c, v in _FORWARD
     ]
     return f"list_filter([{name}, {', '.join(swaps)}], lambda x: x IS NOT NULL AND x <> '')"
 
@@ -168,7 +172,7 @@ def query_variants(spark, sf_dir):
 
 def _decensor_sql(x: str) -> str:
     out = normal_sql(x)
-    for v, c in sorted(substitutions.reverse_map(PAIRS).items(), key=lambda p: (-len(p[0]), p[0])):
+    for v, c in _REVERSE:
         out = f"trim(replace(' ' || {out} || ' ', ' {v} ', ' {c} '))"
     return out
 
