@@ -150,7 +150,7 @@ def sketch(docs: DataFrame, cells: int, min_docs: int = MIN_DOCS) -> Sketch:
     merged = few.mapInArrow(lean(fill), schema).repartition("slice").sortWithinPartitions("slice").mapInArrow(lean(add), schema)
     out = Sketch(cells, min_docs)
     flat = out.rows.reshape(-1)
-    for r in merged.toLocalIterator():  # at most DEPTH * MOST_CELLS / SLICE rows of SLICE cells
+    for r in merged.collect():  # at most DEPTH * MOST_CELLS / SLICE rows of SLICE cells
         part = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["cells"])), kind)
         flat[r["slice"] * SLICE :][: len(part)] = part
     return out
