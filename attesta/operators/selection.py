@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.operators.paging import ranked
+
 
 def pool(unorganized: DataFrame, marked: DataFrame, key: str = "id") -> DataFrame:
     """Both scans, a key of the first not repeated; ``added`` marks rows that only the second has."""
@@ -101,6 +103,13 @@ def look_up_once(rows: DataFrame, key: str, lookup) -> DataFrame:
 
 
 def chunks(rows: DataFrame, order: str, size: int = 200, within: str | None = None) -> DataFrame:
-    """Rows with their chunk number: ``size`` rows each, in order, within each value of ``within``."""
-    window = Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))
-    return rows.withColumn("chunk", F.floor((F.row_number().over(window.orderBy(order)) - 1) / size).cast("long"))
+    """Rows with their chunk number: ``size`` rows each, in order, within each value of ``within``.
+
+    Rows are ranked over ranges of (``within``, ``order``), so neither all rows nor those of a frequent value meet in one task.
+    """
+    place = ranked(rows, [order] if within is None else [within, order])
+    if within is None:
+        return place.withColumn("chunk", F.floor(F.col("rank") / size).cast("long")).drop("rank")
+    first = place.groupBy(within).agg(F.min("rank").alias("__first"))  # combined in each task
+    found = place.join(first, place[within].eqNullSafe(first[within])).drop(first[within])
+    return found.withColumn("chunk", F.floor((F.col("rank") - F.col("__first")) / size).cast("long")).select(*rows.columns, "chunk")

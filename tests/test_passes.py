@@ -128,3 +128,17 @@ def test_ticks_with_state_agree_with_due_over_clock_changes(spark, tmp_path):
     told = {r["producer"]: r["reason"] for r in judged.collect()}
     assert {f"{p}|{int(t.timestamp() * 1_000_000)}": why for (p, t), why in got.items()} == told
     assert sum(w == "due" for (p, _), w in got.items() if p == "daily") >= 3
+
+
+def test_chunks_of_a_frequent_value_are_dealt(spark):
+    from attesta.operators import selection
+
+    rows = [("hot" if k % 4 else None if k % 8 else "cold", f"{k:05d}", k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "tag string, id string, more int").repartition(6)
+    for within in ("tag", None):
+        groups: dict = {}
+        for tag, id_, _ in sorted(rows, key=lambda r: r[1]):
+            groups.setdefault(tag if within else 0, []).append(id_)
+        plain = {i: k // 200 for ids in groups.values() for k, i in enumerate(ids)}
+        got = selection.chunks(df, "id", 200, within)
+        assert got.columns == ["tag", "id", "more", "chunk"] and {r["id"]: r["chunk"] for r in got.collect()} == plain
