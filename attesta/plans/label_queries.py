@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions.text import spaceless
+from attesta.functions.vocab import NAMED_REFERENCES, TAG_NAMES
 from attesta.operators import labels, profiles
 from attesta.plans import views
 from attesta.plans.registry import key_sql, query, table
@@ -173,7 +174,23 @@ def enrichment_candidates(spark, sf_dir):
     return profiles.enrichment_candidates(rows, found, "box").select("id", F.col("profile.id").alias("profile_id"))
 
 
-@query()
+_MARKUP = r"</?(?:" + "|".join(sorted(TAG_NAMES, key=len, reverse=True)) + r")(?:\s[^<>]*)?/?>"
+_ENTITY = "&(?:" + "|".join(sorted(NAMED_REFERENCES)) + ");"
+_DECODED = f"regexp_replace(d, '[ \\t]*(?:(?:{_MARKUP})[ \\t]*)+', ' ', 'gi')"
+for _name in (*sorted(set(NAMED_REFERENCES) - {"amp"}), "amp"):  # the sign of references last, so none is decoded twice
+    _DECODED = f"replace({_DECODED}, '&{_name};', '{NAMED_REFERENCES[_name].replace(chr(39), chr(39) * 2)}')"
+_FAULTS = "array_to_string(list_filter([CASE WHEN regexp_matches({0}, '" + _MARKUP + "', 'i') THEN 'markup' END, CASE WHEN regexp_matches({0}, '" + _ENTITY + "') THEN 'entity' END], lambda x: x IS NOT NULL), ',')"
+
+
+@query(
+    rf"""WITH parts AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS p FROM pages),
+        d AS (SELECT page_id, generate_subscripts(p, 1) - 1 AS place, unnest(p) AS d FROM parts),
+        c AS (SELECT page_id, place, {_FAULTS.format("d")} AS faults, regexp_replace(regexp_replace({_DECODED}, '[ 	]*
+[ 	]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS plain FROM d),
+        r AS (SELECT *, CASE WHEN faults = '' THEN NULL WHEN plain = '' THEN 'nothing left' WHEN {_FAULTS.format("plain")} <> '' THEN 'double encoded' END AS reason FROM c)
+        SELECT page_id, CAST(place AS INTEGER) AS place, nullif(faults, '') AS faults, CASE WHEN faults <> '' AND reason IS NULL THEN plain END AS cleaned, reason,
+               CASE WHEN faults = '' THEN 'clean' WHEN reason IS NULL THEN 'proposed' ELSE 'refused' END AS outcome FROM r"""
+)
 def clean_description(spark, sf_dir):
     """Paragraphs of pages, their markup and references cleaned or refused."""
     parts = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))).alias("place", "description"))

@@ -134,15 +134,18 @@ def utc_to_zone(spark, sf_dir):
     return rows.select("event_id", dates.local_minute(F.col("iso"), "America/New_York").alias("minute"), dates.local(F.col("iso"), "America/New_York").alias("local"))
 
 
-@query()
+@query(
+    """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events UNION SELECT DATE '2025-03-30' UNION SELECT DATE '2025-10-26')
+        SELECT CAST(day AS VARCHAR) AS day, strftime(CASE WHEN day = DATE '2025-10-26' THEN CAST(day AS TIMESTAMP) + INTERVAL 30 MINUTE ELSE timezone('UTC', timezone('Europe/Lisbon', CAST(day AS TIMESTAMP) + INTERVAL 90 MINUTE)) END, '%Y-%m-%d %H:%M:%S') AS utc FROM d"""
+)  # of a repeated hour the first reading counts, which the zone function of the statement does not choose
 def zone_to_utc(spark, sf_dir):
     """Wall-clock readings to instants, on days of clock changes too."""
     days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
     every = days.withColumn("day", F.explode(F.array("day", F.lit("2025-03-30").cast("date"), F.lit("2025-10-26").cast("date")))).distinct()
-    return every.select("day", dates.occurrence(F.col("day"), "01:30:00", "Europe/Lisbon").cast("string").alias("utc"))
+    return every.select(F.col("day").cast("string").alias("day"), dates.occurrence(F.col("day"), "01:30:00", "Europe/Lisbon").cast("string").alias("utc"))
 
 
-@query()
+@query("SELECT event_id, 'ran at ' || strftime(timezone('Europe/Paris', timezone('UTC', date_trunc('second', ts))), '%Y-%m-%d %H:%M') || ' and ended' AS told FROM events")
 def local_times_in_text(spark, sf_dir):
     iso = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return table(spark, sf_dir, "events").select("event_id", dates.local_times("Europe/Paris")(F.concat(F.lit("ran at "), iso, F.lit(" and ended"))).alias("told"))
