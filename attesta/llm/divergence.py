@@ -34,8 +34,8 @@ from attesta.llm.common import _estimate, bounded, lean, persist, texts_of
 MIN_DOCS, TOP, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 #: Rows of the sketch, cells of a row at least and at most, cells of a slice.
 DEPTH, FEWEST_CELLS, MOST_CELLS, SLICE = 3, 1 << 16, 1 << 24, 1 << 18
-#: Text of a chunk that is counted at once, entries a task holds before it gives them out, rows of a bucket of terms.
-CHUNK_BYTES, HELD, BUCKET_ROWS = 8 << 20, 300_000, 200_000
+#: Text of a chunk that is counted at once, terms and counts a task holds before it gives them out, rows of a bucket of terms.
+CHUNK_BYTES, HELD_TERMS, HELD_COUNTS, BUCKET_ROWS = 8 << 20, 400_000, 4_000_000, 200_000
 #: bytes.translate table: ASCII letters lower-cased, other ASCII a space; all bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -156,6 +156,50 @@ def sketch(docs: DataFrame, cells: int, min_docs: int = MIN_DOCS) -> Sketch:
     return out
 
 
+class _Tally:
+    """Exact counts of a language's terms in a task, by source, as arrays over the terms that the sketch does not rule out."""
+
+    def __init__(self, lang: bytes):
+        self.lang = lang
+        self.ids: dict[bytes, int] = {}  # term -> place among ``words``; -1 if ruled out
+        self.words: list[bytes] = []
+        self.n: dict[bytes, np.ndarray] = {}
+        self.docs: dict[bytes, np.ndarray] = {}
+
+    def add(self, rows: list[tuple[bytes, list[bytes]]], found: Sketch, min_docs: int) -> None:
+        """Counts (source, terms) of documents."""
+        kinds = [set(words) for _, words in rows]
+        new = list(set().union(*kinds) - self.ids.keys())
+        for word, ok in zip(new, found.at_least(self.lang, new, min_docs).tolist(), strict=True):
+            self.ids[word] = len(self.words) if ok else -1
+            if ok:
+                self.words.append(word)
+        place = self.ids.__getitem__
+        each: dict[bytes, tuple[list[np.ndarray], list[np.ndarray]]] = defaultdict(lambda: ([], []))
+        for (source, words), own in zip(rows, kinds, strict=True):
+            n, docs = each[source]
+            n.append(np.fromiter(map(place, words), np.int32, len(words)))
+            docs.append(np.fromiter(map(place, own), np.int32, len(own)))
+        for source, parts in each.items():
+            for held, some in zip((self.n, self.docs), parts, strict=True):
+                at = np.concatenate(some)
+                more = np.bincount(at[at >= 0], minlength=len(self.words))
+                if source in held:
+                    more[: len(held[source])] += held[source]
+                held[source] = more
+
+    def given(self) -> Iterator[pa.RecordBatch]:
+        """A row for each source and term that it holds."""
+        words = pa.array(self.words, pa.binary()).cast(pa.string())
+        name = lambda x, k: pa.array([x], pa.binary()).cast(pa.string()).take(pa.array(np.zeros(k, np.int64)))
+        for source, n in self.n.items():
+            some = np.flatnonzero(n)
+            for k in range(0, len(some), 50_000):
+                at = some[k : k + 50_000]
+                columns = [name(self.lang, len(at)), name(source, len(at)), words.take(pa.array(at)), pa.array(n[at]), pa.array(self.docs[source][at])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+
+
 def term_counts(docs: DataFrame, found: Sketch, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, source, term, n, docs) of terms that the sketch does not rule out: occurrences and documents; a row with a null term for each (lang, source)."""
     spark = docs.sparkSession
@@ -164,49 +208,22 @@ def term_counts(docs: DataFrame, found: Sketch, min_docs: int = MIN_DOCS) -> Dat
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, raw, kind = shared.value
+        tallies: dict[bytes, _Tally] = {}
         own = Sketch(cells, min_docs, np.frombuffer(raw, kind).reshape(DEPTH, cells))
-        n: dict[tuple[bytes, bytes], Counter] = defaultdict(Counter)
-        docs_: dict[tuple[bytes, bytes], Counter] = defaultdict(Counter)
-        held = 0
-
-        def given() -> Iterator[pa.RecordBatch]:
-            for group, counts in n.items():
-                words = list(counts)
-                for k in range(0, len(words), 50_000):
-                    part = words[k : k + 50_000]
-                    columns = [pa.array([group[i]] * len(part), pa.binary()).cast(pa.string()) for i in (0, 1)]
-                    columns += [pa.array(part, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in part], pa.int64()), pa.array([docs_[group][w] for w in part], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
-
-        occurring = set()
+        occurring: set[tuple[bytes, bytes]] = set()
         for chunk in _chunks(batches):
-            more: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+            by_lang: dict[bytes, list[tuple[bytes, list[bytes]]]] = defaultdict(list)
             for lang, source, text in chunk:
-                words = terms(text)
-                both = more[lang, source]
-                both[0].update(words)
-                both[1].update(set(words))
-            by_lang: dict[bytes, set] = defaultdict(set)
-            for (lang, _), (counts, _) in more.items():
-                by_lang[lang] |= counts.keys()
-            for lang, seen in by_lang.items():
-                words = list(seen)
-                ok = own.at_least(lang, words, min_docs)
-                by_lang[lang] = {w for w, good in zip(words, ok.tolist(), strict=True) if good}
-            for group, (counts, seen) in more.items():
-                occurring.add(group)
-                into, of, keep = n[group], docs_[group], by_lang[group[0]]
-                before = len(into)
-                for w in counts.keys() & keep:
-                    into[w] += counts[w]
-                    of[w] += seen[w]
-                held += len(into) - before
-            if held >= HELD:
-                yield from given()
-                n.clear()
-                docs_.clear()
-                held = 0
-        yield from given()
+                occurring.add((lang, source))
+                by_lang[lang].append((source, terms(text)))
+            for lang, rows in by_lang.items():
+                tallies.setdefault(lang, _Tally(lang)).add(rows, own, min_docs)
+            if sum(len(t.ids) for t in tallies.values()) >= HELD_TERMS or sum(map(len, (x for t in tallies.values() for x in t.n.values()))) >= HELD_COUNTS:
+                for t in tallies.values():
+                    yield from t.given()
+                tallies.clear()
+        for t in tallies.values():
+            yield from t.given()
         if occurring:
             groups = sorted(occurring)
             columns = [pa.array([g[i] for g in groups], pa.binary()).cast(pa.string()) for i in (0, 1)]

@@ -75,6 +75,20 @@ def test_sketch_never_underestimates_and_merges(spark):
     assert not merged.at_least(b"en", [b"never seen here"], 30).all() or merged.rows.min() >= 30
 
 
+def test_tallies_count_exactly_whatever_is_ruled_out():
+    rng = random.Random(6)
+    rows = [(rng.choice([b"a", b"b"]), [f"w{rng.randrange(80)}".encode() for _ in range(rng.randrange(30))]) for _ in range(200)]
+    found = divergence.Sketch(1 << 12, 30)
+    found.add(b"en", Counter(w for _, words in rows for w in set(words)))
+    own = divergence._Tally(b"en")
+    for k in range(0, 200, 37):
+        own.add(rows[k : k + 37], found, 30)
+    got = {(r["source"].encode(), r["term"].encode()): (r["n"], r["docs"]) for batch in own.given() for r in batch.to_pylist()}
+    n, docs = Counter((s, w) for s, words in rows for w in words), Counter((s, w) for s, words in rows for w in set(words))
+    df = Counter(w for _, words in rows for w in set(words))
+    assert all(v == (n[k], docs[k]) for k, v in got.items()) and {k for k in n if df[k[1]] >= 30} <= got.keys()
+
+
 def test_sketch_saturates():
     own = divergence.Sketch(64, 30)
     for _ in range(5):
