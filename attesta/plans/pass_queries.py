@@ -374,3 +374,17 @@ def told_lines(spark, sf_dir):
     what = F.when(F.col("l_discount") > 0.05, F.col("l_linestatus")).otherwise("")
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.struct(place.alias("location"), what.alias("description")))).alias("items"))
     return rows.select("id", changes.joined_modifications(F.col("items")).alias("told"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT o_orderdate AS start, timezone('UTC', o_orderdate) AS instant, CAST(timezone('America/New_York', timezone('UTC', o_orderdate)) AS DATE) AS local_day FROM orders),
+        t AS (SELECT start, instant, timezone('America/New_York', CAST(local_day + k AS TIMESTAMP) + INTERVAL 270 MINUTE) AS t FROM d, (VALUES (-2), (-1), (0), (1), (2)) v(k))
+        SELECT strftime(start, '%Y-%m-%d') AS day, strftime(timezone('UTC', max(t) FILTER (WHERE t <= instant)), '%Y-%m-%d %H:%M') AS before, strftime(timezone('UTC', min(t) FILTER (WHERE t > instant)), '%Y-%m-%d %H:%M') AS after
+        FROM t GROUP BY start"""
+)
+def appointments(spark, sf_dir):
+    """The appointments at 04:30 in New York before and after the start of each order's day, clock changes of all years included."""
+    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("now")).distinct()
+    at, zone = F.lit("04:30:00"), F.lit("America/New_York")
+    told = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm")
+    return days.select(F.date_format("now", "yyyy-MM-dd").alias("day"), told(schedule.previous_occurrence(F.col("now"), at, zone)).alias("before"), told(schedule.next_occurrence(F.col("now"), at, zone)).alias("after"))

@@ -383,7 +383,7 @@ def chunked(spark, sf_dir):
     return selection.chunks(rows, "id", within="o_orderpriority").select("o_orderpriority", "id", "chunk")
 
 
-@query()
+@query("SELECT event_type AS folder, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
 def streamed_proposals(spark, sf_dir):
     """Events recorded as proposals by a stream that ends with what it has; replays change nothing."""
     from attesta.streaming.proposals import items_table, proposals_of, start_recording
