@@ -7,7 +7,8 @@ its new neighbours join the agenda, until none is left. Characters that are no p
 No piece of such a vocabulary goes on with U+2581 after another character (``Vocabulary`` looks; if one does, whole texts
 are the stretches). A text is therefore cut before each U+2581 that follows another character, and each distinct stretch
 is encoded once: short ones together, where one round takes the best pair of every stretch from an agenda kept as an
-array of (rank, place) keys; long ones each with a heap. A worker remembers the stretches met lately, a bounded number.
+array of (rank, place) keys; long ones (as of scripts without spaces) are cut between characters that stand side by side in no
+piece, and what is still long is encoded with a heap. A worker remembers the stretches met lately, a bounded number.
 
 All is checked against the sentencepiece library in each Arrow batch, which fails where they differ: the ids of every distinct
 stretch as it is encoded, and the decoded text of every document's ids. (That whole texts have the ids of their stretches follows from
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -100,6 +102,8 @@ class Vocabulary:
                 left, right = symbols.get(piece[:cut]), symbols.get(piece[cut:])
                 if left is not None and right is not None:
                     self.merges[left, right] = rank, k
+        #: (character << 21 | next one) of all that stand side by side in a piece, sorted: no merge spans any others
+        self.beside = np.array(sorted({ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}), np.int64)
         self.divisible = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._tables()
 
@@ -184,37 +188,60 @@ class Coder:
     def _stretches(self, stretches: list[str]) -> list[bytes]:
         if max(map(len, stretches), default=0) <= LONG:
             return self._together(stretches)
-        short = iter(self._together([x for x in stretches if len(x) <= LONG]))
-        return [next(short) if len(x) <= LONG else np.array(self.by_heap(x), np.int32).tobytes() for x in stretches]
+        parts = [self._parts(x) if len(x) > LONG else [x] for x in stretches]
+        flat = list(chain.from_iterable(parts))
+        short = iter(self._together([x for x in flat if len(x) <= LONG]))
+        done = iter([next(short) if len(x) <= LONG else self.by_heap(x) for x in flat])
+        return [b"".join([next(done) for _ in own]) for own in parts]
+
+    def _parts(self, stretch: str) -> list[str]:
+        """A long stretch cut between characters that stand side by side in no piece."""
+        points = np.frombuffer(stretch.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pairs = points[:-1] << 21 | points[1:]
+        at = np.minimum(np.searchsorted(self.own.beside, pairs), max(len(self.own.beside) - 1, 0))
+        cuts = (np.flatnonzero(self.own.beside[at] != pairs) + 1 if len(self.own.beside) else np.arange(1, len(stretch))).tolist()
+        return [stretch[a:b] for a, b in zip([0, *cuts], [*cuts, len(stretch)], strict=True)]
 
     def _fallback(self, c: str) -> list[int]:
         return [self.own.byte_ids[b] for b in c.encode()]
 
-    def by_heap(self, stretch: str) -> list[int]:
-        """Ids of one stretch, by a heap of (rank, left place, right place, left symbol, right symbol)."""
-        own, n = self.own, len(stretch)
-        symbols = [own.symbols.get(c, -1) for c in stretch]
-        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        agenda: list[tuple[int, int, int, int, int]] = []
+    def by_heap(self, stretch: str) -> bytes:
+        """Packed ids of one stretch, by a heap of rank << 40 | left place.
 
-        def add(i: int, j: int) -> None:
-            if 0 <= i and j < n and (found := own.merges.get((symbols[i], symbols[j]))):
-                heapq.heappush(agenda, (found[0], i, j, symbols[i], symbols[j]))
+        An entry holds if the pair that begins at its place still has its rank; a pair that has changed has an entry of its own.
+        """
+        own, n, dead = self.own, len(stretch), -2
+        symbols = array("q", own.of_point[np.frombuffer(stretch.encode("utf-32-le"), np.uint32)].tobytes())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        merges = own.merges
+        agenda: list[int] = []
+
+        def rank(i: int) -> int:
+            found = merges.get((symbols[i], symbols[after[i]])) if 0 <= i and after[i] < n else None
+            return -1 if found is None else found[0]
 
         for i in range(n - 1):
-            add(i, i + 1)
-        dead = -2
+            if (r := rank(i)) >= 0:
+                agenda.append(r << 40 | i)
+        heapq.heapify(agenda)
         while agenda:
-            _, i, j, left, right = heapq.heappop(agenda)
-            if symbols[i] != left or symbols[j] != right or after[i] != j:
+            top = heapq.heappop(agenda)
+            i = top & 0xFFFFFFFFFF
+            if symbols[i] == dead or rank(i) != top >> 40:
                 continue
-            symbols[i], symbols[j] = own.merges[left, right][1], dead
+            j = after[i]
+            symbols[i], symbols[j] = merges[symbols[i], symbols[j]][1], dead
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-            add(before[i], i)
-            add(i, after[i])
-        return [x for c, s in zip(stretch, symbols, strict=True) if s != dead for x in ([s] if 0 <= s < own.n else self._fallback(c))]
+            for k in (before[i], i):
+                if (r := rank(k)) >= 0:
+                    heapq.heappush(agenda, r << 40 | k)
+        out = array("i")
+        for c, x in zip(stretch, symbols, strict=True):
+            if x != dead:
+                out.extend((x,) if 0 <= x < own.n else self._fallback(c))
+        return out.tobytes()
 
     def _together(self, stretches: list[str]) -> list[bytes]:
         """Ids of many stretches at once: each round merges the best pair of every stretch that has one."""

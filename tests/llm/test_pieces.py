@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -63,7 +64,7 @@ def test_any_ids_decode_as_the_library_decodes_them():
 def test_agenda_heap_and_plain_merges_agree():
     for text in texts(3, 150, 30):
         stretches = CODER.stretch.findall(pieces.SPACE + text.replace(" ", pieces.SPACE)) if text else []
-        assert plain(text) == [i for s in stretches for i in CODER.by_heap(s)] == CODER.encode(text).tolist()
+        assert plain(text) == [int(i) for s in stretches for i in np.frombuffer(CODER.by_heap(s), np.int32)] == CODER.encode(text).tolist()
 
 
 def test_a_small_memory_changes_nothing():
@@ -98,6 +99,15 @@ def test_a_wrong_encoding_is_told():
         own.check_texts([ids], ["Hello worlD"])
 
 
+def test_long_runs_without_spaces_are_the_librarys():
+    rng = random.Random(9)
+    han = "".join(chr(rng.randrange(0x4E00, 0x4F00)) if rng.random() < 0.9 else rng.choice("abcthein。，é") for _ in range(30_000))
+    base = "".join(rng.choice("ABCDEFabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000))
+    own = [han, base, han[:201], "the" * 5000, "a" * 4001, "͸" * 1000]
+    assert [x.tolist() for x in CODER.encode_many(own)] == LIBRARY.encode(own)
+    assert len(CODER._parts(pieces.SPACE + han)) > 10_000
+
+
 def test_long_stretches_cost_little_more_than_their_length():
     start = time.time()
     CODER.encode("ab" * 100_000)
