@@ -245,7 +245,7 @@ def match_score(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     named = part.select("p_partkey", "p_brand", "p_size", F.concat("p_brand", F.lit(" - "), "p_name", F.lit(".mp4")).alias("name"), "p_type")
     titles = part.select("p_brand", "p_size", F.col("p_name").alias("title")).distinct()
-    scored = similarity.with_match_score(named.join(titles, ["p_brand", "p_size"]), "name", "p_type", "title", "p_brand")
+    scored = similarity.match_pairs(named, titles, ["p_brand", "p_size"], "p_partkey", "name", "p_type", "title", "p_brand")
     return scored.select("p_partkey", "title", "m.value", "m.contained", "m.meaningful_count")
 
 
