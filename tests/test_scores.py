@@ -5,7 +5,11 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import functions as F
+
 from attesta.functions import similarity
+from attesta.operators import linkage
+from attesta.plans import pass_queries
 
 FILES = [(1, "k", "Ann - red ring.mp4", "Ann", "A"), (2, "k", "Ann - red ring.mp4", "Ann", "A"), (3, "k", "blue bolt.rev2.mp4", None, "A"), (4, "l", None, "Old plates", "B"), (5, "k", "blue bolt.rev2.mp4", None, "A"), (6, "m", "x", "y", "z")]
 TITLES = [("k", "red ring", 1), ("k", "the blue bolt rev2", 2), ("l", "old plates", 3), ("l", None, 4), ("k", "", 5)]
@@ -33,3 +37,27 @@ def test_a_pair_is_compared_once(monkeypatch):
     for _ in range(3):  # batches
         assert similarity.ratios(pd.Series(["abc", "abd", "abc", None]), pd.Series(["abd", "abd", "abd", ""]), known).round(3).tolist() == [0.667, 1.0, 0.667, 1.0]
     assert len(compared) == 2
+
+
+def test_a_tally_compares_no_names(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "judge", None)
+    got = {r["reason"]: r["n"] for r in pass_queries.scan_tally(spark, "/root/testdata/sf0.001").collect()}
+    assert sum(got.values()) == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_a_scan_judges_alike_files_once(spark, monkeypatch):
+    judged = []
+    plain = linkage.judge
+
+    def judge(files, candidates, pairs):
+        judged.extend(r["id"] for r in files.collect())
+        return plain(files, candidates, pairs)
+
+    monkeypatch.setattr(linkage, "judge", judge)
+    files = spark.createDataFrame([(i, "red ring.mp4", "ann ash") for i in (4, 2, 9)] + [(5, "red ring.mp4", None)], "id long, name string, folder string")
+    known = spark.createDataFrame([(i, "ann ash", None, []) for i in (4, 2, 9, 5)], "id long, name string, rejected_folder string, unconfirmed array<string>")
+    found = spark.createDataFrame([("ann ash", "s", True, 1, "red ring", None)], "artist string, store string, resolvable boolean, idx long, title string, url string")
+    fallback = found.limit(0).select(F.lit(0).cast("long").alias("id"), "store", "resolvable", "idx", "title", "url")
+    done = linkage.examine(files, known, found, fallback, spark.createDataFrame([("s", None)], "store string, error string"), {})
+    assert sorted(judged) == [2, 5]
+    assert {(r["id"], r["outcome"], r["title"]) for r in done.collect()} == {(i, "proposal", "red ring") for i in (2, 4, 5, 9)}
