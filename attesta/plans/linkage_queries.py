@@ -11,6 +11,7 @@ from attesta.operators import adapters, attribution, claims, decisions, linkage,
 from attesta.plans import views
 from attesta.plans.registry import key_sql, query, table, tokens_sql
 from attesta.plans.views import CANDIDATES, CLAIMS, PEOPLE
+from attesta.session import spread
 
 
 @query(f"WITH {CANDIDATES} SELECT * FROM decisions")
@@ -156,7 +157,7 @@ _SUPPORT = f"""{_CANDIDATE_ROWS}, owners AS (SELECT 'Brand#' || (p_partkey % 40)
 def _evidence_inputs(spark, sf_dir):
     brand = lambda c: F.concat(F.lit("Brand#"), (F.col(c) % 40).cast("string"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), brand("l_partkey").alias("candidate"))
-    rows = rows.groupBy("id", "candidate").agg(F.lit(0).alias("ordinal"))
+    rows = spread(rows, "id").groupBy("id", "candidate").agg(F.lit(0).alias("ordinal"))
     return rows, table(spark, sf_dir, "part").select(brand("p_partkey").alias("candidate"), F.col("p_brand").alias("owner"))
 
 
