@@ -50,11 +50,13 @@ def scene_edits(matches: DataFrame, overwrite_studio: bool = False) -> DataFrame
 def reconciliation_edits(scenes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(fingerprint, chunk, edits, attached, untagged) of (fingerprint, tag_id, performer_id): a bulk write for each chunk of a tag's scenes."""
     hit = scenes.select("id", "performer_ids", F.explode("tag_ids").alias("tag_id")).join(pairs, "tag_id")
+    # whether the person is new to a scene is told before rows are ranked, so no list of people travels with them
+    hit = hit.withColumn("new", ~F.array_contains("performer_ids", F.col("performer_id"))).drop("performer_ids")
     from attesta.operators.selection import chunks
 
     rows = chunks(hit, "id", changes.CHUNK, "fingerprint")
     made = rows.groupBy("fingerprint", "chunk", "tag_id", "performer_id").agg(
-        F.array_sort(F.collect_list("id")).alias("untagged"), F.array_sort(F.collect_list(F.when(~F.array_contains("performer_ids", F.col("performer_id")), F.col("id")))).alias("attached")
+        F.array_sort(F.collect_list("id")).alias("untagged"), F.array_sort(F.collect_list(F.when(F.col("new"), F.col("id")))).alias("attached")
     )
     mode = lambda c, m: F.struct(F.array(F.col(c)).alias("ids"), F.lit(m).alias("mode"))
     edits = F.struct(F.col("untagged").alias("ids"), mode("performer_id", "ADD").alias("performer_ids"), mode("tag_id", "REMOVE").alias("tag_ids"))

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.session import written_once
+from attesta.session import parts_for, written_once
 
 
 def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` with ``rank`` from 0 in the order of the columns, which tell rows apart; ranges are sorted each on its own."""
-    dealt = rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+    dealt = rows.repartitionByRange(parts_for(rows), *[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
     # what a task numbers is kept, as ranges are sampled and another run might cut them elsewhere
     numbered = written_once(dealt.withColumn("__at", F.monotonically_increasing_id()))
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))

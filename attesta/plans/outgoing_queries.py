@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import outgoing, store
 from attesta.plans.registry import query, shared_folder, table
+from attesta.session import spread
 from attesta.streaming.proposals import items_table, proposals_of
 
 
@@ -112,7 +113,7 @@ def reconciliation_writes(spark, sf_dir):
     """A tag that is a person: a bulk write for each 200 of its scenes, and what its undo has to know."""
     lines = table(spark, sf_dir, "lineitem")
     tag, who = F.concat("l_returnflag", "l_linestatus"), F.col("l_suppkey").cast("string")
-    scenes = lines.groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.collect_set(who).alias("performer_ids"), F.collect_set(tag).alias("tag_ids"))
+    scenes = spread(lines.select(F.col("l_orderkey").cast("string").alias("id"), who.alias("who"), tag.alias("tag")), "id").groupBy("id").agg(F.collect_set("who").alias("performer_ids"), F.collect_set("tag").alias("tag_ids"))
     pairs = lines.groupBy(tag.alias("tag_id")).agg(F.min("l_suppkey").cast("string").alias("performer_id")).withColumn("fingerprint", F.col("tag_id"))
     rows = outgoing.reconciliation_edits(scenes, pairs)
     return rows.select("fingerprint", "chunk", "performer_id", F.size("untagged").cast("long").alias("untagged"), F.size("attached").cast("long").alias("attached"), "edits")
