@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from attesta.functions.text import filled, spaceless
 from attesta.functions.vocab import LIST_FIELDS, NAMED_REFERENCES, TAG_NAMES
+from attesta.session import spread
 
 
 def stash_id_at(stash_ids: Column, endpoint: str) -> Column:
@@ -173,10 +174,13 @@ def enrichment_pass(people: DataFrame, offers: DataFrame, errors: DataFrame, lim
     chosen = chosen.select("id", "missing")
     failed = errors.join(chosen.select("id"), "id").groupBy("id").agg(F.min("error").alias("error"))
     open_ = chosen.join(failed.select("id"), "id", "left_anti")
-    wanted = offers.join(open_, "id").where(F.array_contains("missing", F.col("field"))).drop("missing")
+    wanted = spread(offers, "id").join(open_, "id").where(F.array_contains("missing", F.col("field"))).drop("missing")
     merged = merge_offers(wanted)
     fields = fields_map(merged)
-    outcome = F.when(F.col("error").isNotNull(), "error").when(F.col("fields").isNotNull(), "proposed").when(F.col("clash"), "conflict").otherwise("nothing found")
-    clash = merged.where("not agreed").select("id").distinct().withColumn("clash", F.lit(True))
-    told = chosen.select("id").join(failed, "id", "left").join(fields, "id", "left").join(clash, "id", "left").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    # each person's marks meet in one aggregate of numbers; no field or offer travels to the tally
+    mark = lambda rows, **given: rows.select("id", *[F.coalesce(given.get(c, F.lit(0)).cast("long"), F.lit(0)).alias(c) for c in ("people", "error", "proposed", "clash")])
+    marks = mark(chosen, people=F.lit(1)).unionByName(mark(failed, error=F.lit(1))).unionByName(mark(merged, proposed=F.col("agreed"), clash=~F.col("agreed")))
+    each = marks.groupBy("id").agg(F.sum("people").alias("people"), *[F.max(c).alias(c) for c in ("error", "proposed", "clash")]).where("people > 0")
+    outcome = F.when(F.col("error") > 0, "error").when(F.col("proposed") > 0, "proposed").when(F.col("clash") > 0, "conflict").otherwise("nothing found")
+    told = each.groupBy(outcome.alias("outcome")).agg(F.sum("people").alias("n"))
     return {"fields": fields, "conflicts": merged.where("not agreed").select("id", "field", "conflict"), "errors": failed, "tally": told}

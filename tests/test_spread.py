@@ -42,3 +42,11 @@ def test_no_list_of_people_is_ranked(spark, monkeypatch):
     scenes = spark.createDataFrame([("1", ["p"], ["t"]), ("2", ["q"], ["t"]), ("3", None, ["t"])], "id string, performer_ids array<string>, tag_ids array<string>")
     made = outgoing.reconciliation_edits(scenes, spark.createDataFrame([("f", "t", "p")], "fingerprint string, tag_id string, performer_id string")).collect()
     assert [(r["untagged"], r["attached"]) for r in made] == [(["1", "2", "3"], ["2"])] and "performer_ids" not in seen[0]
+
+
+def test_a_tally_carries_no_fields(spark):
+    people = spark.createDataFrame([(i, ["f", "g"]) for i in range(6)] + [(9, [])], "id long, missing array<string>")
+    offers = spark.createDataFrame([(0, "f", 0, "s", "x"), (0, "g", 0, "s", "x"), (0, "g", 1, "t", "y"), (1, "f", 0, "s", "x"), (1, "f", 1, "s", "y"), (2, "f", 0, "s", "x"), (9, "f", 0, "s", "x")], "id long, field string, ord int, source string, value string")
+    tally = profiles.enrichment_pass(people, offers, spark.createDataFrame([(2, "timeout"), (3, "timeout"), (8, "timeout")], "id long, error string"))["tally"]
+    assert {r["outcome"]: r["n"] for r in tally.collect()} == {"proposed": 1, "conflict": 1, "error": 2, "nothing found": 2}
+    assert "map_from_entries" not in tally._jdf.queryExecution().optimizedPlan().toString()
