@@ -70,3 +70,13 @@ def test_a_sweep_fails_closed(spark):
     assert sweep(ids(1, 5), 3) == [] and sweep(ids(1, 5), 1) == [] and sweep(ids(1, 1), 2) == [] and sweep(ids(), 0) == []
     told = spark.createDataFrame([(2,)], "n long")
     assert sweep(ids(1, 5), told) == [2, 3] and sweep(ids(1), told) == []
+
+
+def test_recall_moves_words_once_dealt_by_document(spark, tmp_path):
+    words = lambda *x: [f"w{k}" for k in x]
+    spark.createDataFrame([(1, words(1, 2, 3)), (1, words(3, 4)), (2, words(1, 2)), (None, words(1, 2, 3, 4, 5))], "doc_id int, words array<string>").write.parquet(f"{tmp_path}/docs")
+    items = spark.createDataFrame([(7, words(1, 2, 2)), (7, words(3, 4)), (8, words(1, 9)), (None, words(1)), (9, [])], "item_id int, words array<string>")
+    made = matching.recall_pairs(items, spark.read.parquet(f"{tmp_path}/docs"), 0.6)
+    assert sorted(map(tuple, made.collect()), key=str) == [(7, 1, 1.0), (7, 2, 0.6), (7, None, 1.0)]
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("docs") == 1 and plan.count("hashpartitioning(doc_id") == 1 and "hashpartitioning(w" not in plan.split("BroadcastExchange")[0]
