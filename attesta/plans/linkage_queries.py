@@ -11,7 +11,7 @@ from attesta.operators import adapters, attribution, claims, decisions, linkage,
 from attesta.plans import views
 from attesta.plans.registry import key_sql, query, table, tokens_sql
 from attesta.plans.views import CANDIDATES, CLAIMS, PEOPLE
-from attesta.session import spread
+from attesta.session import few, parts_for, spread, written_once
 
 
 @query(f"WITH {CANDIDATES} SELECT * FROM decisions")
@@ -224,10 +224,13 @@ def token_recall(spark, sf_dir):
 @query()
 def ratio_similarity(spark, sf_dir):
     """Matching-blocks ratio of benchmark items to all documents with four fifths of their words, whole texts compared."""
-    pairs = matching.recall_pairs(*_words(spark, sf_dir), 0.8).select("item_id", "doc_id")
+    pairs = written_once(matching.recall_pairs(*_words(spark, sf_dir), 0.8).select("item_id", "doc_id"))
     items = table(spark, sf_dir, "benchmark").select("item_id", normalize(F.col("text")).alias("i"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("d"))
-    rows = pairs.join(items, "item_id").join(docs, "doc_id").repartition(spark.sparkContext.defaultParallelism, "doc_id")  # the ratio takes nearly all of the time
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # few documents are in a pair: only their texts are moved and normalised
+    rows = few(pairs).join(docs, "doc_id").join(items, "item_id")
+    dealt = rows.repartition(parts_for(docs), "doc_id", "item_id").sortWithinPartitions("doc_id")  # the ratio indexes a text once for a run of rows
+    rows = dealt.select("item_id", "doc_id", "i", normalize(F.col("text")).alias("d"))
     return rows.select("item_id", "doc_id", similarity.rounded(similarity.ratio(F.col("i"), F.col("d"))).alias("ratio"))
 
 
